@@ -7,6 +7,7 @@ import importlib
 #: query name: module that holds it
 NAMES = {
     "op1_decontaminate": "op1_decontaminate",
+    "op10_repair": "op10_repair",
 }
 ORACLE: dict[str, str] = {}
 
