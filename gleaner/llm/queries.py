@@ -7,6 +7,8 @@ import importlib
 #: query name: module that holds it
 NAMES = {
     "op1_decontaminate": "op1_decontaminate",
+    "op2_vafile": "op2_vafile",
+    "op8_langid": "op8_langid",
     "op10_repair": "op10_repair",
 }
 ORACLE: dict[str, str] = {}
