@@ -9,6 +9,7 @@ NAMES = {
     "op1_decontaminate": "op1_decontaminate",
     "op2_vafile": "op2_vafile",
     "op8_langid": "op8_langid",
+    "op9_mixing": "op9_mixing",
     "op10_repair": "op10_repair",
 }
 ORACLE: dict[str, str] = {}
