@@ -45,7 +45,7 @@ WITH d AS (
          CAST(sum(weight) OVER () AS BIGINT) - CAST(coalesce(sum(weight) OVER b, 0) AS BIGINT) AS weight_left
   FROM w WINDOW b AS (ORDER BY 3 * source_size / CAST(weight AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), l AS (
-  SELECT min((total - full_before) / CAST(weight_left AS DOUBLE)) FILTER (WHERE (total - full_before) / CAST(weight_left AS DOUBLE) <= full_at) AS level FROM lv
+  SELECT max((total - full_before) / CAST(weight_left AS DOUBLE)) FILTER (WHERE (total - full_before) / CAST(weight_left AS DOUBLE) <= full_at) AS level FROM lv
 ), t AS (
   SELECT source, source_size, n, least(3e0 * source_size, coalesce(level, 0) * weight) AS target FROM w CROSS JOIN l
 ), c AS (
@@ -97,7 +97,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     before = Window.orderBy(full, F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum(F.col("source_size") * most).over(before), F.lit(0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))).cast("double")
-    levelled = weighed.withColumn("own", level).withColumn("level", F.min(F.when(F.col("own") <= full, F.col("own"))).over(every))
+    levelled = weighed.withColumn("own", level).withColumn("level", F.max(F.when(F.col("own") <= full, F.col("own"))).over(every))
     return levelled.select("source", "source_size", "n", F.least(F.col("source_size") * F.lit(float(most)), F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
