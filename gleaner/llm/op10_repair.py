@@ -26,6 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,11 +36,13 @@ from .common import only, table, written
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-BLOCK_CHARS = 3 << 20
-PAIRS = 8192
+BLOCK_CHARS = 6 << 20
+PAIRS = 8000
 ROUNDS = 3
 LEAST = 8  # a pair that occurs less often isn't worth a rule
 MEMO = 1 << 20
+TOGETHER = 512
+SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"  # without < | > of special tokens and the apostrophe
 
 SCHEMA = T.StructType(
     [T.StructField(n, t) for n, t in (
@@ -49,39 +53,42 @@ SCHEMA = T.StructType(
 )
 
 
-def replace_pairs(seq: np.ndarray, head: np.ndarray, pairs: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """seq with each pair (left * 2**32 + right, sorted) replaced by first + its number, from the left, none overlapping."""
-    key = (seq[:-1] << 32) | seq[1:]
-    at = np.searchsorted(pairs, key)
-    at[at == len(pairs)] = 0
-    match = pairs[at] == key
-    match &= ~head[1:]
-    where = np.flatnonzero(match)
-    if not len(where):
-        return seq, head
-    fresh = np.append(True, np.diff(where) > 1)  # of a run of overlapping pairs, every second one is taken
-    run = np.maximum.accumulate(np.where(fresh, np.arange(len(where)), 0))
-    where = where[(np.arange(len(where)) - run) % 2 == 0]
+def frequent_pairs(seq: np.ndarray, head: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs to replace (left * 2**32 + right), every place where one stands in ascending order, and its number."""
+    last = int(seq.max(initial=0)) + 1
+    left, right = seq[:-1], seq[1:]
+    key = (left * last + right).astype(np.uint32 if last <= 1 << 16 else np.int64)
+    key[head[1:]] = 0
+    order = np.argsort(key)
+    ordered = key[order]
+    edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(key)])
+    count = np.diff(np.append(edge, len(key)))
+    if len(edge) and ordered[0] == 0:  # also where a document ends; a pair of two zeros is left alone
+        count[0] = 0
+    pick = np.flatnonzero(count >= least)
+    if len(pick) > most:
+        pick = np.sort(pick[np.argsort(-count[pick], kind="stable")[:most]])
+    number = np.full(len(key), -1, np.int64)
+    within = np.arange(int(count[pick].sum())) - np.repeat(np.cumsum(count[pick]) - count[pick], count[pick])
+    number[order[np.repeat(edge[pick], count[pick]) + within]] = np.repeat(np.arange(len(pick)), count[pick])
+    where = np.flatnonzero(number >= 0)
+    found = ordered[edge[pick]].astype(np.int64)
+    return (found // last << 32) | found % last, where, number[where]
+
+
+def replace_pairs(seq: np.ndarray, head: np.ndarray, where: np.ndarray, number: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """seq with the pair at each place replaced by first + its number, from the left, none overlapping."""
+    fresh = np.append(True, where[1:] - where[:-1] > 1)  # of a run of overlapping pairs, every second one is taken
+    count = np.arange(len(where))
+    take = (count - np.maximum.accumulate(np.where(fresh, count, 0))) % 2 == 0
+    where, number = where[take], number[take]
     out = seq.copy()
-    out[where] = first + at[where]
+    out[where] = first + number
     keep = np.ones(len(seq), bool)
     keep[where + 1] = False
     return out[keep], head[keep]
 
 
-def frequent_pairs(seq: np.ndarray, head: np.ndarray, most: int, least: int) -> np.ndarray:
-    key = ((seq[:-1] << 32) | seq[1:])[~head[1:]]
-    key.sort()
-    if not len(key):
-        return key
-    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    count = np.diff(np.append(edge, len(key)))
-    pick = np.flatnonzero(count >= least)
-    if len(pick) > most:
-        pick = pick[np.argsort(-count[pick], kind="stable")[:most]]
-    return np.sort(key[edge[pick]])
-
-
 def compress(ids: np.ndarray, lengths: np.ndarray, base: int, pairs: int = PAIRS, rounds: int = ROUNDS, least: int = LEAST) -> dict:
     """Grammar of a block: rules per round, symbols, expansion lengths, and each document's first symbol."""
     seq = ids.astype(np.int64)
@@ -90,10 +97,10 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, pairs: int = PAIRS
     made, per_round = [], []
     first = base
     for _ in range(rounds):
-        new = frequent_pairs(seq, head, pairs, least)
+        new, where, number = frequent_pairs(seq, head, pairs, least)
         if not len(new):
             break
-        seq, head = replace_pairs(seq, head, new, first)
+        seq, head = replace_pairs(seq, head, where, number, first)
         made.append(new)
         per_round.append(len(new))
         first += len(new)
@@ -161,32 +168,64 @@ class Encoder:
 
         self.library, self.by_piece = Tokenizer.from_file(path), by_piece
         self.size = self.library.get_vocab_size(with_added_tokens=True)
+        self.word_end = np.zeros(self.size, bool)
+        self.word_end[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
 
     def learn(self, pieces: list[str]) -> None:
-        for piece, got in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+        """Put pieces in the memo; words of letters alone go to the library together, and each ends with its one word end."""
+        words, others = [], []
+        for p in pieces:
+            (words if p.isalpha() else others).append(p)
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, got in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = array("I", got.ids)
+            ends = (np.flatnonzero(self.word_end[np.frombuffer(ids, np.uint32)]) + 1).tolist() if len(ids) else []
+            if len(ends) == len(group):
+                begin = 0
+                for p, end in zip(group, ends, strict=True):
+                    self.memo[p] = ids[begin:end].tobytes()
+                    begin = end
+            else:
+                others += group
+        for piece, got in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.memo[piece] = array("I", got.ids).tobytes()
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.by_piece:
             return [np.array(got.ids, np.uint32) for got in self.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        split = [pieces_of(t) if t else [] for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         memo = self.memo
-        new = set().union(*split).difference(memo)
-        # a comma or stop after a letter is a token run of its own
-        tails = [p for p in new if len(p) > 1 and p[-1] in ",." and p[-2].isalpha()]
-        cores = {p[:-1] for p in tails}
-        self.learn(list((new.difference(tails) | cores | {",", "."}).difference(memo)))
-        for p in tails:
-            memo[p] = memo[p[:-1]] + memo[p[-1]]
-        return [np.frombuffer(b"".join(map(memo.__getitem__, s)), np.uint32) for s in split]
-
-
-def pieces_of(text: str) -> list[str]:
-    """What stands between single spaces, in lower case where that can't depend on its neighbours."""
-    return (text if "\u03a3" in text or "\u0130" in text else text.lower()).split(" ")
+        if len(memo) > MEMO:
+            memo.clear()
+        split = pc.split_pattern(pa.array([plain(t) if t else "" for t in texts], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(memo.get, pieces))
+        new = {p for p, i in zip(pieces, ids, strict=True) if i is None}
+        if new:
+            # signs after a letter are a token run of their own, up to the piece's end
+            tails = [(p, c) for p in new if (c := p.rstrip(SIGNS)) != p and c and c[-1].isalpha()]
+            todo = new.difference(p for p, _ in tails)
+            for p, c in tails:
+                todo.add(c)
+                todo.add(p[len(c) :])
+            self.learn([p for p in todo if p not in memo])
+            for p, c in tails:
+                memo[p] = memo[c] + memo[p[len(c) :]]
+            ids = list(map(memo.__getitem__, pieces))
+        every = np.frombuffer(b"".join(ids), np.uint32)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[which]
+        ends = np.cumsum(n)
+        flat = every[np.arange(int(n.sum())) + np.repeat((np.cumsum(size) - size)[which] - (ends - n), n)]
+        bounds = np.append(0, ends)[split.offsets.to_numpy()]
+        return [flat[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def plain(text: str) -> str:
+    """text with spaces for line ends, and in lower case where that can't depend on neighbours."""
+    return (text if "\u03a3" in text or "\u0130" in text else text.lower()).replace("\n", " ")
 
 
 def encoded(docs: DataFrame, path: str, by_piece: bool = True, block_chars: int = BLOCK_CHARS, partitions: int | None = None) -> DataFrame:
