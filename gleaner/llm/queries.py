@@ -8,6 +8,8 @@ import importlib
 NAMES = {
     "op1_decontaminate": "op1_decontaminate",
     "op2_vafile": "op2_vafile",
+    "op3_reshard": "op3_reshard",
+    "op7_merkle": "op7_merkle",
     "op8_langid": "op8_langid",
     "op9_mixing": "op9_mixing",
     "op10_repair": "op10_repair",
