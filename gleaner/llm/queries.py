@@ -9,6 +9,7 @@ NAMES = {
     "op1_decontaminate": "op1_decontaminate",
     "op2_vafile": "op2_vafile",
     "op3_reshard": "op3_reshard",
+    "op5_pii": "op5_pii",
     "op7_merkle": "op7_merkle",
     "op8_langid": "op8_langid",
     "op9_mixing": "op9_mixing",
