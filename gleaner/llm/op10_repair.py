@@ -1,7 +1,7 @@
 """Token files under Re-Pair grammar compression.
 
 Documents are range-partitioned by doc_id and sorted, so that the files hold them in ascending order. A task gathers
-documents and closes a block at about BLOCK_CHARS characters. In a block, rounds of Re-Pair replace the most frequent
+documents and closes a block at about BLOCK_BYTES of text. In a block, rounds of Re-Pair replace the most frequent
 pairs by new symbols (up to PAIRS pairs a round, all chosen from one count; a pair never spans the end of a document).
 A block's row holds the rules in the order made, each rule's expansion length, the symbol stream, where each document
 starts in it, and the documents' ids and lengths. From these any document, or any range of its ids, is decoded alone.
@@ -31,12 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import only, table, written
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-BLOCK_CHARS = 6 << 20
+BLOCK_BYTES = 5 << 20
 PAIRS = 8000
 ROUNDS = 3
 LEAST = 8  # a pair that occurs less often isn't worth a rule
@@ -191,13 +192,14 @@ class Encoder:
         for piece, got in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.memo[piece] = array("I", got.ids).tobytes()
 
-    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; a null text has none."""
         if not self.by_piece:
-            return [np.array(got.ids, np.uint32) for got in self.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            return [np.array(got.ids, np.uint32) for got in self.library.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        split = pc.split_pattern(pa.array([plain(t) if t else "" for t in texts], pa.large_string()), " ")
+        split = pc.split_pattern(plain(texts), " ")
         coded = split.flatten().dictionary_encode()
         pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(memo.get, pieces))
@@ -223,49 +225,61 @@ class Encoder:
         return [flat[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def plain(text: str) -> str:
-    """text with spaces for line ends, and in lower case where that can't depend on neighbours."""
-    return (text if "\u03a3" in text or "\u0130" in text else text.lower()).replace("\n", " ")
+def plain(texts: pa.Array) -> pa.Array:
+    """Texts with spaces for line ends, and in lower case but for two letters that some rules lower by their neighbours."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if pc.any(pc.match_substring_regex(texts, "[\u03a3\u0130]")).as_py():
+        low = pa.array([t if "\u03a3" in t or "\u0130" in t else t.lower() for t in texts.to_pylist()], pa.large_string())
+    else:
+        low = pc.utf8_lower(texts)
+    return pc.replace_substring(low, "\n", " ")
 
 
-def encoded(docs: DataFrame, path: str, by_piece: bool = True, block_chars: int = BLOCK_CHARS, partitions: int | None = None) -> DataFrame:
+def encoded(docs: DataFrame, path: str, by_piece: bool = True, block_bytes: int = BLOCK_BYTES, partitions: int | None = None) -> DataFrame:
     """Blocks of compressed ids in ascending doc_id order (SCHEMA); part and block number them in that order."""
     spark = docs.sparkSession
     partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    layout = to_arrow_schema(SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, block, inside = TaskContext.get().partitionId(), 0, 0
         encode = Encoder.at(path, by_piece)
         end = np.array([END], np.uint32)
-        docs_in: list[int | None] = []
-        texts: list[str | None] = []
-        chars = 0
+        held: list[pa.RecordBatch] = []
+        size = 0
 
-        def close() -> pd.DataFrame:
-            ids = [x for got in encode.batch(texts) for x in (got, end)]
+        def close() -> tuple[pa.RecordBatch, int]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ids = [x for got in encode.batch(rows["text"].combine_chunks()) for x in (got, end)]
             flat = np.concatenate(ids)
             lengths = np.array([len(x) + 1 for x in ids[::2]], np.int64)
-            row = {"part": part, "block": block, "n_docs": len(docs_in), "n_ids": len(flat), "inside": inside, "doc_ids": np.array([d or 0 for d in docs_in], "<i8").tobytes(), "doc_nulls": np.array([d is None for d in docs_in], np.uint8).tobytes(), "doc_lengths": lengths.astype("<u8").tobytes()}
-            return pd.DataFrame([row | compress(flat, lengths, encode.size)])[SCHEMA.fieldNames()]
+            docs_in = rows["doc_id"]
+            row = {"part": part, "block": block, "n_docs": len(rows), "n_ids": len(flat), "inside": inside, "doc_ids": pc.fill_null(docs_in, 0).to_numpy().astype("<i8").tobytes(), "doc_nulls": pc.is_null(docs_in).to_numpy().astype(np.uint8).tobytes(), "doc_lengths": lengths.astype("<u8").tobytes()}
+            return pa.RecordBatch.from_pylist([row | compress(flat, lengths, encode.size)], layout), len(flat)
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                docs_in.append(None if pd.isna(doc) else int(doc))
-                texts.append(text if isinstance(text, str) else None)
-                chars += len(text) if isinstance(text, str) else 0
-                if chars >= block_chars or len(texts) >= block_chars:
-                    out = close()
+            at = 0
+            bytes_upto = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            while at < len(batch):
+                done = int(bytes_upto[at - 1]) if at else 0
+                stop = min(len(batch), int(np.searchsorted(bytes_upto, done + block_bytes - size)) + 1)
+                held.append(batch.slice(at, stop - at))
+                size += int(bytes_upto[stop - 1]) - done
+                at = stop
+                if size >= block_bytes:
+                    out, n = close()
                     yield out
-                    docs_in, texts, chars, block, inside = [], [], 0, block + 1, inside + int(out["n_ids"][0])
-        if texts:
-            yield close()
+                    held, size, block, inside = [], 0, block + 1, inside + n
+        if held:
+            yield close()[0]
 
     ids = F.col("doc_id").asc_nulls_first()
-    keyed = only(docs, "doc_id", "text").withColumn("mix", F.xxhash64("text"))  # one doc_id may be on very many rows
-    ordered = keyed.repartitionByRange(partitions, ids, "mix").sortWithinPartitions(ids, "mix").drop("mix")
-    return ordered.mapInPandas(run, SCHEMA)
+    keyed = only(docs, "doc_id", "text").withColumn("from", F.spark_partition_id())  # one doc_id may be on very many rows
+    ordered = keyed.repartitionByRange(partitions, ids, "from").sortWithinPartitions(ids, "from").drop("from")
+    return ordered.mapInArrow(run, SCHEMA)
 
 
 def decoded(blocks: DataFrame) -> DataFrame:
