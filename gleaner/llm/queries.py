@@ -10,6 +10,7 @@ NAMES = {
     "op2_vafile": "op2_vafile",
     "op3_reshard": "op3_reshard",
     "op5_pii": "op5_pii",
+    "op6_kneser_ney": "op6_kneser_ney",
     "op7_merkle": "op7_merkle",
     "op8_langid": "op8_langid",
     "op9_mixing": "op9_mixing",
