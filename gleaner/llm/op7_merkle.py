@@ -1,14 +1,14 @@
 """Merkle fixity audit of WARC replicas.
 
-A replica is a sequence of WARC records; a record's leaf is the SHA-256 of its header, which names its offset, and
-its bytes. Records lie in order in ranges of RANGE numbers, and a range's tree has FAN children a node: an inner node hashes its
+A replica is a sequence of WARC records; a record's leaf is the SHA-256 of its offset and of the SHA-256 of its header and
+body, which the scan takes, so that no page moves between tasks. Records lie in order in ranges of RANGE numbers, and a range's tree has FAN children a node: an inner node hashes its
 children's hashes in order. Levels are DataFrames, a groupBy each, up to one root. The audit compares roots and goes down
 one level at a time with the nodes that differ, so that of an intact replica only the root is read, and of a damaged one
 only the branches above damage. A record that only one replica has differs in its leaf.
 
 Offsets come from range totals: within a range by a window, across ranges by a sum of totals (a row a range).
 
-Defined results: a null url or html is an empty one; records are numbered by page_id (null first), then url and html, so
+Defined results: a null url or html is an empty one; records are numbered by page_id (null first), then url and digest, so
 repeated rows each are a record; both replicas empty are alike and give no rows; other columns are ignored.
 """
 
@@ -30,13 +30,14 @@ WITH r AS (
          || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
          || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) AS head
   FROM r
+), h AS (SELECT *, sha256(head || html || chr(13) || chr(10) || chr(13) || chr(10)) AS leaf FROM b
 ), o AS (
   SELECT *, row_number() OVER w - 1 AS record, strlen(head) + n + 4 AS size,
          CAST(sum(strlen(head) + n + 4) OVER w AS BIGINT) - (strlen(head) + n + 4) AS start
-  FROM b WINDOW w AS (ORDER BY page_id NULLS FIRST, url, html ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  FROM h WINDOW w AS (ORDER BY page_id NULLS FIRST, url, leaf ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 )
 SELECT page_id, CAST(record AS BIGINT) AS record, CAST(start AS BIGINT) AS start, CAST(size AS BIGINT) AS size,
-       sha256(CAST(start AS VARCHAR) || ':' || head || html || chr(13) || chr(10) || chr(13) || chr(10)) AS leaf,
+       sha256(CAST(start AS VARCHAR) || ':' || leaf) AS leaf,
        substr(md5('rot-' || coalesce(CAST(page_id AS VARCHAR), '')), 1, 1) = '0' AND substr(md5('rot-' || coalesce(CAST(page_id AS VARCHAR), '')), 2, 1) < '4' AND n > 0 AS corrupt
 FROM o
 """
@@ -50,26 +51,29 @@ def header(url: Column, page_id: Column, html: Column) -> Column:
     )
 
 
-def records(pages: DataFrame, ranges: int) -> DataFrame:
-    """page_id, record number, start offset, size and leaf hash of every page, as one WARC sequence."""
-    keys = [F.col("page_id").asc_nulls_first(), F.col("url"), F.col("html")]
+def digest(html: Column, url: Column | None = None, page_id: Column | None = None) -> Column:
+    """SHA-256 of a record's header and body."""
+    return F.sha2(F.concat(header(F.col("url") if url is None else url, F.col("page_id") if page_id is None else page_id, html), html, F.lit("\r\n\r\n")), 256)
+
+
+def records(pages: DataFrame, ranges: int, **copies: Column) -> DataFrame:
+    """page_id, record number, start offset, size and leaf of every page, as one WARC sequence; a further leaf for each
+    further replica, given as the html it holds."""
     given = only(pages, "page_id", "url", "html").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    raw = given.withColumn("head", header(F.col("url"), F.col("page_id"), F.col("html"))).withColumn("size", (F.octet_length("head") + F.octet_length("html") + 4).cast("long"))
-    placed = raw.repartitionByRange(ranges, F.col("page_id").asc_nulls_first(), "url", "html").withColumn("part", F.spark_partition_id())
+    held = {"leaf": F.col("html"), **copies}
+    size = F.octet_length(header(F.col("url"), F.col("page_id"), F.col("html"))) + F.octet_length("html") + 4
+    slim = given.select("page_id", "url", size.cast("long").alias("size"), *[digest(html).alias(name) for name, html in held.items()])
+    placed = slim.repartitionByRange(ranges, F.col("page_id").asc_nulls_first(), "url", "leaf").withColumn("part", F.spark_partition_id())
     placed = written(placed, "warc")  # the ranges now are data, whatever runs again
-    inside = Window.partitionBy("part").orderBy(*keys)
+    inside = Window.partitionBy("part").orderBy(F.col("page_id").asc_nulls_first(), "url", "leaf")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     totals = placed.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))  # a row for each range
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("b0"))
     numbered = placed.withColumn("k", F.row_number().over(inside) - 1).withColumn("b", F.sum("size").over(upto) - F.col("size")).join(F.broadcast(starts), "part")
     start = F.col("b") + F.col("b0")
-    end = F.lit("\r\n\r\n")
-    return numbered.select("page_id", (F.col("k") + F.col("n0")).cast("long").alias("record"), start.alias("start"), "size", "url", "html", F.sha2(F.concat(start.cast("string"), F.lit(":"), F.col("head"), F.col("html"), end), 256).alias("leaf"))
-
-
-def leaf_of(start: Column, url: Column, page_id: Column, html: Column) -> Column:
-    return F.sha2(F.concat(start.cast("string"), F.lit(":"), header(url, page_id, html), html, F.lit("\r\n\r\n")), 256)
+    leaves = [F.sha2(F.concat(start.cast("string"), F.lit(":"), F.col(name)), 256).alias(name) for name in held]
+    return numbered.select("page_id", (F.col("k") + F.col("n0")).cast("long").alias("record"), start.alias("start"), "size", *leaves)
 
 
 def parents(level: DataFrame, fan: int) -> DataFrame:
@@ -115,9 +119,8 @@ def rotten(page_id: Column) -> Column:
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as a WARC replica, audited against a copy in which some records rotted; a row per record."""
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = written(records(table(spark, sf_dir, "pages"), ranges), "replica")
     bad = rotten(F.col("page_id")) & (F.length("html") > 0)
     rot = F.when(bad, F.concat(F.translate(F.substring("html", 1, 1), "<a", "a<"), F.lit("\u0001"), F.expr("substring(html, 3)"))).otherwise(F.col("html"))
-    copy = kept.select("record", leaf_of(F.col("start"), F.col("url"), F.col("page_id"), rot).alias("leaf"))
-    found = damaged(tree(kept), tree(copy)).withColumnRenamed("node", "record").withColumn("corrupt", F.lit(True))
+    kept = written(records(table(spark, sf_dir, "pages"), ranges, copy=rot), "leaves")
+    found = damaged(tree(kept), tree(kept.select("record", F.col("copy").alias("leaf")))).withColumnRenamed("node", "record").withColumn("corrupt", F.lit(True))
     return kept.join(found, "record", "left").select("page_id", "record", "start", "size", "leaf", F.coalesce("corrupt", F.lit(False)).alias("corrupt"))

@@ -9,6 +9,7 @@ NAMES = {
     "op1_decontaminate": "op1_decontaminate",
     "op2_vafile": "op2_vafile",
     "op3_reshard": "op3_reshard",
+    "op4_jaccard": "op4_jaccard",
     "op5_pii": "op5_pii",
     "op6_kneser_ney": "op6_kneser_ney",
     "op7_merkle": "op7_merkle",
