@@ -41,7 +41,7 @@ def normalized(text: Column, base: Column) -> Column:
 
 
 def recency(then: Column, base: Column) -> Column:
-    days = F.floor((F.unix_seconds(base) - F.unix_seconds(then)) / 86400)
+    days = F.floor((F.unix_seconds(base) - F.unix_seconds(then.cast("timestamp"))) / 86400)
     out = F.lit(0.1)
     for most, score in reversed(RECENCY):
         out = F.when(days <= most, score).otherwise(out)
@@ -54,4 +54,4 @@ def epoch(value: Column) -> Column:
 
 
 def expired(created: Column, base: Column, ttl_seconds: int) -> Column:
-    return F.unix_seconds(created) < F.unix_seconds(base) - ttl_seconds
+    return F.unix_seconds(created.cast("timestamp")) < F.unix_seconds(base) - ttl_seconds

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 #: Units of a currency per US dollar.
 RATES = {"USD": 1.0, "EUR": 0.92, "GBP": 0.79, "JPY": 149.5, "CAD": 1.35, "AUD": 1.52, "CHF": 0.88, "CNY": 7.24, "INR": 83.1, "BRL": 4.95}
 #: Currency signs, the first that a text holds wins.
@@ -16,9 +18,12 @@ SALE = ("sale", "discount", "offer", "deal", "special", "clearance", "reduced",
 
 
 def currency(text: Column, default: str = "USD") -> Column:
-    out = F.lit(default)
+    word = F.upper(F.regexp_extract(text, rf"(?i)\b({'|'.join(CODES)})\b", 1))
+    several = text.rlike(rf"(?i)\b(?:{'|'.join(CODES)})\b.*\b(?:{'|'.join(CODES)})\b")
+    first = F.lit(default)
     for code in reversed(CODES):
-        out = F.when(text.rlike(rf"(?i)\b{code}\b"), code).otherwise(out)
+        first = F.when(text.rlike(rf"(?i)\b{code}\b"), code).otherwise(first)
+    out = F.when(several, first).when(word != "", word).otherwise(default)
     for sign, code in reversed(SIGNS):
         out = F.when(text.contains(sign), code).otherwise(out)
     return out
@@ -26,15 +31,18 @@ def currency(text: Column, default: str = "USD") -> Column:
 
 def amount(text: Column) -> Column:
     """The first number of a text, with the decimal sign guessed: the later of comma and point, or one comma near the end."""
-    bare = F.regexp_replace(text, r"[^0-9.,\-]", " ")
-    commas = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
-    last = lambda sign: F.length(bare) - F.instr(F.reverse(bare), sign)
-    both = bare.contains(",") & bare.contains(".")
-    european = F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    plain = F.replace(bare, F.lit(","), F.lit(""))
-    near_end = (commas == 1) & (last(",") > F.length(bare) - 4)
-    fixed = F.when(both, F.when(last(",") > last("."), european).otherwise(plain)).when(near_end, F.replace(bare, F.lit(","), F.lit("."))).otherwise(plain)
-    return F.regexp_extract(fixed, r"-?[0-9]+\.?[0-9]*", 0).try_cast("decimal(38,10)")
+
+    def of(bare: Column) -> Column:
+        commas = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
+        last = lambda sign: F.length(bare) - F.instr(F.reverse(bare), sign)
+        european = F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        plain = F.replace(bare, F.lit(","), F.lit(""))
+        near_end = (commas == 1) & (last(",") > F.length(bare) - 4)
+        both = bare.contains(",") & bare.contains(".")
+        fixed = F.when(both, F.when(last(",") > last("."), european).otherwise(plain)).when(near_end, F.replace(bare, F.lit(","), F.lit("."))).otherwise(plain)
+        return F.regexp_extract(fixed, r"-?[0-9]+\.?[0-9]*", 0).try_cast("decimal(38,10)")
+
+    return bound(F.regexp_replace(text, r"[^0-9.,\-]", " "), of)
 
 
 def rate(code: Column) -> Column:
@@ -48,14 +56,18 @@ def is_sale(text: Column) -> Column:
 
 def normalized(text: Column, target: str = "USD") -> Column:
     """struct(value, currency, usd, is_sale); as the rates are per dollar, normalising multiplies by them."""
-    code, value = currency(text), amount(text)
-    usd = F.when(code == target, value.cast("double")).otherwise(F.bround(value.cast("double") * rate(code), 2))
-    return F.struct(value.cast("double").alias("value"), code.alias("currency"), usd.alias("usd"), is_sale(text).alias("is_sale"))
+
+    def of(p: Column) -> Column:
+        usd = F.when(p["code"] == target, p["value"]).otherwise(F.bround(p["value"] * rate(p["code"]).cast("decimal(12,6)"), 2))
+        return F.struct(p["value"].cast("double").alias("value"), p["code"].alias("currency"), usd.cast("double").alias("usd"), p["sale"].alias("is_sale"))
+
+    return bound(F.struct(amount(text).cast("decimal(24,6)").alias("value"), currency(text).alias("code"), is_sale(text).alias("sale")), of)
 
 
-def convert(value: Column, source: Column, target: Column) -> Column:
+def convert(value: Column, source: Column, target: Column, digits: int | None = 2) -> Column:
     """From one currency to another by way of dollars."""
-    return F.bround(value / rate(source) * rate(target), 2)
+    made = value / rate(source) * rate(target)
+    return made if digits is None else F.bround(made, digits)
 
 
 def all_prices(text: Column) -> Column:

@@ -55,10 +55,19 @@ def fingerprint(c: Column) -> Column:
     return F.substring(F.sha2(F.when(F.length(c) > 1000, ends).otherwise(c), 256), 1, 16)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, also where use() names it in a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def shingles(words: Column, n: int) -> Column:
     """Word n-grams; the words together where there are fewer than n."""
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, many).otherwise(F.array(F.array_join(words, " ")))
+
+    def of(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, many).otherwise(F.array(F.array_join(w, " ")))
+
+    return bound(words, of)
 
 
 def sentiment(c: Column) -> Column:
