@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, scalars
+from . import relational, scalars, streams
 
-MODULES = (scalars, relational)
+MODULES = (scalars, relational, streams)
 
 
 def queries() -> dict:
