@@ -34,6 +34,7 @@ THRESHOLD = 0.8
 RECALL = 0.995
 BLOCK = 256
 SEED = 20_240_101
+BLOOM = 1 << 18
 CHUNK = 1 << 21  # n-grams times permutations held at once
 
 
@@ -130,7 +131,7 @@ def sketches(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root) of the graph of (a, b) strings: the least node of each component.
+    """(node, root) of the graph of (a, b): the least node of each component.
 
     Rounds of large-star and small-star: every node's neighbours are joined to the least of them, until nothing changes;
     each round is a groupBy and a join on nodes, and ends in a checkpoint.
@@ -257,13 +258,14 @@ def joined(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, re
     bands, rows = bands_for(threshold, recall)
     sketch = written(sketches(docs, ngram, bands, rows), "sketches")
     classes = sketch.where("set is not null").groupBy("set").agg(F.min_by(F.struct("doc_id", "h"), F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("rep"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = checkpointed(classes)
-    # stars: a bucket's least class, for buckets with more than one
-    dealt = classes.select("set", F.posexplode("bands").alias("band", "bucket"))
-    least = dealt.groupBy("band", "bucket").agg(F.min("set").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = dealt.join(least, ["band", "bucket"]).where("set <> least").select(F.col("set").alias("a"), F.col("least").alias("b")).distinct()
+    # a class's node is half of its digest: should two classes share one, they are candidates of each other and no more
+    classes = checkpointed(classes.withColumn("node", F.conv(F.substring("set", 2, 15), 16, 10).cast("long")))
+    # stars: a bucket's least node, for buckets with more than one
+    dealt = classes.select("node", F.explode("bands").alias("bucket"))
+    least = dealt.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = dealt.join(least, "bucket").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     near = components(checkpointed(stars))
-    member = near.select(F.col("node").alias("set"), "root").join(classes.select("set", "rep", "members", "n"), "set")
+    member = near.join(classes.select("node", "set", "rep", "members", "n"), "node").drop("node")
     member = checkpointed(blocked(member, block))
     # the blocks' size ranges: a row each; a pair of blocks is compared where sizes allow the threshold
     ranges = member.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -271,7 +273,7 @@ def joined(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, re
     pairs = left.join(right, "root").where((F.col("left") <= F.col("right")) & (F.col("right_low") * threshold <= F.col("left_high") + 1e-6))
     sides = pairs.select("root", "left", "right", F.explode(F.when(F.col("left") == F.col("right"), F.array(F.struct(F.col("left").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("left").alias("block"), F.lit(0).alias("side")), F.struct(F.col("right").alias("block"), F.lit(1).alias("side"))))).alias("s")).select("root", "left", "right", "s.block", "s.side")
     placed = member.join(sides, ["root", "block"]).select("root", "left", "right", "side", "set", "members", "rep")
-    texts = only(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    texts = perhaps(only(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")), member.select(F.xxhash64("rep.doc_id", "rep.h").alias("key")))
     wanted = member.select("set", F.col("rep.doc_id").alias("d"), F.col("rep.h").alias("k"))
     full = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).groupBy("set").agg(F.first("text").alias("text"))
     checked = verified(placed.drop("rep").join(full, "set"), threshold, ngram, partitions)
@@ -285,6 +287,29 @@ def joined(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, re
     return sketch.where("set is not null").select("doc_id", "h", "set").join(named, "set").drop("set").select("doc_id", "h", "class_id", "class_size", "n_links").unionByName(alone)
 
 
+def perhaps(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """texts (doc_id, text, h) without most rows whose key is not among keys: a Bloom filter of fixed size (BLOOM words of 64
+    bits) saves their shuffle, and lets more of them pass where keys are very many; the join that follows is what decides."""
+    bit = lambda k: F.pmod(F.xxhash64("key", F.lit(k)), F.lit(BLOOM * 64))
+    bits = keys.select(F.explode(F.array(*[bit(k) for k in range(3)])).alias("bit"))
+    filled = bits.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(bit, 64) as int))")).alias("mask"))
+    table_ = np.zeros(BLOOM, np.uint64)
+    for word, mask in filled.toLocalIterator():  # BLOOM rows at most
+        table_[word] = np.uint64(mask & 0xFFFFFFFFFFFFFFFF)
+    sent = texts.sparkSession.sparkContext.broadcast(table_)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = np.ones(len(b), bool)
+            for k in range(3):
+                at = b[f"b{k}"].to_numpy(np.int64)
+                ok &= (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+            yield b.loc[ok, ["doc_id", "text", "h"]]
+
+    probed = texts.withColumn("key", F.xxhash64("doc_id", "h")).select("doc_id", "text", "h", *[bit(k).alias(f"b{k}") for k in range(3)])
+    return probed.mapInPandas(run, "doc_id long, text string, h long")
+
+
 def blocked(member: DataFrame, block: int) -> DataFrame:
     """member with its block's number in its component, by set size: sizes are summed first, then ranked within a size."""
     from pyspark.sql import Window
