@@ -35,7 +35,7 @@ from .common import checkpointed, only, spread, table, written
 ORDER = 5
 BITS = 12
 SYMBOLS = 1 << BITS
-BLOCK = 6 << 20  # characters
+BLOCK = 4 << 20  # characters
 SAMPLE = 20_000
 TRUST = 0.8
 QUANTILE = 0.998
@@ -47,21 +47,26 @@ FEATURES = 6
 
 
 def symbols(text: str) -> np.ndarray:
-    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where(a < SYMBOLS, a, SYMBOLS // 2 + a % (SYMBOLS // 2))
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(a) and a.max() >= SYMBOLS:
+        a = np.where(a < SYMBOLS, a, SYMBOLS // 2 + a % (SYMBOLS // 2))
+    return a.astype(np.uint16)
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The 5-gram that ends at each character of the texts, one after the other, and the texts' lengths."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     a = symbols("".join(texts))
-    place = np.arange(len(a)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    key = a.copy()
+    starts = np.cumsum(lengths) - lengths
+    key = a.astype(np.int64)
     for back in range(1, ORDER):
-        before = np.full(len(a), START, np.int64)
-        before[back:] = a[:-back] if back < len(a) else a[:0]
-        before[place < back] = START
-        key |= before << (BITS * back)
+        before = np.full(len(a), START, np.uint16)
+        before[back:] = a[: max(0, len(a) - back)]
+        for k in range(back):  # the first characters of each text have the start before them
+            before[starts[lengths > k] + k] = START
+        wide = before.astype(np.int64)
+        wide <<= BITS * back
+        key |= wide
     return key, lengths
 
 
