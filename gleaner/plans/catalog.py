@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, scalars, streams
+from . import more, relational, scalars, streams
 
-MODULES = (scalars, relational, streams)
+MODULES = (scalars, relational, streams, more)
 
 
 def queries() -> dict:

@@ -80,3 +80,18 @@ def test_stream_agrees_with_replay(spark, tmp_path):
     assert windows.replayed(events, windows.distinct(source, "user_id"), "s_distinct").count() == 3
     batch, live = windows.rates(events), windows.replayed(events, windows.rates(source), "s_rates", "complete")
     assert sorted(map(str, live.collect())) == sorted(map(str, batch.collect()))
+
+
+def test_plugins(spark):
+    import pytest
+
+    from gleaner.operators.plugins import Registry
+
+    r = Registry()
+    r.add("transformer", "double", lambda d: d.withColumn("x", F.col("x") * 2))
+    r.add("transformer", "next", lambda d: d.withColumn("x", F.col("x") + 1), needs=("double",))
+    r.add("validator", "positive", lambda: F.col("x") <= 0)
+    with pytest.raises(ValueError):
+        r.add("hook", "late", print, needs=("absent",))
+    df = r.transform(spark.createDataFrame([(1,), (-3,)], "x long"))
+    assert [x["valid"] for x in records.validated(df, r.rules(), {}).orderBy("x").collect()] == [False, True]
