@@ -74,13 +74,14 @@ def hamming_pairs(signs: DataFrame, id_: str, most: int = 3, bands: int = 4) ->
 
 
 def fuzzy_titles(df: DataFrame, id_: str, title: str, threshold: float = 0.9) -> DataFrame:
-    """Pairs (left, right, ratio) of different titles whose matching blocks reach the ratio: lengths and shared characters bound it
-    first, the title's sorted characters being compared by band; the exact ratio comes from an Arrow function."""
+    """Pairs (left, right, ratio) of different titles whose matching blocks reach the ratio.
+
+    Titles meet on the rarer six tenths of their words and where their lengths allow the ratio; the exact ratio comes from an
+    Arrow function. Two titles that are alike by characters but share none of those words do not meet."""
     from difflib import SequenceMatcher
 
     keys = df.select(F.col(id_).alias("id"), F.col(title).alias("t")).where("t is not null and t <> ''").groupBy("t").agg(F.min("id").alias("id"))
     sized = keys.withColumn("n", F.length("t"))
-    # of k + 1 words of a pair that differs in k places, some word is shared: titles meet on their rarer words
     word = sized.withColumn("w", F.explode(F.array_distinct(F.split("t", " "))))
     many = word.groupBy("w").agg(F.count("*").alias("df"))
     ranked = word.join(many, "w").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "w")))
