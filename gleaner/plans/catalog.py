@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import more, relational, scalars, streams
+from . import extra, more, relational, scalars, streams
 
-MODULES = (scalars, relational, streams, more)
+MODULES = (scalars, relational, streams, more, extra)
 
 
 def queries() -> dict:
