@@ -23,6 +23,19 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(FOLD).split() if text else []
 
 
+def trim() -> None:
+    """Give back what a worker's allocators keep after a block: workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
     sc = spark.sparkContext

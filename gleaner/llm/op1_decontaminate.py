@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import only, spread, table, words
+from .common import only, spread, table, trim, words
 
 WIDTH = 10
 SHARD_WORDS = 1 << 20
@@ -217,8 +217,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_words:
                 if size >= shard_words:
                     yield flush(ids, texts)
                     ids, texts, size = [], [], 0
+                    trim()
         if ids:
             yield flush(ids, texts)
+        trim()
 
     return spread(only(docs, "doc_id", "text")).mapInPandas(run, SCHEMA)
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, only, spread, table, words, written
+from .common import checkpointed, only, spread, table, trim, words, written
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -35,7 +35,7 @@ RECALL = 0.995
 BLOCK = 256
 SEED = 20_240_101
 BLOOM = 1 << 18
-CHUNK = 1 << 21  # n-grams times permutations held at once
+CHUNK = 1 << 20  # n-grams times permutations held at once
 
 
 def bands_for(threshold: float, recall: float, noise: float = 0.5, most: int = 512) -> tuple[int, int]:
@@ -125,6 +125,8 @@ def sketches(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
                 else:
                     bucket.append(None)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "h": batch["h"], "n": n, "set": digest, "bands": bucket})
+        del grams_of
+        trim()
 
     given = spread(only(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")))
     return given.mapInPandas(run, "doc_id long, h long, n int, set string, bands array<long>")
@@ -246,6 +248,8 @@ def verified(members: DataFrame, threshold: float, ngram: int, partitions: int)
             done.append(close())
         if done:
             yield pd.concat(done)
+        del grams_of
+        trim()
 
     keyed = members.repartition(partitions, "root", "left", "right").sortWithinPartitions("root", "left", "right", "side", "set")
     return keyed.mapInPandas(run, "set string, other string, links long")

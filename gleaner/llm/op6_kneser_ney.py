@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, only, spread, table, written
+from .common import checkpointed, only, spread, table, trim
 
 ORDER = 5
 BITS = 12
@@ -173,8 +173,11 @@ def blocks(batches: Iterator[pd.DataFrame], cols: list[str]) -> Iterator[tuple[i
             if size >= BLOCK:
                 yield number, pd.concat(held)[cols]
                 held, size, number = [], 0, number + 1
+                trim()
     if held:
         yield number, pd.concat(held)[cols]
+    held = []
+    trim()
 
 
 def cut(docs: DataFrame) -> DataFrame:
@@ -399,6 +402,8 @@ def scored(docs: DataFrame, found: DataFrame, weights: np.ndarray | None, shards
                 value[order] = np.repeat(logarithms(asked, p, g), np.diff(np.append(edge, len(key))))
                 sums = np.add.reduceat(value, np.cumsum(lengths) - lengths)
                 yield pd.DataFrame({"doc_id": t["doc_id"].astype("Int64"), "lang": t["lang"], "h": t["h"], "n": lengths, "trusted": is_trusted(texts, weights), "logp": sums})
+                del t, texts, key, order, ordered, value, asked, p, g
+                trim()
 
     texts = cut(docs).mapInPandas(send, "block long, kind int, shard int, data binary")
     both = found.unionByName(texts).repartition(partitions, "block").sortWithinPartitions("block", "kind", "shard")
