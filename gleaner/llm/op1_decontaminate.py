@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import only, spread, table, trim, words
 
 WIDTH = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 SAMPLE = 8
 BLOCK_BYTES = 16 << 20
 
