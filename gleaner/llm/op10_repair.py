@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import only, table, written
+from .common import only, table, trim, written
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -172,6 +172,7 @@ class Encoder:
         self.word_end = np.zeros(self.size, bool)
         self.word_end[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, pieces: list[str]) -> None:
         """Put pieces in the memo; words of letters alone go to the library together, and each ends with its one word end."""
@@ -180,13 +181,11 @@ class Encoder:
             (words if p.isalpha() else others).append(p)
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         for group, got in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = array("I", got.ids)
-            ends = (np.flatnonzero(self.word_end[np.frombuffer(ids, np.uint32)]) + 1).tolist() if len(ids) else []
+            ids = np.array(got.ids, np.uint32)
+            ends = ((np.flatnonzero(self.word_end[ids]) + 1) * 4).tolist()
             if len(ends) == len(group):
-                begin = 0
-                for p, end in zip(group, ends, strict=True):
-                    self.memo[p] = ids[begin:end].tobytes()
-                    begin = end
+                raw = ids.tobytes()
+                self.memo.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
             else:
                 others += group
         for piece, got in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
@@ -196,25 +195,30 @@ class Encoder:
         """Ids of each text; a null text has none."""
         if not self.by_piece:
             return [np.array(got.ids, np.uint32) for got in self.library.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
+        if len(self.memo) > MEMO // 2:  # what is still in use comes back from the older half
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
         split = pc.split_pattern(plain(texts), " ")
         coded = split.flatten().dictionary_encode()
         pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(memo.get, pieces))
         new = {p for p, i in zip(pieces, ids, strict=True) if i is None}
         if new:
+            back = {p: i for p in new if (i := older.get(p)) is not None}
+            memo.update(back)
+            new.difference_update(back)
             # signs after a letter are a token run of their own, up to the piece's end
             tails = [(p, c) for p in new if (c := p.rstrip(SIGNS)) != p and c and c[-1].isalpha()]
             todo = new.difference(p for p, _ in tails)
             for p, c in tails:
                 todo.add(c)
                 todo.add(p[len(c) :])
+            back = {p: i for p in todo if p not in memo and (i := older.get(p)) is not None}
+            memo.update(back)
             self.learn([p for p in todo if p not in memo])
             for p, c in tails:
                 memo[p] = memo[c] + memo[p[len(c) :]]
-            ids = list(map(memo.__getitem__, pieces))
+            ids = [memo[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
         every = np.frombuffer(b"".join(ids), np.uint32)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         which = coded.indices.to_numpy(zero_copy_only=False)
@@ -275,6 +279,7 @@ def encoded(docs: DataFrame, path: str, by_piece: bool = True, block_bytes: int
                     held, size, block, inside = [], 0, block + 1, inside + n
         if held:
             yield close()[0]
+        trim()
 
     ids = F.col("doc_id").asc_nulls_first()
     keyed = only(docs, "doc_id", "text").withColumn("from", F.spark_partition_id())  # one doc_id may be on very many rows
