@@ -56,9 +56,10 @@ SCHEMA = T.StructType(
 
 def frequent_pairs(seq: np.ndarray, head: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs to replace (left * 2**32 + right), every place where one stands in ascending order, and its number."""
-    last = int(seq.max(initial=0)) + 1
     left, right = seq[:-1], seq[1:]
-    key = (left * last + right).astype(np.uint32 if last <= 1 << 16 else np.int64)
+    narrow = int(seq.max(initial=0)) < 1 << 16
+    shift = 16 if narrow else 32
+    key = (left << np.uint32(16)) | right if narrow else (left.astype(np.uint64) << np.uint64(32)) | right
     key[head[1:]] = 0
     order = np.argsort(key)
     ordered = key[order]
@@ -69,12 +70,13 @@ def frequent_pairs(seq: np.ndarray, head: np.ndarray, most: int, least: int) ->
     pick = np.flatnonzero(count >= least)
     if len(pick) > most:
         pick = np.sort(pick[np.argsort(-count[pick], kind="stable")[:most]])
-    number = np.full(len(key), -1, np.int64)
-    within = np.arange(int(count[pick].sum())) - np.repeat(np.cumsum(count[pick]) - count[pick], count[pick])
-    number[order[np.repeat(edge[pick], count[pick]) + within]] = np.repeat(np.arange(len(pick)), count[pick])
+    many = count[pick]
+    number = np.full(len(key), -1, np.int32)
+    within = np.arange(int(many.sum())) + np.repeat(edge[pick] - (np.cumsum(many) - many), many)
+    number[order[within]] = np.repeat(np.arange(len(pick), dtype=np.int32), many)
     where = np.flatnonzero(number >= 0)
     found = ordered[edge[pick]].astype(np.int64)
-    return (found // last << 32) | found % last, where, number[where]
+    return (found >> shift << 32) | (found & ((1 << shift) - 1)), where, number[where]
 
 
 def replace_pairs(seq: np.ndarray, head: np.ndarray, where: np.ndarray, number: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +86,7 @@ def replace_pairs(seq: np.ndarray, head: np.ndarray, where: np.ndarray, number:
     take = (count - np.maximum.accumulate(np.where(fresh, count, 0))) % 2 == 0
     where, number = where[take], number[take]
     out = seq.copy()
-    out[where] = first + number
+    out[where] = np.uint32(first) + number.astype(np.uint32)
     keep = np.ones(len(seq), bool)
     keep[where + 1] = False
     return out[keep], head[keep]
@@ -92,7 +94,7 @@ def replace_pairs(seq: np.ndarray, head: np.ndarray, where: np.ndarray, number:
 
 def compress(ids: np.ndarray, lengths: np.ndarray, base: int, pairs: int = PAIRS, rounds: int = ROUNDS, least: int = LEAST) -> dict:
     """Grammar of a block: rules per round, symbols, expansion lengths, and each document's first symbol."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     head = np.zeros(len(seq), bool)
     head[(np.cumsum(lengths) - lengths)] = True
     made, per_round = [], []
@@ -120,13 +122,13 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, pairs: int = PAIRS
 
 def expand(symbols: np.ndarray, rules: np.ndarray, rounds: np.ndarray, base: int) -> np.ndarray:
     """The ids that symbols stand for; a round's rules are undone together, the last round's first."""
-    seq, end = symbols.astype(np.int64), base + len(rules)
+    seq, end = symbols.astype(np.uint32), int(base) + len(rules)
     for n in rounds[::-1].tolist():
         start = end - n
         made = seq >= start
         out = np.repeat(seq, 1 + made)
         at = np.flatnonzero(made) + np.arange(int(made.sum()))
-        rule = rules[out[at] - base]
+        rule = rules[out[at] - np.uint32(base)]
         out[at], out[at + 1] = rule[:, 0], rule[:, 1]
         seq, end = out, start
     return seq
