@@ -38,8 +38,8 @@ SYMBOLS = 1 << BITS
 BLOCK = 4 << 20  # characters
 SAMPLE = 20_000
 TRUST = 0.8
-QUANTILE = 0.998
-MARGIN = 1.25
+QUANTILE = 0.99  # with MARGIN: the largest difference of labelled good and bad documents kept, see the README
+MARGIN = 1.0
 SHARD_ROWS = 1 << 19  # n-grams of the model in a shard, on average
 START = 2  # the symbol before a text
 UNIFORM = -np.log(SYMBOLS)

@@ -276,6 +276,18 @@ def test_quality_rejects_noise(spark):
     assert all(got[k] for k in range(60)) and not any(got[100 + k] for k in range(12))
 
 
+def test_quality_rejects_repetition(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = op6.judged(op6.perplexities(docs, labels)).select("doc_id", "keep").join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    repeats = lambda t: len(w := t.split()) > 5 and len(set(w)) <= 0.15 * len(w)
+    kept = lambda quality, ok=lambda t: True: [x["keep"] for x in got if x["quality"] == quality and ok(x["text"])]
+    good, bad, junk = kept(1), kept(0), kept(0, repeats)
+    assert len(junk) > 5 and sum(junk) <= 0.25 * len(junk), (sum(junk), len(junk))
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad), (sum(good), len(good), sum(bad), len(bad))
+
+
 def test_merkle(spark):
     rows = [(k, f"http://x/{k}", None if k % 7 == 0 else prose(k, 5)) for k in range(300)] + [(5, "http://x/5", "copy"), (None, None, "z"), (5, "http://x/5", "copy")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("size", F.lit("clash"))
