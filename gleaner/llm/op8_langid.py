@@ -2,10 +2,15 @@
 
 A known word adds its log frequency per language. An unseen word adds the mean log frequency of its longest n-grams
 that training has seen (GRAMS characters at most, with marks at both ends; then one less, down to single characters).
-Counts are kept in hashed tables of a fixed number of slots (2**WORD_BITS for words, 2**GRAM_BITS for n-grams of all
-lengths), so the model's size is bounded by slots times languages whatever the corpus; with more than 16 languages the
-slots become fewer in proportion. Tasks count into such tables and send their filled slots, packed by slot range; the
-ranges are added apart and the sums, of bounded size, go to the tasks as one broadcast.
+
+1. Words: tasks count words by language and send them as they are; sums by word make a table of all distinct words, those
+   of texts that teach nothing among them. N-grams of known words are counted by a 64-bit hash of their length and characters.
+2. Unseen words of that table meet the n-grams in a join. Each word so gets its values once, whatever its occurrences: what
+   a language has over its floor, in whole parts of 1/SCALE, so that sums don't depend on their order.
+3. The most frequent words (HEAD values at most) go to the tasks as one broadcast. A document's other words, a small
+   part of the text and none of them frequent, are sent and meet the table in a join by word.
+
+So words are told apart exactly at every size, and the broadcast has a fixed bound.
 
 Defined results: a text null or without letters is `und` with score 0, and so is every text if nothing was learned. Equal
 totals go to the language first by code point. Documents with null lang or null text teach nothing. A null doc_id counts as an empty
@@ -17,32 +22,29 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, spread, table
+from .common import checkpointed, only, spread, table
 
 GRAMS = 5
-WORD_BITS = 20
-GRAM_BITS = 20
+HEAD = 1 << 20  # values (words times languages) of the broadcast
 LANGUAGES = 4096
-RANGES = 32
 CHUNK = 4 << 20  # characters counted or scored at once
+DISTINCT = 1 << 18  # words counted before they are sent
 ALPHA = 0.5
+SCALE = 1 << 20
+NONE, WORD, GRAM = 0, 1, 2  # what a word's values come from
 LETTERS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_slots(words: list[str], bits: int) -> np.ndarray:
-    return np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, len(words)) & ((1 << bits) - 1)
-
-
-def gram_slots(words: list[str], n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all n-grams of the words with a mark at both ends, and the number of the word each is from."""
+def gram_keys(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of all n-grams of the words with a mark at both ends, and the number of the word each is from."""
     text = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     word = np.cumsum(text == 2) - 1
     if len(text) < n:
@@ -54,163 +56,212 @@ def gram_slots(words: list[str], n: int, bits: int) -> tuple[np.ndarray, np.ndar
     inside = word[: len(h)] == word[n - 1 :]
     if n == 1:
         inside = text > 3
-    return (h[inside] >> np.uint64(64 - bits)).astype(np.int64), word[: len(h)][inside]
+    return h[inside].view(np.int64), word[: len(h)][inside]
+
+
+def held_out() -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+
+
+def counted(docs: DataFrame, number: dict[str, int]) -> DataFrame:
+    """(word, lang, n): every word with its count by number of language, or under -1 where the text teaches nothing."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, Counter] = {}
+        waiting: dict[int, list[str]] = {}
+        size: Counter = Counter()
 
+        def add(k: int) -> None:
+            held.setdefault(k, Counter()).update(LETTERS.findall("\n".join(waiting.pop(k)).lower()))
+            size[k] = 0
 
-def bits_for(languages: int) -> tuple[int, int]:
-    less = max(0, (languages - 1) // 16).bit_length()
-    return WORD_BITS - less, GRAM_BITS - less
+        def sent() -> Iterator[pd.DataFrame]:
+            for k, seen in held.items():
+                yield pd.DataFrame({"word": list(seen), "lang": k, "n": list(seen.values())})
+            held.clear()
+
+        for batch in batches:
+            for text, lang, teaches in zip(batch["text"].tolist(), batch["lang"].tolist(), batch["teaches"].tolist(), strict=True):
+                k = number[lang] if teaches else -1
+                waiting.setdefault(k, []).append(text)
+                size[k] += len(text)
+                if size[k] >= CHUNK:
+                    add(k)
+                    if sum(map(len, held.values())) >= DISTINCT:
+                        yield from sent()
+        for k in list(waiting):
+            add(k)
+        yield from sent()
+
+    sent = spread(docs.where("text is not null").select("text", "lang", "teaches")).mapInPandas(count, "word string, lang int, n long")
+    return sent.groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
 
-def packed(counts: np.ndarray, kind: int, language: int) -> list[dict]:
-    """Filled slots of a table by range, as rows; numbers within a range fit in what a range holds."""
-    rows, width = [], len(counts) // RANGES
-    for r in range(RANGES):
-        part = counts[r * width : (r + 1) * width]
-        if len(at := np.flatnonzero(part)):
-            rows.append({"kind": kind, "slots": r, "lang": language, "at": at.astype("<u4").tobytes(), "n": part[at].astype("<i8" if part.max() > 0x7FFFFFFF else "<u4").tobytes()})
-    return rows
+def grams_of(words: DataFrame) -> DataFrame:
+    """(gram, lang, n) of rows (word, lang, n)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, rows in b.groupby("lang"):
+                names, times = rows["word"].tolist(), rows["n"].to_numpy(np.int64)
+                for n in range(1, GRAMS + 1):
+                    key, word = gram_keys(names, n)
+                    key, at = np.unique(key, return_inverse=True)
+                    total = np.zeros(len(key), np.int64)
+                    np.add.at(total, at, times[word])
+                    yield pd.DataFrame({"gram": key, "lang": int(k), "n": total})
 
+    return words.mapInPandas(run, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
-def unpacked(at: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
-    at = np.frombuffer(at, "<u4").astype(np.int64)
-    return at, np.frombuffer(n, "<u4" if len(n) == 4 * len(at) else "<i8").astype(np.int64)
 
+def asked(words: DataFrame, n: int) -> DataFrame:
+    """(word, gram) of each word's n-grams."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            key, word = gram_keys(b["word"].tolist(), n)
+            yield pd.DataFrame({"word": b["word"].to_numpy(object)[word], "gram": key})
+
+    return words.select("word").mapInPandas(run, "word string, gram long")
+
+
+@dataclass
 class Model:
-    """Log frequencies per slot and language; slots never filled are told apart."""
-
-    def __init__(self, languages: list[str], word: np.ndarray, gram: np.ndarray):
-        self.languages = languages
-        self.bits = (int(word.shape[1]).bit_length() - 1, int(gram.shape[1]).bit_length() - 1)
-        self.known = [word.any(0), gram.any(0)]
-        self.log = [np.log((t + ALPHA) / (t.sum(1, keepdims=True) + ALPHA * max(1, int(k.sum())))).T.astype(np.float32) for t, k in zip((word, gram), self.known, strict=True)]
-
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.languages)))
-        slot = word_slots(words, self.bits[0])
-        known = self.known[0][slot]
-        out[known] = self.log[0][slot[known]]
-        left = np.flatnonzero(~known)
-        for n in range(GRAMS, 0, -1):
-            if not len(left):
-                break
-            slot, word = gram_slots([words[i] for i in left.tolist()], n, self.bits[1])
-            seen = self.known[1][slot]
-            slot, word = slot[seen], word[seen]
-            count = np.bincount(word, minlength=len(left))
-            got = count > 0
-            for k in range(len(self.languages)):
-                total = np.bincount(word, self.log[1][slot, k], len(left))
-                out[left[got], k] = total[got] / count[got]
-            left = left[~got]
-        return out
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
-        kinds = {w: i for i, w in enumerate(dict.fromkeys(w for f in found for w in f))}
-        flat = np.fromiter((kinds[w] for f in found for w in f), np.int64)
-        alpha = np.array([any(c.isalpha() for c in w) for w in kinds], bool)
-        score = self.word_scores(list(kinds)) if kinds and self.languages else np.zeros((len(kinds), max(1, len(self.languages))))
-        doc = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-        total = np.stack([np.bincount(doc, score[flat, k], len(texts)) for k in range(score.shape[1])], 1)
-        lettered = np.bincount(doc, alpha[flat], len(texts)) > 0 if len(flat) else np.zeros(len(texts), bool)
-        best = total.argmax(1)
-        sure = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        named = lettered & bool(self.languages)
-        return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), named.tolist(), strict=True)], np.where(named, sure, 0.0)
+    """languages; floors by kind and language; words: (word, total, kind, langs, lifts)."""
 
+    languages: list[str]
+    floors: np.ndarray
+    words: DataFrame
 
-def held_out() -> Column:
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+
+def floors_and_lifts(counts: DataFrame, key: str, languages: int) -> tuple[np.ndarray, DataFrame]:
+    """Log frequency per language of what it never has, and rows with `lift`, what log frequency a count adds to that."""
+    totals = np.zeros(languages)
+    for k, n in counts.groupBy("lang").agg(F.sum("n")).collect():  # a row for each language
+        totals[k] = n
+    size = counts.select(key).distinct().count()
+    floor = np.log(ALPHA / (totals + ALPHA * max(1, size)))
+    return np.round(floor * SCALE), counts.select(key, "lang", F.round(SCALE * F.log((F.col("n") + ALPHA) / ALPHA)).cast("long").alias("lift"))
 
 
 def train(docs: DataFrame) -> Model:
-    """Model from rows of (text, lang) with neither null."""
-    names = [r[0] for r in docs.select("lang").distinct().limit(LANGUAGES + 1).collect()]
+    """Model of all words of rows (text, lang, teaches), learned from those that teach."""
+    names = [r[0] for r in docs.where("teaches").select("lang").distinct().limit(LANGUAGES + 1).collect()]
     if len(names) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     languages = sorted(names)
-    number = {name: k for k, name in enumerate(languages)}
-    bits = bits_for(len(languages))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def add(k: int, texts: list[str]) -> None:
-            if k not in tables:
-                tables[k] = np.zeros(1 << bits[0], np.int64), np.zeros(1 << bits[1], np.int64)
-            seen = Counter(LETTERS.findall("\n".join(texts).lower()))
-            words, times = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
-            if not words:
-                return
-            np.add.at(tables[k][0], word_slots(words, bits[0]), times)
-            for n in range(1, GRAMS + 1):
-                slot, word = gram_slots(words, n, bits[1])
-                tables[k][1][:] += np.bincount(slot, times[word], 1 << bits[1]).astype(np.int64)
-
-        waiting: dict[int, list[str]] = {}
-        size: Counter = Counter()
-        for batch in batches:
-            for text, lang in zip(batch["text"].tolist(), batch["lang"].tolist(), strict=True):
-                k = number[lang]
-                waiting.setdefault(k, []).append(text)
-                size[k] += len(text)
-                if size[k] >= CHUNK:
-                    add(k, waiting.pop(k))
-                    size[k] = 0
-        for k, texts in waiting.items():
-            add(k, texts)
-        for k, (word, gram) in tables.items():
-            if rows := packed(word, 0, k) + packed(gram, 1, k):
-                yield pd.DataFrame(rows)
-
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << bits[key[0]]) // RANGES, np.int64)
-        for at, n in zip(rows["at"], rows["n"], strict=True):
-            at, n = unpacked(at, n)
-            total[at] += n
-        at = np.flatnonzero(total)
-        return pd.DataFrame([{"kind": key[0], "slots": key[1], "lang": key[2], "at": at.astype("<u4").tobytes(), "n": total[at].astype("<i8").tobytes()}])
-
-    schema = "kind int, slots int, lang int, at binary, n binary"
-    sums = spread(docs.select("text", "lang")).mapInPandas(count, schema).groupBy("kind", "slots", "lang").applyInPandas(merge, schema)
-    tables = [np.zeros((len(languages), 1 << b), np.int64) for b in bits]
-    for row in sums.toLocalIterator():
-        at = np.frombuffer(row["at"], "<u4").astype(np.int64)
-        tables[row["kind"]][row["lang"], at + row["slots"] * ((1 << bits[row["kind"]]) // RANGES)] = np.frombuffer(row["n"], "<i8")
-    return Model(languages, *tables)
-
-
-def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The kept columns with lang_pred and score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    counts = checkpointed(counted(docs, {name: k for k, name in enumerate(languages)}))
+    known = counts.where("lang >= 0")
+    word_floor, word_lift = floors_and_lifts(known, "word", len(languages))
+    grams = checkpointed(grams_of(known))
+    gram_floor, gram_lift = floors_and_lifts(grams, "gram", len(languages))
+    own = word_lift.groupBy("word").agg(F.collect_list(F.struct("lang", "lift")).alias("values")).select("word", F.lit(WORD).alias("kind"), "values")
+    # an unseen word's n-grams; language -1 has the number of those seen
+    unseen = counts.where("lang < 0").join(known.select("word").distinct(), "word", "left_anti")
+    per_gram = checkpointed(gram_lift.groupBy("gram").agg(F.collect_list(F.struct("lang", "lift")).alias("lifts")))
+    one = F.array(F.struct(F.lit(-1).alias("lang"), F.lit(1).cast("long").alias("lift")))
+    seen = F.filter("all", lambda v: v["lang"] < 0)[0]["lift"]
+    mean = F.transform(F.filter("all", lambda v: v["lang"] >= 0), lambda v: F.struct(v["lang"].alias("lang"), F.round(v["lift"] / seen).cast("long").alias("lift")))
+    left, backed = checkpointed(unseen.select("word")), []
+    for n in range(GRAMS, 0, -1):  # only words without known n-grams ask for shorter ones
+        met = asked(left, n).join(per_gram, "gram").select("word", F.explode(F.concat("lifts", one)).alias("v"))
+        sums = met.groupBy("word", "v.lang").agg(F.sum("v.lift").alias("lift"))
+        got = checkpointed(sums.groupBy("word").agg(F.collect_list(F.struct("lang", "lift")).alias("all")).select("word", F.lit(GRAM).alias("kind"), mean.alias("values")))
+        backed.append(got)
+        left = checkpointed(left.join(got.select("word"), "word", "left_anti"))
+        if left.isEmpty():
+            break
+    for got in backed:
+        own = own.unionByName(got)
+    total = counts.groupBy("word").agg(F.sum("n").alias("total"))
+    every = total.join(own, "word", "left")
+    words = checkpointed(every.select("word", "total", F.coalesce("kind", F.lit(NONE)).alias("kind"), F.col("values.lang").alias("langs"), F.col("values.lift").alias("lifts")))
+    return Model(languages, np.stack([np.zeros(len(languages)), word_floor, gram_floor]), words)
+
+
+def head_of(model: Model, values: int) -> tuple[dict[str, int], np.ndarray]:
+    """The most frequent words, as many as the bound on values allows, and their values per language."""
+    most, n, least = max(1, values // max(4, len(model.languages))), 0, None
+    for total, words in model.words.groupBy("total").count().orderBy(F.desc("total")).toLocalIterator():
+        n += words
+        if n > most:
+            break
+        least = total
+    if least is None:
+        return {}, np.zeros((0, len(model.languages)))
+    rows = model.words.where(F.col("total") >= least).select("word", "kind", "langs", "lifts").toArrow()
+    out = model.floors[rows["kind"].to_numpy()]
+    sizes = np.array([len(x) if x is not None else 0 for x in rows["langs"].to_pylist()], np.int64)
+    if sizes.sum():
+        at = np.repeat(np.arange(len(sizes)), sizes)
+        out[at, rows["langs"].combine_chunks().flatten().to_numpy()] += rows["lifts"].combine_chunks().flatten().to_numpy()
+    return {w: i for i, w in enumerate(rows["word"].to_pylist())}, out
+
+
+def predict(docs: DataFrame, model: Model, *keep: str, values: int = HEAD) -> DataFrame:
+    """The kept columns with lang_pred and score, of documents whose words are all in the model's table."""
+    spread_docs = spread(docs.select(*keep, "text"))
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{k}` {fields[k]}" for k in keep) + ", lang_pred string, score double"
+    kept = ", ".join(f"`{k}` {fields[k]}" for k in keep)
+    languages, floors = model.languages, model.floors
+    sent = docs.sparkSession.sparkContext.broadcast(head_of(model, values))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        index, value = sent.value
         for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch["text"].tolist()]
-            names, scores, at = [], [], 0
+            texts, at = [t if isinstance(t, str) else "" for t in batch["text"].tolist()], 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (end == at or size < CHUNK):
-                    size += len(texts[end] or "")
+                    size += len(texts[end])
                     end += 1
-                got, sure = sent.value.predict(texts[at:end])
-                names += got
-                scores += sure.tolist()
-                at = end
-            yield batch[list(keep)].assign(lang_pred=names, score=scores)
-
-    return spread(docs.select(*keep, "text")).mapInPandas(run, schema)
-
-
-def identify(docs: DataFrame) -> DataFrame:
+                found = [LETTERS.findall(t.lower()) for t in texts[at:end]]
+                flat = np.fromiter((index.get(w, -1) for f in found for w in f), np.int64)
+                doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                here = flat >= 0
+                sums = np.stack([np.bincount(doc[here], value[flat[here], k], len(found)) for k in range(len(languages))], 1) if languages else np.zeros((len(found), 0))
+                ends = np.cumsum([len(f) for f in found]).tolist()
+                away = np.flatnonzero(~here)
+                cuts = np.searchsorted(away, [0, *ends])
+                begin = [0, *ends]
+                tails = [[found[i][p - begin[i]] for p in away[cuts[i] : cuts[i + 1]].tolist()] for i in range(len(found))]
+                lettered = [any(c.isalpha() for w in f for c in w) for f in found]
+                yield batch[list(keep)].iloc[at:end].assign(row=np.arange(row, row + len(found)), lettered=lettered, sums=list(sums), tail=tails)
+                row, at = row + len(found), end
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            total = np.array(b["sums"].tolist(), np.float64).reshape(len(b), len(languages))
+            for i, rest in enumerate(b["rest"]):
+                for r in rest if rest is not None else ():
+                    if r["lang"] >= 0:
+                        total[i, r["lang"]] += r["n"]
+                    else:
+                        total[i] += floors[-1 - r["lang"]] * r["n"]
+            named = b["lettered"].to_numpy(bool) & bool(languages)
+            names, sure = ["und"] * len(b), np.zeros(len(b))
+            if languages:
+                best, total = total.argmax(1), total / SCALE
+                sure = np.where(named, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1), 0.0)
+                names = [languages[k] if ok else "und" for k, ok in zip(best.tolist(), named.tolist(), strict=True)]
+            yield b[list(keep)].assign(lang_pred=names, score=sure)
+
+    first = checkpointed(spread_docs.mapInPandas(start, f"{kept}, row long, lettered boolean, sums array<double>, tail array<string>"))
+    # a word's values under its languages, and its kind as a language below 0
+    named = F.transform(F.coalesce(F.arrays_zip("langs", "lifts"), F.array()), lambda v: F.struct(v["langs"].alias("lang"), v["lifts"].alias("n")))
+    values_of = model.words.select("word", F.concat(named, F.array(F.struct((-1 - F.col("kind")).alias("lang"), F.lit(1).cast("long").alias("n")))).alias("v"))
+    tail = first.select("row", F.explode("tail").alias("word")).join(values_of, "word").select("row", F.explode("v").alias("v"))
+    rest = tail.groupBy("row", "v.lang").agg(F.sum("v.n").alias("n")).groupBy("row").agg(F.collect_list(F.struct("lang", "n")).alias("rest"))
+    return first.drop("tail").join(rest, "row", "left").drop("row").mapInPandas(finish, f"{kept}, lang_pred string, score double")
+
+
+def identify(docs: DataFrame, values: int = HEAD) -> DataFrame:
     """Learn from documents not held out, and predict all: doc_id, held_out, lang_pred, score."""
-    docs = only(docs, "doc_id", "text", "lang").withColumn("held_out", held_out())
-    model = train(docs.where("not held_out and lang is not null and text is not null"))
-    return predict(docs, model, "doc_id", "held_out")
+    docs = only(docs, "doc_id", "text", "lang").withColumn("held_out", held_out()).withColumn("teaches", ~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return predict(docs, train(docs), "doc_id", "held_out", values=values)
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,6 +324,45 @@ def test_language(spark, empty):
     assert untaught["lang_pred"] == "und"
 
 
+def test_language_tells_unseen_words_apart(spark):
+    """Scores by dictionaries: of 100,000 n-grams and more, a tenth would share a slot of 2**20."""
+    r = random.Random(19)
+    make = lambda low, high: "".join(chr(97 + r.randint(low, high)) for _ in range(9))
+    rows = [(k, " ".join(make(0, 15) if k % 2 else make(10, 25) for _ in range(300)), "b" if k % 2 else "a") for k in range(40)]
+    rows += [(1000 + k, make(0, 25), "a") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    teaches = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    names, table, grams = ["a", "b"], collections.defaultdict(lambda: [0, 0]), collections.defaultdict(lambda: [0, 0])
+    pieces = lambda w, n: [f"<{w}>"[k : k + n] for k in range(len(w) + 3 - n)] if n > 1 else list(w)
+    for _, t, lang in teaches:
+        for w in t.split():
+            table[w][names.index(lang)] += 1
+            for n in range(1, 6):
+                for g in pieces(w, n):
+                    grams[g][names.index(lang)] += 1
+
+    def logs(counts):
+        totals = [sum(x[k] for x in counts.values()) for k in (0, 1)]
+        return {g: [math.log((c + 0.5) / (t + 0.5 * len(counts))) for c, t in zip(cs, totals, strict=True)] for g, cs in counts.items()}
+
+    words, parts = logs(table), logs(grams)
+
+    def value(w):
+        if w in words:
+            return words[w]
+        for n in range(5, 0, -1):
+            if seen := [parts[g] for g in pieces(w, n) if g in parts]:
+                return [sum(x[k] for x in seen) / len(seen) for k in (0, 1)]
+        return [0.0, 0.0]
+
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in op8.identify(docs, values=40).collect()}  # nearly all words are joined
+    assert len(got) == len(rows)
+    for d, t, _ in rows:
+        a, b = (sum(x) for x in zip(*map(value, t.split()), strict=True))
+        want = 1 / (1 + math.exp(-abs(a - b))) if abs(a - b) < 700 else 1.0
+        assert abs(got[d][1] - want) < 1e-3 and (abs(a - b) < 0.01 or got[d][0] == ("a" if a > b else "b"))
+
+
 def test_mixing(spark, docs, empty):
     r = random.Random(10)
     rows = [(k, " ".join(["w"] * r.randint(1, 60)), r.choice(["a", "b", "c", "d", None])) for k in range(3000)] + [(9000, None, "a"), (9001, "x y", None), (9001, "x y", None), (9002, "w " * 50, "zz")]
