@@ -1,20 +1,22 @@
 """Token files under Re-Pair grammar compression.
 
 Documents are range-partitioned by doc_id and sorted, so that the files hold them in ascending order. A task gathers
-documents and closes a block at about BLOCK_BYTES of text. In a block, rounds of Re-Pair replace the most frequent
-pairs by new symbols (up to PAIRS pairs a round, all chosen from one count; a pair never spans the end of a document).
-A block's row holds the rules in the order made, each rule's expansion length, the symbol stream, where each document
+documents and closes a shard at about SHARD_BYTES of text. Within a shard Re-Pair replaces the most frequent pairs by new
+symbols until no pair occurs LEAST times; a pair never spans the end of a document. A round takes all pairs with at least
+1/SHARE of the greatest count, chosen from one count, so that a shard needs some twenty counts rather than one a rule.
+A shard's row holds the rules in the order made, each rule's expansion length, the symbol stream, where each document
 starts in it, and the documents' ids and lengths. From these any document, or any range of its ids, is decoded alone.
 
 File format `repair-1`: Parquet written by Spark, thus committed whole or not at all when executors are lost, a row for
-each block with the columns of SCHEMA; integers in the binary columns are little-endian.
+each shard with the columns of SCHEMA; integers in the binary columns are little-endian.
 
-Encoding goes by pieces between single spaces, each encoded once per task by the tokenizers library and kept in a
-bounded memo. The tokenizer drops white space and none of its tokens spans any, so that a text's ids are those of its
-pieces; a vocabulary for which that fails is encoded whole (`by_piece=False`).
+Encoding goes by pieces between single spaces, each encoded once by the tokenizers library and kept in a memo of bounded
+bytes that ends with its task. The tokenizer drops white space and none of its tokens spans any, so that a text's ids are
+those of its pieces; a vocabulary for which that fails is encoded whole (`by_piece=False`). Only ASCII letters are lowered
+before the library does it, and not where a special token may stand; only pieces of ASCII letters and signs are split further.
 
 Defined results: a null text is an empty one (just the end id); a null doc_id comes first and stays null; repeated
-documents are all kept, next to each other; further columns are ignored; an empty table gives no blocks and no rows.
+documents are all kept, next to each other; further columns are ignored; an empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,11 +39,12 @@ from .common import only, table, trim, written
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-BLOCK_BYTES = 5 << 20
-PAIRS = 8000
-ROUNDS = 3
-LEAST = 8  # a pair that occurs less often isn't worth a rule
-MEMO = 1 << 20
+SHARD_BYTES = 5 << 20
+LEAST = 2  # Re-Pair goes on until no pair occurs this often
+SHARE = 256
+TEXT_BYTES = 1 << 20  # text encoded at once
+MEMO_BYTES = 24 << 20  # of each of the memo's halves
+ENTRY_BYTES = 220  # what a memo entry takes besides its characters
 TOGETHER = 512
 SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"  # without < | > of special tokens and the apostrophe
 
@@ -54,29 +57,25 @@ SCHEMA = T.StructType(
 )
 
 
-def frequent_pairs(seq: np.ndarray, head: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def frequent_pairs(seq: np.ndarray, head: np.ndarray, least: int, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs to replace (left * 2**32 + right), every place where one stands in ascending order, and its number."""
-    left, right = seq[:-1], seq[1:]
-    narrow = int(seq.max(initial=0)) < 1 << 16
-    shift = 16 if narrow else 32
-    key = (left << np.uint32(16)) | right if narrow else (left.astype(np.uint64) << np.uint64(32)) | right
-    key[head[1:]] = 0
+    left, right, inside = seq[:-1], seq[1:], ~head[1:]
+    # counts by a hash first: a slot's count is no less than that of any pair in it, so that only pairs with a chance are sorted
+    bits = max(8, min(24, (2 * len(seq)).bit_length()))
+    slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
+    where = np.flatnonzero((np.bincount(slot[inside], minlength=1 << bits) >= least)[slot] & inside)
+    key = (left[where].astype(np.uint64) << np.uint64(32)) | right[where]
     order = np.argsort(key)
     ordered = key[order]
     edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(key)])
     count = np.diff(np.append(edge, len(key)))
-    if len(edge) and ordered[0] == 0:  # also where a document ends; a pair of two zeros is left alone
-        count[0] = 0
-    pick = np.flatnonzero(count >= least)
-    if len(pick) > most:
-        pick = np.sort(pick[np.argsort(-count[pick], kind="stable")[:most]])
-    many = count[pick]
-    number = np.full(len(key), -1, np.int32)
-    within = np.arange(int(many.sum())) + np.repeat(edge[pick] - (np.cumsum(many) - many), many)
-    number[order[within]] = np.repeat(np.arange(len(pick), dtype=np.int32), many)
-    where = np.flatnonzero(number >= 0)
-    found = ordered[edge[pick]].astype(np.int64)
-    return (found >> shift << 32) | (found & ((1 << shift) - 1)), where, number[where]
+    pick = np.flatnonzero(count >= max(least, int(count.max(initial=0)) // share))
+    number = np.full(len(edge), -1, np.int32)
+    number[pick] = np.arange(len(pick), dtype=np.int32)
+    each = np.empty(len(key), np.int32)
+    each[order] = np.repeat(number, count)
+    chosen = each >= 0
+    return ordered[edge[pick]].astype(np.int64), where[chosen], each[chosen]
 
 
 def replace_pairs(seq: np.ndarray, head: np.ndarray, where: np.ndarray, number: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,15 +91,15 @@ def replace_pairs(seq: np.ndarray, head: np.ndarray, where: np.ndarray, number:
     return out[keep], head[keep]
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, base: int, pairs: int = PAIRS, rounds: int = ROUNDS, least: int = LEAST) -> dict:
-    """Grammar of a block: rules per round, symbols, expansion lengths, and each document's first symbol."""
+def compress(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = LEAST, share: int = SHARE) -> dict:
+    """Grammar of a shard: rules per round, symbols, expansion lengths, and each document's first symbol."""
     seq = ids.astype(np.uint32)
     head = np.zeros(len(seq), bool)
     head[(np.cumsum(lengths) - lengths)] = True
     made, per_round = [], []
     first = base
-    for _ in range(rounds):
-        new, where, number = frequent_pairs(seq, head, pairs, least)
+    while len(seq) > 1:
+        new, where, number = frequent_pairs(seq, head, least, share)
         if not len(new):
             break
         seq, head = replace_pairs(seq, head, where, number, first)
@@ -156,71 +155,77 @@ def decode_document(row, number: int, start: int = 0, stop: int | None = None) -
 class Encoder:
     """Ids of texts by the tokenizers library."""
 
-    held: dict[tuple[str, bool], Encoder] = {}
+    libraries: dict[str, tuple] = {}
 
-    @classmethod
-    def at(cls, path: str, by_piece: bool) -> Encoder:
-        """A worker's own encoder, kept with its memo from task to task."""
-        if (path, by_piece) not in cls.held:
-            cls.held[path, by_piece] = cls(path, by_piece)
-        return cls.held[path, by_piece]
-
-    def __init__(self, path: str, by_piece: bool = True):
+    def __init__(self, path: str, by_piece: bool = True, memo_bytes: int = MEMO_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.library, self.by_piece = Tokenizer.from_file(path), by_piece
-        self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.word_end = np.zeros(self.size, bool)
-        self.word_end[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
+        if path not in self.libraries:  # a worker reads a vocabulary once
+            library = Tokenizer.from_file(path)
+            ends = np.zeros(library.get_vocab_size(with_added_tokens=True), bool)
+            ends[[i for token, i in library.get_vocab().items() if token.endswith("</w>")]] = True
+            self.libraries[path] = library, ends
+        self.library, self.word_end = self.libraries[path]
+        self.by_piece, self.memo_bytes, self.size = by_piece, memo_bytes, len(self.word_end)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def keep(self, piece: str, ids: bytes) -> None:
+        self.memo[piece] = ids
+        self.held += ENTRY_BYTES + len(piece) + len(ids)
 
     def learn(self, pieces: list[str]) -> None:
         """Put pieces in the memo; words of letters alone go to the library together, and each ends with its one word end."""
         words, others = [], []
         for p in pieces:
-            (words if p.isalpha() else others).append(p)
+            (words if p.isascii() and p.isalpha() else others).append(p)
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         for group, got in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, np.uint32)
             ends = ((np.flatnonzero(self.word_end[ids]) + 1) * 4).tolist()
             if len(ends) == len(group):
                 raw = ids.tobytes()
-                self.memo.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+                for p, a, b in zip(group, [0, *ends], ends, strict=False):
+                    self.keep(p, raw[a:b])
             else:
                 others += group
-        for piece, got in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.memo[piece] = array("I", got.ids).tobytes()
+        for i in range(0, len(others), TOGETHER):
+            part = others[i : i + TOGETHER]
+            for piece, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.keep(piece, array("I", got.ids).tobytes())
+
+    def known(self, pieces: Iterable[str]) -> list[str]:
+        """Bring pieces of the older half to the memo; what is in neither is left."""
+        left = []
+        for p in pieces:
+            if p not in self.memo:
+                if (ids := self.older.get(p)) is None:
+                    left.append(p)
+                else:
+                    self.keep(p, ids)
+        return left
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; a null text has none."""
         if not self.by_piece:
             return [np.array(got.ids, np.uint32) for got in self.library.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
-        if len(self.memo) > MEMO // 2:  # what is still in use comes back from the older half
-            self.memo, self.older = {}, self.memo
-        memo, older = self.memo, self.older
+        if self.held > self.memo_bytes:  # what is still in use comes back from the older half
+            self.memo, self.older, self.held = {}, self.memo, 0
         split = pc.split_pattern(plain(texts), " ")
         coded = split.flatten().dictionary_encode()
         pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = list(map(memo.get, pieces))
-        new = {p for p, i in zip(pieces, ids, strict=True) if i is None}
-        if new:
-            back = {p: i for p in new if (i := older.get(p)) is not None}
-            memo.update(back)
-            new.difference_update(back)
-            # signs after a letter are a token run of their own, up to the piece's end
-            tails = [(p, c) for p in new if (c := p.rstrip(SIGNS)) != p and c and c[-1].isalpha()]
-            todo = new.difference(p for p, _ in tails)
-            for p, c in tails:
-                todo.add(c)
-                todo.add(p[len(c) :])
-            back = {p: i for p in todo if p not in memo and (i := older.get(p)) is not None}
-            memo.update(back)
-            self.learn([p for p in todo if p not in memo])
-            for p, c in tails:
-                memo[p] = memo[c] + memo[p[len(c) :]]
-            ids = [memo[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
+        # in ASCII, signs after a letter are a token run of their own, up to the piece's end
+        tails = {p: c for p in self.known(pieces) if p.isascii() and (c := p.rstrip(SIGNS)) != p and c and c[-1].isalpha()}
+        todo = {p for p in pieces if p not in tails}
+        for p, c in tails.items():
+            todo |= {c, p[len(c) :]}
+        self.learn(self.known(todo))
+        memo = self.memo
+        for p, c in tails.items():
+            self.keep(p, memo[c] + memo[p[len(c) :]])
+        ids = [memo[p] for p in pieces]
         every = np.frombuffer(b"".join(ids), np.uint32)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         which = coded.indices.to_numpy(zero_copy_only=False)
@@ -232,17 +237,17 @@ class Encoder:
 
 
 def plain(texts: pa.Array) -> pa.Array:
-    """Texts with spaces for line ends, and in lower case but for two letters that some rules lower by their neighbours."""
+    """Texts with spaces for line ends and ASCII letters lowered, but for texts in which a special token may stand."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if pc.any(pc.match_substring_regex(texts, "[\u03a3\u0130]")).as_py():
-        low = pa.array([t if "\u03a3" in t or "\u0130" in t else t.lower() for t in texts.to_pylist()], pa.large_string())
+    if pc.any(pc.match_substring(texts, "<|")).as_py():
+        low = pa.array([t if "<|" in t else t.encode().lower().decode() for t in texts.to_pylist()], pa.large_string())
     else:
-        low = pc.utf8_lower(texts)
+        low = pc.ascii_lower(texts)
     return pc.replace_substring(low, "\n", " ")
 
 
-def encoded(docs: DataFrame, path: str, by_piece: bool = True, block_bytes: int = BLOCK_BYTES, partitions: int | None = None) -> DataFrame:
-    """Blocks of compressed ids in ascending doc_id order (SCHEMA); part and block number them in that order."""
+def encoded(docs: DataFrame, path: str, by_piece: bool = True, shard_bytes: int = SHARD_BYTES, partitions: int | None = None) -> DataFrame:
+    """Shards of compressed ids in ascending doc_id order (SCHEMA); part and block number them in that order."""
     spark = docs.sparkSession
     partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
@@ -252,35 +257,40 @@ def encoded(docs: DataFrame, path: str, by_piece: bool = True, block_bytes: int
         from pyspark import TaskContext
 
         part, block, inside = TaskContext.get().partitionId(), 0, 0
-        encode = Encoder.at(path, by_piece)
+        encode = Encoder(path, by_piece)
         end = np.array([END], np.uint32)
-        held: list[pa.RecordBatch] = []
+        ids: list[np.ndarray] = []
+        doc_ids: list[pa.Array] = []
         size = 0
 
-        def close() -> tuple[pa.RecordBatch, int]:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            ids = [x for got in encode.batch(rows["text"].combine_chunks()) for x in (got, end)]
-            flat = np.concatenate(ids)
-            lengths = np.array([len(x) + 1 for x in ids[::2]], np.int64)
-            docs_in = rows["doc_id"]
-            row = {"part": part, "block": block, "n_docs": len(rows), "n_ids": len(flat), "inside": inside, "doc_ids": pc.fill_null(docs_in, 0).to_numpy().astype("<i8").tobytes(), "doc_nulls": pc.is_null(docs_in).to_numpy().astype(np.uint8).tobytes(), "doc_lengths": lengths.astype("<u8").tobytes()}
-            return pa.RecordBatch.from_pylist([row | compress(flat, lengths, encode.size)], layout), len(flat)
+        def close() -> pa.RecordBatch:
+            """The shard's row; its texts are gone already, its ids go as they are joined."""
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
+            flat = np.concatenate([x for got in ids for x in (got, end)])
+            ids.clear()
+            own = pa.concat_arrays(doc_ids)
+            row = {"part": part, "block": block, "n_docs": len(lengths), "n_ids": len(flat), "inside": inside, "doc_ids": pc.fill_null(own, 0).to_numpy().astype("<i8").tobytes(), "doc_nulls": pc.is_null(own).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), "doc_lengths": lengths.astype("<u8").tobytes()}
+            return pa.RecordBatch.from_pylist([row | compress(flat, lengths, encode.size)], layout)
 
         for batch in batches:
             at = 0
-            bytes_upto = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            upto = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
             while at < len(batch):
-                done = int(bytes_upto[at - 1]) if at else 0
-                stop = min(len(batch), int(np.searchsorted(bytes_upto, done + block_bytes - size)) + 1)
-                held.append(batch.slice(at, stop - at))
-                size += int(bytes_upto[stop - 1]) - done
+                done = int(upto[at - 1]) if at else 0
+                stop = min(len(batch), int(np.searchsorted(upto, done + min(TEXT_BYTES, shard_bytes - size))) + 1)
+                ids += encode.batch(batch["text"].slice(at, stop - at))
+                doc_ids.append(pa.array(batch["doc_id"].slice(at, stop - at).to_pylist(), pa.int64()))  # a slice would hold the whole batch
+                size += int(upto[stop - 1]) - done
                 at = stop
-                if size >= block_bytes:
-                    out, n = close()
-                    yield out
-                    held, size, block, inside = [], 0, block + 1, inside + n
-        if held:
-            yield close()[0]
+                if size >= shard_bytes:
+                    yield (out := close())
+                    inside += out["n_ids"][0].as_py()
+                    doc_ids, size, block = [], 0, block + 1
+                    del out
+                    trim()
+        if doc_ids:
+            yield close()
+        del encode
         trim()
 
     ids = F.col("doc_id").asc_nulls_first()

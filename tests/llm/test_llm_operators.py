@@ -403,7 +403,7 @@ def test_repair_round_trip():
     for ids in (r.integers(0, 5, 4000), np.zeros(500, np.int64), np.array([1]), np.tile([7, 7, 7, 1], 200)):
         lengths = np.array([len(ids) // 3, 0, len(ids) - len(ids) // 3]) if len(ids) > 3 else np.array([len(ids)])
         lengths = lengths[lengths > 0]
-        row = op10.compress(ids, lengths, 100, pairs=20, rounds=4, least=4)
+        row = op10.compress(ids, lengths, 100, least=2, share=4)
         row |= {"doc_lengths": lengths.astype("<u8").tobytes()}
         symbols, rules, rounds, firsts, _ = op10.parts_of(row)
         assert op10.expand(symbols, rules, rounds, 100).tolist() == ids.tolist()
@@ -415,6 +415,37 @@ def test_repair_round_trip():
             start += n
 
 
+def test_repair_leaves_no_repeated_pair():
+    r = np.random.default_rng(3)
+    for least, share in ((2, 1), (2, 64), (4, 8)):
+        ids, lengths = r.integers(0, 12, 6000), np.array([2500, 1, 3499])
+        row = op10.compress(ids, lengths, 50, least=least, share=share)
+        symbols, heads = np.frombuffer(row["symbols"], "<u4").tolist(), set(np.frombuffer(row["doc_symbols"], "<u8").tolist())
+        left, at = collections.Counter(), {}
+        for k in range(1, len(symbols)):
+            pair = (symbols[k - 1], symbols[k])
+            if k not in heads and at.get(pair) != k - 1:  # of a run of overlapping pairs every second one counts
+                left[pair] += 1
+                at[pair] = k
+        assert max(left.values()) < least and row["n_symbols"] < 6000
+        rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
+        assert len(rules) > 100 and np.frombuffer(row["expansions"], "<u4").max() >= (4 if least == 2 else 2)
+
+
+def test_piece_ids_equal_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(op10.vocabulary_path())
+    r = random.Random(5)
+    parts = ["a", "B", "zz", "İ", "I", "ß", "Σ", "ς", "é", "e\u0301", "\u0301", "\u0307", "ﬁ", "ª", "日", "ั", "\u200d", "\u00a0", "\u1680", "\t", "\r", "\n", " ", " ", " ", "!", ".", "'s", "'T", "'", "12", "٣", "½", "<|", "|>", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "|", "<", ">", "-", "*", "😀", "\x00", "\x1c", "the", "THE"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(20_000)]
+    encoder = op10.Encoder(op10.vocabulary_path(), memo_bytes=1 << 18)
+    got = [x.tolist() for k in range(0, len(texts), 1000) for x in encoder.batch(pa.array(texts[k : k + 1000]))]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 def test_tokens(spark, docs, empty):
     from tokenizers import Tokenizer
 
