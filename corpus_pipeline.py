@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import op1_decontaminate, op4_jaccard, op6_kneser_ney, op9_mixing, op10_repair
-from gleaner.llm.common import checkpointed, table, written
+from gleaner.llm.common import checkpointed, drop_table, table, written
 
 ORACLE_SQL = None
 
@@ -28,18 +28,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each class of near copies; of repeated rows one."""
+    """The document of the least doc_id of each class of near copies; of repeated rows one; where all ids of a class are
+    null, the text of the least hash."""
     found = op4_jaccard.joined(docs)
-    first = checkpointed(found.where("doc_id <=> class_id").select("doc_id", "h").distinct())
+    first = found.where("doc_id <=> class_id").groupBy("class", "doc_id").agg(F.min("h").alias("h"))
     names = docs.columns
-    return keep(docs, first).withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).select(*[F.col(f"`{c}`") for c in names])
+    return keep(docs, checkpointed(first.select("doc_id", "h"))).withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).select(*[F.col(f"`{c}`") for c in names])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window; one that holds any goes whole."""
     found = op1_decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
-    bad = checkpointed(found.where("n_hit > 0").select(F.col("doc_id").alias("__d")).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+    hit = found.where("n_hit > 0")
+    bad = checkpointed(hit.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct())
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & F.xxhash64("text").eqNullSafe(F.col("__h")), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +65,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage")
+        if before is not None:  # nothing reads it any more
+            drop_table(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -37,11 +37,13 @@ def trim() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and all tasks are on this machine."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = sc.getCheckpointDir()
+        if not held and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         path = held.rsplit("/", 1)[0] if held else tempfile.mkdtemp(prefix="gleaner-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)

@@ -3,32 +3,37 @@
 Each partition deals its documents into shards of about SHARD_WORDS words. A shard's words become symbols, their
 suffixes are sorted, and the Burrows-Wheeler transform is kept as a wavelet matrix. Every test window is searched
 backwards through the ranks; rows in the final intervals are walked to a sampled suffix position; and the windows found
-are merged to removal spans. No row is shuffled. Test items are read in blocks of BLOCK_BYTES, each broadcast alone, so
-what a task holds is bounded by a shard and a block.
+are merged to removal spans. No row is shuffled. Test items go as word numbers and a list of words, in blocks of
+BLOCK_BYTES of text: one block is one pass over the documents and the only broadcast alive. Where there are more blocks,
+a pass's rows are written in the shared folder, with what was found so far, and read by the next.
 
 Defined results: a null or wordless text has no words and no hits; a test item with no words is never found; one with
-fewer than `width` words is one window; test items with a null id are left out; repeated documents each get a row;
-columns beyond those named are ignored. Empty tables give no rows, or rows without hits.
+fewer than `width` words is one window; a test item with a null id marks words as others do, and has no id to be listed
+or counted by; repeated documents each get a row; columns beyond those named are ignored. Empty tables give no rows, or
+rows without hits.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import only, spread, table, trim, words
+from .common import only, spread, table, trim, words, written
 
 WIDTH = 10
 SHARD_WORDS = 1 << 19
 SAMPLE = 8
 BLOCK_BYTES = 16 << 20
 
-SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+SCHEMA = "doc_id long, h long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -115,17 +120,11 @@ class Shard:
             start = np.where(up, zeros + s, start - s)
         return self.below[symbol] + at - start
 
-    def search(self, windows: list[tuple[bytes, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        """For each occurrence: the window's number and the position of its first word."""
-        get = self.symbol.get
-        known = [(k, s) for k, w in enumerate(windows) if None not in (s := [get(x) for x in w])]
-        if not known:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        number = np.array([k for k, _ in known])
-        length = np.array([len(s) for _, s in known])
-        most = int(length.max())
-        symbols = np.array([[0] * (most - len(s)) + s for _, s in known], np.int64)
-        lo, hi = np.zeros(len(known), np.int64), np.full(len(known), self.n, np.int64)
+    def search(self, symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows (a row of symbols each, at its end; all of them in the shard): for each occurrence its window's number
+        and the position of its first word."""
+        most = symbols.shape[1]
+        lo, hi = np.zeros(len(symbols), np.int64), np.full(len(symbols), self.n, np.int64)
         for back in range(most):
             live = np.flatnonzero((hi > lo) & (length > back))
             if not len(live):
@@ -140,39 +139,58 @@ class Shard:
         while len(far := np.flatnonzero(~self.sampled[row])):
             row[far] = self.step_back(row[far])
             walked[far] += 1
-        return np.repeat(number, count), self.samples[self.sample_rank[row]] + walked
-
-
-def item_windows(items: Iterable[tuple[object, str | None]], width: int) -> tuple[list[tuple[bytes, ...]], list[list[str]]]:
-    """Distinct windows, and for each the ids of the items that have it."""
-    owners: dict[tuple[bytes, ...], dict[str, None]] = {}
-    for item, text in items:
-        w = words(text)
-        for k in range(max(1, len(w) - width + 1) if w else 0):
-            owners.setdefault(tuple(w[k : k + width]), {})[str(item)] = None
-    return list(owners), [list(v) for v in owners.values()]
-
-
-def searched(texts: list[str | None], blocks: Iterable[tuple[list, list]]) -> Iterator[tuple[int, int, list[str], list[tuple[int, int]]]]:
-    """For each text of a shard: words, words hit, items found and removal spans in words."""
+        return np.repeat(np.arange(len(symbols)), count), self.samples[self.sample_rank[row]] + walked
+
+
+@dataclass
+class Items:
+    """Test items: their ids, and their words as numbers of `words`, one item after the other."""
+
+    ids: list[str | None]
+    words: list[bytes]
+    flat: np.ndarray
+    lengths: np.ndarray
+
+    def windows(self, known: dict[bytes, int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows all of whose words are known: symbols (at the row's end), lengths and item numbers."""
+        symbol = np.fromiter((known.get(w, 0) for w in self.words), np.int64, len(self.words))[self.flat]
+        starts = np.cumsum(self.lengths) - self.lengths
+        many = np.where(self.lengths > 0, np.maximum(self.lengths - width + 1, 1), 0)
+        item = np.repeat(np.arange(len(many)), many)
+        first = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        length = np.minimum(self.lengths[item], width)
+        unknown = np.concatenate([[0], np.cumsum(symbol == 0)])
+        whole = np.flatnonzero(unknown[first + length] == unknown[first])
+        item, first, length = item[whole], first[whole], length[whole]
+        place = np.arange(width) - width + length[:, None]
+        return np.where(place >= 0, symbol[first[:, None] + np.maximum(place, 0)], 0), length, item
+
+
+def searched(texts: list[str | None], block: Items, width: int, before: list[tuple[list, list]] | None = None) -> Iterator[tuple[int, int, list[str], list[tuple[int, int]]]]:
+    """For each text of a shard: words, words hit, items found and removal spans in words; with those found before."""
     docs = [words(t) for t in texts]
+    items: list[set[str]] = [set() for _ in docs]
     if not any(docs):
         yield from ((0, 0, [], []) for _ in docs)
         return
     shard = Shard(docs)
     edge = np.zeros(shard.n + 1, np.int32)
-    items: list[set[str]] = [set() for _ in docs]
-    for windows, owners in blocks:
-        number, position = shard.search(windows)
-        width = np.array([len(w) for w in windows], np.int64)[number] if len(number) else number
+    for d, (found, spans) in enumerate(before or ()):
+        items[d].update(found)
+        for a, b in spans:
+            edge[shard.starts[d] + a] += 1
+            edge[shard.starts[d] + b] -= 1
+    symbols, length, owner = block.windows(shard.symbol, width)
+    if len(symbols):
+        number, position = shard.search(symbols, length)
         np.add.at(edge, position, 1)
-        np.add.at(edge, position + width, -1)
+        np.add.at(edge, position + length[number], -1)
         doc = np.searchsorted(shard.starts, position, "right") - 1
-        if len(number):
-            pairs = np.sort(doc * len(windows) + number)
-            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
-            for d, k in zip((pairs // len(windows)).tolist(), (pairs % len(windows)).tolist(), strict=True):
-                items[d].update(owners[k])
+        pairs = np.sort(doc * len(block.ids) + owner[number])
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
+        for d, k in zip((pairs // len(block.ids)).tolist(), (pairs % len(block.ids)).tolist(), strict=True):
+            if block.ids[k] is not None:
+                items[d].add(block.ids[k])
     hit = np.cumsum(edge)[:-1] > 0
     turn = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
     begin, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
@@ -183,46 +201,68 @@ def searched(texts: list[str | None], blocks: Iterable[tuple[list, list]]) -> It
         yield len(d), sum(e - b for b, e in s), sorted(i), s
 
 
-def item_blocks(benchmark: DataFrame, width: int, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
-    """Windows of all items, as broadcasts of bounded size; the driver holds one block of items at a time."""
-    sc, out, held, size = benchmark.sparkSession.sparkContext, [], [], 0
-    for item, text in only(benchmark, "item_id", "text").toLocalIterator():
-        if item is None or not text:
-            continue
-        held.append((item, text))
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
+    """All items in blocks of bounded size, one without items if there are none; the driver holds one at a time."""
+    ids, flat, lengths, known, size, made = [], array("i"), [], {}, 0, 0
+    for item, text in only(benchmark, "item_id", "text").where("text is not null").toLocalIterator():
+        found = words(text)
+        ids.append(None if item is None else str(item))
+        lengths.append(len(found))
+        flat.extend([known.setdefault(w, len(known)) for w in found])
         size += len(text)
         if size >= block_bytes:
-            out.append(sc.broadcast(item_windows(held, width)))
-            held, size = [], 0
-    if held:
-        out.append(sc.broadcast(item_windows(held, width)))
-    return out
-
+            yield Items(ids, list(known), np.array(flat, np.int32), np.array(lengths, np.int64))
+            ids, flat, lengths, known, size, made = [], array("i"), [], {}, 0, made + 1
+    if ids or not made:
+        yield Items(ids, list(known), np.array(flat, np.int32), np.array(lengths, np.int64))
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items found (sorted) and the merged removal spans in words."""
-    blocks = item_blocks(benchmark, width)
 
-    def flush(ids: list, texts: list) -> pd.DataFrame:
-        found = list(searched(texts, (b.value for b in blocks)))
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": [f[0] for f in found], "n_hit": [f[1] for f in found], "items": [f[2] for f in found], "spans": [[{"start": a, "end": b} for a, b in f[3]] for f in found]})
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: doc_id, h (hash of the text), n_words, n_hit, items found (sorted) and the merged removal spans in words."""
+    context = docs.sparkSession.sparkContext
+    rows, blocks = spread(only(docs, "doc_id", "text")).withColumn("h", F.xxhash64("text")), item_blocks(benchmark, block_bytes)
+    block, first = next(blocks), True
+    while True:
+        after = next(blocks, None)
+        sent = context.broadcast(block)
+        rows = rows.mapInPandas(one_pass(sent, width, shard_words, first, after is None), SCHEMA if after is None else f"text string, {SCHEMA}")
+        if after is None:
+            return rows
+        rows = written(rows, "scanned").select("doc_id", "h", "text", "items", "spans")
+        sent.destroy()
+        block, first = after, False
+
+
+def one_pass(sent: Broadcast, width: int, shard_words: int, first: bool, last: bool):
+    """A pass over the documents with one block of items; the last drops the texts."""
+
+    def flush(ids: list, hashes: list, texts: list, before: list) -> pd.DataFrame:
+        found = list(searched(texts, sent.value, width, before))
+        out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "h": hashes, "n_words": [f[0] for f in found], "n_hit": [f[1] for f in found], "items": [f[2] for f in found], "spans": [[{"start": a, "end": b} for a, b in f[3]] for f in found]})
+        if not last:
+            out.insert(0, "text", texts)
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, texts, size = [], [], 0
+        ids, hashes, texts, before, size = [], [], [], [], 0
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
+            found = [] if first else [(list(i), [(s["start"], s["end"]) for s in x]) for i, x in zip(batch["items"], batch["spans"], strict=True)]
+            for k, (doc, h, text) in enumerate(zip(batch["doc_id"].tolist(), batch["h"].tolist(), batch["text"].tolist(), strict=True)):
                 ids.append(None if pd.isna(doc) else int(doc))
+                hashes.append(h)
                 texts.append(text if isinstance(text, str) else None)
+                if not first:
+                    before.append(found[k])
                 size += len(text) // 6 + 1 if isinstance(text, str) else 1
                 if size >= shard_words:
-                    yield flush(ids, texts)
-                    ids, texts, size = [], [], 0
+                    yield flush(ids, hashes, texts, before)
+                    ids, hashes, texts, before, size = [], [], [], [], 0
                     trim()
         if ids:
-            yield flush(ids, texts)
+            yield flush(ids, hashes, texts, before)
         trim()
 
-    return spread(only(docs, "doc_id", "text")).mapInPandas(run, SCHEMA)
+    return run
 
 
 def items_digest(items: list[str] | None) -> str:
@@ -245,7 +285,5 @@ def clean_text(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

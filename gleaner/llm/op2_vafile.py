@@ -1,15 +1,18 @@
 """Exact top-k inner products by vector-approximation files.
 
-Every partition keeps its vectors in files of at most FILE_ROWS: the exact integer vectors and, beside them, one cell
-number per component on a grid of 2**BITS cells. A query first scans the cells alone: with the bounds of a cell, a
-component adds at most q*high (q > 0) or q*low, so the scan is two matrix products. Exact vectors are then read in
-order of falling bounds, in growing steps, until the k-th exact score is no less than every bound that is left; equal
-scores are kept until ties are settled by id. A window joins the k best of each file. Queries come in blocks of
-QUERY_ROWS packed vectors, each broadcast alone, so a task holds a file and a block whatever the size of the tables.
-
-Defined results: components become floor(1024 * x), x as double. Vectors null, empty, with null or non-finite components or
-with components beyond 2**40 take no part, nor do rows with a null vec_id. A query meets vectors of its own length only and
-never rows of its own vec_id; fewer than k candidates give fewer rows; repeated rows each count. Extra columns are ignored.
+Vectors are written once, a row for each file of at most FILE_BYTES: the exact integer vectors and, beside them, one cell
+number per component on a grid of 2**BITS cells. A query first scans a file's cells alone: with the bounds of a cell, a
+component adds at most q*high (q > 0) or q*low, so the scan is two matrix products. Exact vectors are then read in order
+of falling bounds, in growing steps, until the k-th exact score is no less than every bound that is left; what earlier
+files of the task gave is a floor from the start, and equal scores are kept until ties are settled by id. A window joins
+the best of each task. Queries come in blocks of QUERY_BYTES, one broadcast alive at a time; a block is a pass over the
+files whose answers are written in the shared folder, so that no plan grows with the number of queries.
+
+Defined results: components become floor(1024 * x), x as double, and scores are exact integers; a score that doesn't fit
+in a long, or a component whose 1024-fold isn't finite, ends the run with an error. Vectors null, empty or with null or
+non-finite components take no part, nor do rows with a null vec_id. A query meets vectors of its own length only. Its own
+row, a row of its id and vector, is no candidate; should that row be there several times, all but one are. Each query row
+gets its answers, repeated ones too; fewer than k candidates give fewer rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,27 +25,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import only, spread, table
+from .common import only, spread, table, table_path, trim, written
 
 K = 10
 BITS = 6
-FILE_ROWS = 1 << 15
+FILE_BYTES = 16 << 20
 SCAN_ROWS = 256
-QUERY_ROWS = 1 << 14
-LIMIT = 1 << 40
+QUERY_BYTES = 32 << 20
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.vec_id AS query_id, q.place, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.place <> q.place AND len(q.e) = len(c.e)
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
@@ -55,43 +57,71 @@ def whole(vector) -> np.ndarray | None:
     x = np.asarray(vector, dtype=object) if any(c is None for c in vector) else np.asarray(vector, np.float64)
     if x.dtype == object or not np.isfinite(x).all():
         return None
-    x = np.floor(1024 * x)
-    return x if np.abs(x).max() <= LIMIT else None
+    with np.errstate(over="ignore"):
+        x = np.floor(1024 * x)
+    if not np.isfinite(x).all():
+        raise ArithmeticError("1024 times a component isn't finite")
+    return x
+
+
+def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products."""
+    size = float(np.abs(query).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * len(query)
+    if size < 2**52:
+        return (vectors @ query).astype(np.int64)
+    if size < 2**62:
+        return vectors.astype(np.int64) @ query.astype(np.int64)
+    q = [int(c) for c in query]
+    out = [sum(a * int(b) for a, b in zip(q, v, strict=True)) for v in vectors]
+    if any(abs(x) >= 2**63 for x in out):
+        raise ArithmeticError("a score doesn't fit in a long")
+    return np.array(out, np.int64)
 
 
 class VectorFile:
     """Cells and exact vectors of rows of one length."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, bits: int = BITS):
-        self.ids, self.exact = ids, vectors
-        low, high = vectors.min(0), vectors.max(0)
+    def __init__(self, ids: np.ndarray, exact: np.ndarray, cells: np.ndarray, low: np.ndarray, step: np.ndarray):
+        self.ids, self.exact, self.cells, self.low, self.step = ids, exact, cells, low, step
+        self.size = float(np.abs(exact).max(initial=0)) * exact.shape[1]
+
+    @classmethod
+    def of(cls, ids: np.ndarray, exact: np.ndarray, bits: int = BITS) -> VectorFile:
+        low, high = exact.min(0), exact.max(0)
         step = np.maximum(1, np.ceil((high - low + 1) / (1 << bits)))
-        self.cells = ((vectors - low) // step).astype(np.uint8)
-        self.low, self.step = low, step
+        return cls(ids, exact, np.minimum((exact - low) // step, (1 << bits) - 1).astype(np.uint8), low, step)
+
+    def row(self) -> dict:
+        return {"dims": self.exact.shape[1], "ids": self.ids.astype("<i8").tobytes(), "low": self.low.astype("<f8").tobytes(), "step": self.step.astype("<f8").tobytes(), "cells": self.cells.tobytes(), "exact": self.exact.astype("<f8").tobytes()}
+
+    @classmethod
+    def read(cls, row: dict) -> VectorFile:
+        n, ids = row["dims"], np.frombuffer(row["ids"], "<i8")
+        return cls(ids, np.frombuffer(row["exact"], "<f8").reshape(-1, n), np.frombuffer(row["cells"], np.uint8).reshape(-1, n), np.frombuffer(row["low"], "<f8"), np.frombuffer(row["step"], "<f8"))
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Upper bounds of all scores from the cells alone."""
         low = self.low + self.cells * self.step
         high = low + self.step - 1
-        return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
-
-    def scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        part = self.exact[rows]
-        if np.abs(query).max() * np.abs(part).max(initial=0) * len(query) < 2**52:
-            return (part @ query).astype(np.int64)
-        return part.astype(np.int64) @ query.astype(np.int64)
-
-    def top(self, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Per query: its id, and ids and scores of its k best rows here."""
-        for a in range(0, len(ids), SCAN_ROWS):
+        out = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+        if float(np.abs(queries).max(initial=0)) * self.size * 4 >= 2**52:  # sums then round, by their terms' size
+            out += 1e-12 * (np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).T)
+        return out
+
+    def top(self, queries: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Per query: its number, its k best rows here that may be among its k best of all, and their scores; floor has
+        the k-th score known so far."""
+        for a in range(0, len(queries), SCAN_ROWS):
             bound = self.bounds(queries[a : a + SCAN_ROWS])
-            bound += np.abs(bound) * 1e-12  # the products' own rounding
-            for query_id, query, b in zip(ids[a : a + SCAN_ROWS].tolist(), queries[a : a + SCAN_ROWS], bound, strict=True):
+            for number, b in enumerate(bound, a):
+                able = np.flatnonzero(b >= floor[number])
+                if not len(able):
+                    continue
+                b = b[able]
                 step = min(len(b), 16 * k)
                 while True:
-                    rows = np.argpartition(-b, step - 1)[:step] if step < len(b) else np.arange(len(b))
-                    rows = rows[self.ids[rows] != query_id]
-                    score = self.scores(query, rows)
+                    rows = able[np.argpartition(-b, step - 1)[:step]] if step < len(b) else able
+                    score = products(self.exact[rows], queries[number])
                     if step == len(b):
                         break
                     rest = -np.partition(-b, step)[step]
@@ -99,72 +129,98 @@ class VectorFile:
                         break
                     step = min(len(b), 4 * step)
                 best = np.lexsort((self.ids[rows], -score))[:k]
-                yield query_id, self.ids[rows[best]], score[best]
+                yield number, rows[best], score[best]
+
+
+FILES = "dims int, ids binary, low binary, step binary, cells binary, exact binary"
+
+
+def vector_files(vectors: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """The vectors (vec_id, embedding) as approximation files, written in the shared folder."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, rows = defaultdict(list), defaultdict(list)
 
-def query_blocks(queries: DataFrame, rows: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Queries by length of vector, at most `rows` at a time on the driver."""
-    ids, vectors = defaultdict(list), defaultdict(list)
-    held = 0
+        def close(n: int) -> pd.DataFrame:
+            return pd.DataFrame([VectorFile.of(np.array(ids.pop(n), np.int64), np.array(rows.pop(n))).row()])
+
+        for batch in batches:
+            for vec_id, vector in zip(batch["vec_id"].tolist(), batch["embedding"], strict=True):
+                if (x := whole(vector)) is not None:
+                    n = len(x)
+                    ids[n].append(vec_id)
+                    rows[n].append(x)
+                    if len(ids[n]) * 8 * n >= file_bytes:
+                        yield close(n)
+        for n in list(ids):
+            yield close(n)
+
+    given = only(vectors, "vec_id", "embedding").where("vec_id is not null and size(embedding) > 0")
+    return written(spread(given).mapInPandas(run, FILES), "vectors")
+
+
+def query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Queries by length of vector (their numbers, ids and vectors), about block_bytes at a time on the driver."""
+    held, size = defaultdict(lambda: ([], [], [])), 0
 
     def block():
-        return {n: (np.array(ids[n], np.int64), np.array(vectors[n])) for n in ids}
+        return {n: (np.array(number, np.int64), np.array(ids, np.int64), np.array(rows)) for n, (number, ids, rows) in held.items()}
 
-    for vec_id, vector in queries.toLocalIterator():
+    for number, (vec_id, vector) in enumerate(queries.toLocalIterator()):
         if (x := whole(vector)) is not None:
-            ids[len(x)].append(vec_id)
-            vectors[len(x)].append(x)
-            held += 1
-        if held >= rows:
+            for part, value in zip(held[len(x)], (number, vec_id, x), strict=True):
+                part.append(value)
+            size += 8 * len(x)
+        if size >= block_bytes:
             yield block()
-            ids, vectors, held = defaultdict(list), defaultdict(list), 0
+            held, size = defaultdict(lambda: ([], [], [])), 0
     if held:
         yield block()
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, file_rows: int = FILE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k best vectors (both tables: vec_id, embedding)."""
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, file_bytes: int = FILE_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """query_id, rank, vec_id and score of each query row's k best vectors (both tables: vec_id, embedding)."""
     spark = vectors.sparkSession
-    given = only(vectors, "vec_id", "embedding").where("vec_id is not null and size(embedding) > 0")
+    files = vector_files(vectors, file_bytes)
     asked = only(queries, "vec_id", "embedding").where("vec_id is not null and size(embedding) > 0")
-    schema = "query_id long, vec_id long, score long"
-    parts = []
-    for block in query_blocks(asked, query_rows):
+    schema = "query long, query_id long, vec_id long, score long, own boolean"
+    path = table_path(spark, "answers")
+    spark.createDataFrame([], schema).write.parquet(path)
+    for block in query_blocks(asked, query_bytes):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, rows = defaultdict(list), defaultdict(list)
-
-            def search(n: int) -> Iterator[pd.DataFrame]:
-                if n in sent.value:
-                    file = VectorFile(np.array(ids[n], np.int64), np.array(rows[n]))
-                    for query, found, score in file.top(*sent.value[n], k):
-                        yield pd.DataFrame({"query_id": query, "vec_id": found, "score": score})
-                ids[n], rows[n] = [], []
-
-            def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                if frames := list(frames):
-                    yield pd.concat(frames)
-
+            # the k best so far of each query and its own row: score, id, whether it is the query's own
+            best = {n: [[] for _ in numbers] for n, (numbers, _, _) in sent.value.items()}
+            floor = {n: np.full(len(numbers), -np.inf) for n, (numbers, _, _) in sent.value.items()}
             for batch in batches:
-                for vec_id, vector in zip(batch["vec_id"].tolist(), batch["embedding"], strict=True):
-                    if (x := whole(vector)) is not None:
-                        ids[len(x)].append(vec_id)
-                        rows[len(x)].append(x)
-                        if len(ids[len(x)]) >= file_rows:
-                            yield from packed(search(len(x)))
-            for n in list(ids):
-                if ids[n]:
-                    yield from packed(search(n))
-
-        parts.append(spread(given).mapInPandas(run, schema))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for row in batch.to_dict("records"):
+                    if (n := row["dims"]) not in best:
+                        continue
+                    file = VectorFile.read(row)
+                    _, ids, vectors = sent.value[n]
+                    for q, rows, score in file.top(vectors, k + 1, floor[n]):
+                        own = (file.ids[rows] == ids[q]) & (file.exact[rows] == vectors[q]).all(1)
+                        found = best[n][q] + list(zip((-score).tolist(), file.ids[rows].tolist(), own.tolist(), strict=True))
+                        best[n][q] = found = sorted(found)[: k + 1]
+                        if len(found) > k:
+                            floor[n][q] = -found[k][0]
+                trim()
+            for n, answers in best.items():
+                numbers, ids, _ = sent.value[n]
+                for a in range(0, len(answers), 1000):
+                    flat = [(int(numbers[q]), int(ids[q]), vec_id, -score, own) for q in range(a, min(a + 1000, len(answers))) for score, vec_id, own in answers[q]]
+                    yield pd.DataFrame(flat, columns=["query", "query_id", "vec_id", "score", "own"])
+
+        files.mapInPandas(run, schema).write.mode("append").parquet(path)
+        sent.destroy()
+    found = spark.read.schema(schema).parquet(path)
+    # of rows alike to the query one is its own; it is among the k + 1 best of its kind, or not among the k best at all
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", F.desc("own"))
+    first = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    alike = F.sum(F.col("own").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    left = first.withColumn("alike", alike).where("not (own and alike = 1)").withColumn("rank", F.row_number().over(order))
+    return left.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:

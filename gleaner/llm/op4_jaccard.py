@@ -6,9 +6,11 @@
 2. Candidates: within a bucket (a band and its hash) each class points to the bucket's least class; connected components
    of these stars hold every pair of classes that shares a bucket, at a row per class and band and without pairs.
 3. Verify: one text of each class in a component of two or more is read again and its set is sent to the component,
-   once per pair of blocks: a component is cut by set size into blocks of BLOCK classes, and pairs of blocks whose sizes
-   rule out the threshold are left out. Each pair of blocks is a product of 0/1 matrices, so pairs are counted, never
-   emitted: a row per class with its number of links, and links enough to connect what is linked.
+   once per pair of blocks: a component is cut into blocks of about BLOCK classes, classes that point to the same least
+   class side by side. Only pairs of blocks that share a bucket, and whose set sizes allow the threshold, are compared, so
+   that chance candidates, which join components, don't make all of these meet. Each pair of blocks is a product of 0/1
+   matrices, so pairs are counted, never emitted: a row per class with its number of links, and links enough to connect
+   what is linked.
 4. Classes linked are connected; a document's links are the documents of the classes its own is linked to, and the
    others of its own.
 
@@ -132,18 +134,18 @@ def sketches(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
     return given.mapInPandas(run, "doc_id long, h long, n int, set string, bands array<long>")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the graph of (a, b): the least node of each component.
 
-    Rounds of large-star and small-star: every node's neighbours are joined to the least of them, until nothing changes;
-    each round is a groupBy and a join on nodes, and ends in a checkpoint.
+    Every node points to a root, at first to its least neighbour. In each round a root learns of lesser roots across the
+    edges and is hooked to the least, then every node takes its root's root; it ends when no edge joins two roots. A round
+    is a few joins on nodes and ends in a checkpoint; their number grows with the logarithm of the longest path.
     """
     both = edges.where("a <> b")
     label = checkpointed(both.select(F.col("a").alias("node"), F.col("b").alias("to")).union(both.select(F.col("b"), F.col("a"))).groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("root")))
-    for _ in range(most):
+    while True:
         root = label.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         one = both.join(root, "a").join(label.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        # a root learns of lesser roots across its edges, then every node of its root's root
         lower = one.where("ra <> rb").select(F.greatest("ra", "rb").alias("root"), F.least("ra", "rb").alias("less")).groupBy("root").agg(F.min("less").alias("less"))
         lower = checkpointed(lower)
         if lower.isEmpty():
@@ -151,7 +153,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         step = label.join(lower, "root", "left").select("node", F.coalesce("less", "root").alias("root"))
         up = step.select(F.col("node").alias("root"), F.col("root").alias("over"))
         label = checkpointed(step.join(up, "root", "left").select("node", F.coalesce("over", "root").alias("root")))
-    raise RuntimeError("components did not settle")
 
 
 def compared(a: list[np.ndarray], b: list[np.ndarray], threshold: float, same: bool) -> np.ndarray:
@@ -256,7 +257,7 @@ def verified(members: DataFrame, threshold: float, ngram: int, partitions: int)
 
 
 def joined(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, h, class_id, class_size and n_links of every document."""
+    """doc_id, h, class (its name), class_id, class_size and n_links of every document."""
     spark = docs.sparkSession
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     bands, rows = bands_for(threshold, recall)
@@ -267,14 +268,19 @@ def joined(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, re
     # stars: a bucket's least node, for buckets with more than one
     dealt = classes.select("node", F.explode("bands").alias("bucket"))
     least = dealt.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = dealt.join(least, "bucket").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    shared = checkpointed(dealt.join(least, "bucket"))
+    stars = shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     near = components(checkpointed(stars))
-    member = near.join(classes.select("node", "set", "rep", "members", "n"), "node").drop("node")
+    centre = shared.groupBy("node").agg(F.min("least").alias("centre"))
+    member = near.join(centre, "node").join(classes.select("node", "set", "rep", "members", "n"), "node")
     member = checkpointed(blocked(member, block))
-    # the blocks' size ranges: a row each; a pair of blocks is compared where sizes allow the threshold
+    # pairs of blocks that share a bucket; the blocks' size ranges, a row each, rule out what can't reach the threshold
+    held = shared.select("node", "bucket").join(member.select("node", "root", "block"), "node").select("root", "bucket", "block").distinct()
+    meet = held.withColumnRenamed("block", "left").join(held.withColumnRenamed("block", "right"), ["root", "bucket"]).where("left <= right").select("root", "left", "right").distinct()
     ranges = member.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left, right = (ranges.select("root", F.col("block").alias(s), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high")) for s in ("left", "right"))
-    pairs = left.join(right, "root").where((F.col("left") <= F.col("right")) & (F.col("right_low") * threshold <= F.col("left_high") + 1e-6))
+    fits = (F.col("right_low") * threshold <= F.col("left_high") + 1e-6) & (F.col("left_low") * threshold <= F.col("right_high") + 1e-6)
+    pairs = meet.join(left, ["root", "left"]).join(right, ["root", "right"]).where(fits)
     sides = pairs.select("root", "left", "right", F.explode(F.when(F.col("left") == F.col("right"), F.array(F.struct(F.col("left").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("left").alias("block"), F.lit(0).alias("side")), F.struct(F.col("right").alias("block"), F.lit(1).alias("side"))))).alias("s")).select("root", "left", "right", "s.block", "s.side")
     placed = member.join(sides, ["root", "block"]).select("root", "left", "right", "side", "set", "members", "rep")
     texts = perhaps(only(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")), member.select(F.xxhash64("rep.doc_id", "rep.h").alias("key")))
@@ -286,9 +292,9 @@ def joined(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, re
     linked = components(checked.where("other is not null").select(F.col("set").alias("a"), F.col("other").alias("b")))
     named = classes.select("set", "rep", "members").join(linked.withColumnRenamed("node", "set"), "set", "left").join(links, "set", "left").withColumn("root", F.coalesce("root", "set"))
     heads = named.groupBy("root").agg(F.min("rep.doc_id").alias("class_id"), F.sum("members").alias("class_size"))
-    named = named.join(heads, "root").select("set", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
-    alone = sketch.where("set is null").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
-    return sketch.where("set is not null").select("doc_id", "h", "set").join(named, "set").drop("set").select("doc_id", "h", "class_id", "class_size", "n_links").unionByName(alone)
+    named = named.join(heads, "root").select("set", F.col("root").alias("class"), "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
+    alone = sketch.where("set is null").select("doc_id", "h", F.concat(F.lit("alone "), F.col("h").cast("string")).alias("class"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    return sketch.where("set is not null").select("doc_id", "h", "set").join(named, "set").drop("set").select("doc_id", "h", "class", "class_id", "class_size", "n_links").unionByName(alone)
 
 
 def perhaps(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -315,17 +321,17 @@ def perhaps(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def blocked(member: DataFrame, block: int) -> DataFrame:
-    """member with its block's number in its component, by set size: sizes are summed first, then ranked within a size."""
+    """member with its block's number in its component: classes of a centre lie side by side, in as many blocks as they fill."""
     from pyspark.sql import Window
 
-    by_size = member.groupBy("root", "n").agg(F.count("*").alias("many"))
-    before = by_size.withColumn("before", F.coalesce(F.sum("many").over(Window.partitionBy("root").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("many")
-    # within a size, a hash spreads classes evenly over as many blocks as the size fills
-    sized = member.join(by_size, ["root", "n"]).join(before, ["root", "n"])
+    by_centre = member.groupBy("root", "centre").agg(F.count("*").alias("many"))
+    upto = Window.partitionBy("root").orderBy("centre").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_centre.withColumn("before", F.coalesce(F.sum("many").over(upto), F.lit(0)))
+    # within a centre, a hash spreads classes evenly over as many blocks as they fill
     first = F.floor(F.col("before") / block)
     span = F.floor((F.col("before") + F.col("many") - 1) / block) - first + 1
-    return sized.withColumn("block", (first + F.pmod(F.xxhash64("set"), span)).cast("long")).drop("many", "before")
+    return member.join(before, ["root", "centre"]).withColumn("block", (first + F.pmod(F.xxhash64("set"), span)).cast("long")).drop("many", "before", "centre")
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(table(spark, sf_dir, "documents")).drop("h")
+    return joined(table(spark, sf_dir, "documents")).drop("h", "class")

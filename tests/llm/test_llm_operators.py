@@ -63,21 +63,20 @@ def test_decontaminate(spark, docs, empty):
     windows = collections.defaultdict(set)
     for i, t in items:
         w = words(t)
-        if i is not None and w:
-            for k in range(max(1, len(w) - 9)):
-                windows[tuple(w[k : k + 10])].add(str(i))
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])] |= {str(i)} - {"None"}
     want = []
     for d, t, *_ in rows:
         w, hit, found = words(t), set(), set()
         for n in {len(x) for x in windows}:
             for k in range(len(w) - n + 1):
-                if own := windows.get(tuple(w[k : k + n])):
+                if (own := windows.get(tuple(w[k : k + n]))) is not None:
                     found |= own
                     hit |= set(range(k, k + n))
         want.append((d, len(w), len(hit), sorted(found)))
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    for shard_words in (50, 1 << 20):
-        got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in op1.scan(docs, bench, shard_words=shard_words).collect()]
+    for shard_words, block_bytes in ((50, 1 << 20), (1 << 20, 1 << 20), (500, 100)):
+        got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in op1.scan(docs, bench, shard_words=shard_words, block_bytes=block_bytes).collect()]
         assert sorted(got, key=key) == sorted(want, key=key)
     assert op1.scan(empty, bench).count() == 0
     assert op1.scan(docs, bench.limit(0)).where("n_hit > 0").count() == 0
@@ -96,19 +95,35 @@ def test_top_k(spark):
     rows = [(k, [r.uniform(-2, 2) for _ in range(5)]) for k in range(0, 700)]
     rows += [(1000 + k, rows[100][1]) for k in range(40)] + [(200, rows[3][1]), (5000, None), (5100, [None] * 5), (5200, [math.inf] * 5), (5300, []), (None, rows[1][1]), (300, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
-    whole = [(i, np.floor(1024 * np.float32(v).astype(float)).astype(int)) for i, v in rows if i is not None and v and None not in v and all(map(math.isfinite, v))]
-    want = []
-    for qi, q in whole:
-        if qi % 100 == 0:
-            best = sorted(((-int(q @ v), i) for i, v in whole if i != qi and len(v) == len(q)))[:10]
-            want += [(qi, i, -s) for s, i in best]
-    ids = collections.Counter(i for i, _ in whole if i % 100 == 0)
-    once = [w for w in want if ids[w[0]] == 1]
-    got = [(r["query_id"], r["vec_id"], r["score"]) for r in op2.top_k(df, df.where("vec_id % 100 = 0"), file_rows=128, query_rows=3).collect() if ids[r["query_id"]] == 1]
-    assert sorted(got) == sorted(once)
+    whole = [(i, [math.floor(1024 * float(np.float32(c))) for c in v]) for i, v in rows if i is not None and v and None not in v and all(map(math.isfinite, v))]
+
+    def brute(whole):
+        for k, (qi, q) in enumerate(whole):
+            if qi % 100 == 0:
+                found = sorted((-sum(a * b for a, b in zip(q, v)), i) for j, (i, v) in enumerate(whole) if j != k and len(v) == len(q))[:10]
+                yield from ((qi, n, i, -s) for n, (s, i) in enumerate(found, 1))
+
+    got = [tuple(r) for r in op2.top_k(df, df.where("vec_id % 100 = 0"), file_bytes=128 * 40, query_bytes=120).collect()]
+    assert sorted(got) == sorted(brute(whole)) and sum(g[0] == 200 for g in got) == 20
     assert op2.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_numbers(spark):
+    r = random.Random(7)
+    for power in (20, 27, 31):  # sums beyond 2**52, beyond a float's exact integers, and near a long's end
+        rows = [(k, [r.choice([-1, 1]) * r.uniform(0.5, 1) * 2.0 ** (power - 10 * r.randint(0, 1)) / 1024 for _ in range(3)]) for k in range(200)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        whole = [(i, [math.floor(1024 * c) for c in v]) for i, v in rows]
+        want = []
+        for qi, q in whole[::100]:
+            found = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in whole if i != qi)[:10]
+            want += [(qi, n, i, -s) for n, (s, i) in enumerate(found, 1)]
+        assert sorted(map(tuple, op2.top_k(df, df.where("vec_id % 100 = 0"), file_bytes=1000).collect())) == sorted(want)
+    with pytest.raises(Exception, match="fit in a long"):
+        far = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>")
+        op2.top_k(far, far).collect()
+
+
 def test_flow_moves_least():
     r = random.Random(3)
     for _ in range(20):
