@@ -3,8 +3,8 @@
 Rows fall in blocks by the hash of their text, so that equal texts lie together; a block belongs to an old shard. Block
 sizes are summed (BUCKETS * PARTS rows at most, whatever the input) and the driver solves the flow: old shards supply
 their bytes, new shards take up to their capacities, staying costs nothing and moving costs a byte a byte. Blocks then
-fill the flows, the largest first, and a block over half of a new shard (one text on very many rows) is split by
-doc_id first. Shards that gain or lose a block are written anew, each task writing its rows to every shard's folder, so
+fill the flows, the largest first, so that a shard differs from its capacity by less than one block for each old shard;
+a block over half of a new shard (one text on very many rows) is first split by doc_id into PARTS. Shards that gain or lose a block are written anew, each task writing its rows to every shard's folder, so
 that no text is shuffled; untouched shards stay as they are. Sizes, checksums and slots are read back from those files.
 
 Defined results: a row's size is its text's UTF-8 bytes (null: none) plus 1; its checksum is that of the text (null: 0).
@@ -26,7 +26,7 @@ from .common import only, table, table_path
 SHARDS = 8
 OLD_SHARDS = 5
 BUCKETS = 2048
-PARTS = 8
+PARTS = 64
 SPLIT = 2  # a block over this share of a new shard is split
 
 

@@ -62,8 +62,9 @@ def records(pages: DataFrame, ranges: int, **copies: Column) -> DataFrame:
     given = only(pages, "page_id", "url", "html").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     held = {"leaf": F.col("html"), **copies}
     size = F.octet_length(header(F.col("url"), F.col("page_id"), F.col("html"))) + F.octet_length("html") + 4
-    slim = given.select("page_id", "url", size.cast("long").alias("size"), *[digest(html).alias(name) for name, html in held.items()])
-    placed = slim.repartitionByRange(ranges, F.col("page_id").asc_nulls_first(), "url", "leaf").withColumn("part", F.spark_partition_id())
+    # the partition a row comes from is the last key: equal records, which are alike in all that follows, are dealt apart
+    slim = given.select("page_id", "url", F.spark_partition_id().alias("from"), size.cast("long").alias("size"), *[digest(html).alias(name) for name, html in held.items()])
+    placed = slim.repartitionByRange(ranges, F.col("page_id").asc_nulls_first(), "url", "leaf", "from").drop("from").withColumn("part", F.spark_partition_id())
     placed = written(placed, "warc")  # the ranges now are data, whatever runs again
     inside = Window.partitionBy("part").orderBy(F.col("page_id").asc_nulls_first(), "url", "leaf")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)

@@ -3,29 +3,31 @@
 Targets: sources by code point (null last) weigh 5, 2, 1, repeating, and share all words; a target stops at MOST times its
 source's size and the excess is shared again by weight, which is a level: target = min(MOST * size, level * weight).
 Every document is first taken as many whole times as its source's target holds its size. The rest of the target is a
-Pareto sample: documents are ranked by the odds of a random number over their odds of inclusion (which grow as the root
-of their size against the source's mean), and ranks are taken until the words are full; ROUNDS more passes fill the gap
-that is left from the documents nearest the cut that fit in it.
-
-Nothing is sorted as a whole: ranks fall in bins of about BIN documents, whose sums (a row each) find the bin in which a
-source's cut lies; only that bin's rows are ordered. Rows alike in (doc_id, text, source) are one unit, so that a hot row
-is one, and each gets the same number of copies. The random number is the md5 of the doc_id, so that reruns agree.
-
-Defined results: a null text has size 0 and takes 0; null sources are one source; sources of no words get target 0; a null
-doc_id draws as an empty id; no document is taken more than MOST times; an empty table gives no rows; other columns are
-ignored (mixed() keeps all of them).
+Pareto sample whose size is fixed in words: inclusion probabilities grow as the root of a document's size, scaled so that
+the expected words of the sample are that rest; where a probability would reach 1 the document is certain and the others
+are scaled anew. Documents are ranked by the odds of a random number over their odds of inclusion, certain ones first, and
+taken in that order until the words are full; in the bin of the cut, ROUNDS passes fill the gap with the next that fit.
+
+Nothing is sorted as a whole: the scale comes from a histogram of sizes, and ranks fall in bins whose sums (a row each)
+find the bin in which a source's cut lies; only that bin's rows are ordered. Bins are as many as the root of a source's
+documents, so that neither their number nor what one holds grows in proportion. Rows alike in (doc_id, text, source) are
+one unit, so that a hot row is one, and each gets the same number of copies. The random number is the md5 of the doc_id,
+so that reruns agree.
+
+Defined results: a null text has size 0; rows of size 0 are no words and are taken as often as the whole copies of their
+source; null sources are one source; sources of no words get target 0; a null doc_id draws as an empty id; no document is
+taken more than MOST times; an empty table gives no rows; other columns are ignored (mixed() keeps all of them).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, only, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BIN = 1000
 ROUNDS = 3
 SIZE = r"[^\x20\x09-\x0D]+"
 
@@ -50,14 +52,25 @@ WITH d AS (
   SELECT source, source_size, n, least(3e0 * source_size, coalesce(level, 0) * weight) AS target FROM w CROSS JOIN l
 ), c AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
-         greatest(1, CAST(floor(n / 1000e0) AS BIGINT)) AS bins,
-         greatest(1e0, source_size / CAST(n AS DOUBLE)) AS mean
+         greatest(1, CAST(floor(sqrt(CAST(n AS DOUBLE)) / 4e0) AS BIGINT)) AS bins
   FROM t
+), cr AS (SELECT *, target - whole * source_size AS rest FROM c
+), z AS (
+  SELECT d.source, d.size, cr.rest, count(*) AS n, CAST(floor(16e0 * sqrt(CAST(d.size AS DOUBLE))) AS BIGINT) AS w
+  FROM d JOIN cr ON d.source IS NOT DISTINCT FROM cr.source WHERE d.size > 0 AND cr.rest > 0 GROUP BY d.source, d.size, cr.rest
+), zz AS (
+  SELECT *, (rest - CAST(coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT))
+         / CAST(CAST(sum(w * size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS DOUBLE) AS scale
+  FROM z
+), sc AS (SELECT source, max_by(scale, size) AS scale, max(size) AS most FROM zz WHERE scale * w < 1 GROUP BY source
+), q0 AS (
+  SELECT d.doc_id, d.h, d.source, d.size, d.u, count(*) AS same, d.size * count(*) AS unit, cr.rest, cr.bins, sc.most,
+         greatest(sc.scale * CAST(floor(16e0 * sqrt(CAST(d.size AS DOUBLE))) AS BIGINT), 1e-12) AS p
+  FROM d JOIN cr ON d.source IS NOT DISTINCT FROM cr.source JOIN sc ON d.source IS NOT DISTINCT FROM sc.source
+  WHERE d.size > 0 AND cr.rest > 0
+  GROUP BY d.doc_id, d.h, d.source, d.size, d.u, cr.rest, cr.bins, sc.most, sc.scale
 ), q AS (
-  SELECT d.doc_id, d.h, d.source, d.size, count(*) AS same, d.size * count(*) AS unit, c.target - c.whole * c.source_size AS rest, c.bins,
-         (d.u / (1 - d.u)) / sqrt(greatest(d.size, 1) / c.mean) AS r
-  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
-  GROUP BY d.doc_id, d.h, d.source, d.size, d.u, c.target, c.whole, c.source_size, c.bins, c.mean
+  SELECT *, CASE WHEN size > most THEN 0e0 ELSE (u / (1 - u)) / (p / (1 - p)) END AS r FROM q0
 ), qb AS (SELECT *, CAST(floor(r / (1 + r) * bins) AS BIGINT) AS bin FROM q
 ), b AS (
   SELECT source, bin, sum(unit) AS words, any_value(rest) AS rest, sum(sum(unit)) OVER (PARTITION BY source ORDER BY bin) AS upto FROM qb GROUP BY source, bin
@@ -82,8 +95,8 @@ WITH d AS (
   SELECT doc_id, h, source, CAST(coalesce(bin < cut, true) AS INT) AS sel FROM k WHERE cut IS NULL OR bin <> cut
   UNION ALL SELECT doc_id, h, source, t3 FROM r3b
 )
-SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, c.source_size, c.target, CAST(d.size * (c.whole + e.sel) AS BIGINT) AS taken
-FROM d JOIN e ON d.doc_id IS NOT DISTINCT FROM e.doc_id AND d.h = e.h AND d.source IS NOT DISTINCT FROM e.source
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, c.source_size, c.target, CAST(d.size * (c.whole + coalesce(e.sel, 0)) AS BIGINT) AS taken
+FROM d LEFT JOIN e ON d.doc_id IS NOT DISTINCT FROM e.doc_id AND d.h = e.h AND d.source IS NOT DISTINCT FROM e.source
 JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
 
@@ -105,23 +118,44 @@ def sized(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "source", "text").select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce(F.regexp_count("text", F.lit(SIZE)), F.lit(0)).cast("long").alias("size"))
 
 
-def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bin_rows: int = BIN, rounds: int = ROUNDS) -> DataFrame:
+def scales(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(at, scale, most): what a source's roots of sizes are multiplied by to be probabilities, and the greatest size that
+    isn't certain; from sums by size."""
+    n = rows.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    known = n.join(plan.select(F.col("source").alias("at"), "rest").where("rest > 0"), F.col("source").eqNullSafe(F.col("at"))).drop("at").withColumn("w", root())
+    down = Window.partitionBy("source").orderBy(F.desc("size"))
+    larger = F.coalesce(F.sum(F.col("size") * F.col("n")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.sum(F.col("w") * F.col("size") * F.col("n")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    found = known.withColumn("scale", (F.col("rest") - larger) / own.cast("double")).where("scale * w < 1")
+    return found.groupBy(F.col("source").alias("at")).agg(F.max_by("scale", "size").alias("scale"), F.max("size").alias("most"))
+
+
+def root() -> Column:
+    return F.floor(F.lit(16.0) * F.sqrt(F.col("size").cast("double"))).cast("long")
+
+
+def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, rounds: int = ROUNDS) -> DataFrame:
     """From sized() rows: a row per unit (doc_id, h, source) with its source's size and target and its copies."""
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     size, n = F.col("source_size"), F.col("n")
     plan = targets(sources, weights, most).select(
         "source", "source_size", "target",
         F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long").alias("whole"),
-        F.greatest(F.lit(1), F.floor(n / float(bin_rows))).cast("long").alias("bins"),
-        F.greatest(F.lit(1.0), size / n.cast("double")).alias("mean"),
+        F.greatest(F.lit(1), F.floor(F.sqrt(n.cast("double")) / 4.0)).cast("long").alias("bins"),
     ).withColumn("rest", F.col("target") - F.col("whole") * size)
     plan = checkpointed(plan)
+    scale = checkpointed(scales(rows, plan))
     units = rows.groupBy("doc_id", "h", "source", "size").agg(F.count("*").alias("same"))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") + 0.5) / 4503599627370496.0
     ranked = units.join(plan.withColumnRenamed("source", "at"), F.col("source").eqNullSafe(F.col("at"))).drop("at")
-    ranked = ranked.withColumn("u", u).withColumn("r", (F.col("u") / (1 - F.col("u"))) / F.sqrt(F.greatest(F.col("size"), F.lit(1)) / F.col("mean")))
+    ranked = ranked.join(scale, F.col("source").eqNullSafe(F.col("at")), "left").drop("at").withColumn("p", F.greatest(F.col("scale") * root(), F.lit(1e-12)))
+    # rank 0: certain; no rank: not in the sample
+    odds = F.when(F.col("size") > F.col("most"), 0.0).otherwise((F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+    ranked = ranked.withColumn("u", u).withColumn("r", F.when((F.col("size") > 0) & (F.col("rest") > 0), odds))
     ranked = ranked.withColumn("bin", F.floor(F.col("r") / (1 + F.col("r")) * F.col("bins")).cast("long")).withColumn("unit", F.col("size") * F.col("same"))
     ranked = checkpointed(ranked.select("doc_id", "h", "source", "size", "unit", "source_size", "target", "whole", "rest", "r", "bin"))
+    out = ranked.where("r is null").withColumn("sel", F.lit(0))
+    ranked = ranked.where("r is not null")
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = ranked.groupBy("source", "bin").agg(F.sum("unit").alias("words"), F.first("rest").alias("rest")).withColumn("upto", F.sum("words").over(upto))
     cuts = bins.where("upto > rest").groupBy("source").agg(F.min("bin").alias("cut"), F.min_by(F.col("upto") - F.col("words"), "bin").alias("before")).withColumnRenamed("source", "at")
@@ -136,7 +170,7 @@ def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
         fits = (F.col("sel") == 0) & (F.col("unit") <= F.col("left"))
         near = near.withColumn("sel", F.when(fits & (F.sum(F.when(fits, F.col("unit")).otherwise(0)).over(order) <= F.col("left")), 1).otherwise(F.col("sel")))
     cols = ["doc_id", "h", "source", "size", "source_size", "target", (F.col("whole") + F.col("sel")).alias("copies")]
-    return far.select(*cols).unionByName(near.select(*cols))
+    return far.select(*cols).unionByName(near.select(*cols)).unionByName(out.select(*cols))
 
 
 def chosen(rows: DataFrame, **options) -> DataFrame:

@@ -413,6 +413,23 @@ def test_mixing(spark, docs, empty):
     assert op9.mixed(docs).columns == docs.columns and op9.chosen(op9.sized(empty)).count() == 0
 
 
+def test_mixing_probabilities(spark):
+    r = random.Random(12)
+    sizes = [r.choice([1, 2, 5, 40, 900, 20_000]) for _ in range(500)]
+    rows = spark.createDataFrame([(k, f"h{k}", "s", n) for k, n in enumerate(sizes)] + [(900, "z", "s", 0)], "doc_id long, h string, source string, size long")
+    for share in (0.001, 0.3, 0.9, 0.999):
+        plan = spark.createDataFrame([("s", share * sum(sizes))], "source string, rest double")
+        (_, scale, most), *more = op9.scales(rows, plan).collect()
+        chance = [1.0 if n > most else scale * math.floor(16 * n**0.5) for n in sizes]
+        assert not more and max(chance) <= 1 and abs(sum(p * n for p, n in zip(chance, sizes)) - share * sum(sizes)) < 1e-6 * sum(sizes)
+
+
+def test_mixing_takes_no_empty_row_too_often(spark):
+    df = spark.createDataFrame([(1, "a b", "s"), (2, "", "s"), (3, None, "s"), (4, "x " * 90, "t"), (5, "y " * 90, "t")], "doc_id long, text string, source string")
+    assert max(x["copies"] for x in op9.copies(op9.sized(df), weights=(1000, 1)).collect()) <= 3
+    assert max(collections.Counter(x["doc_id"] for x in op9.mixed(df, weights=(1000, 1)).collect()).values()) <= 3
+
+
 def test_repair_round_trip():
     r = np.random.default_rng(11)
     for ids in (r.integers(0, 5, 4000), np.zeros(500, np.int64), np.array([1]), np.tile([7, 7, 7, 1], 200)):
@@ -481,5 +498,19 @@ def test_tokens(spark, docs, empty):
     assert op10.tokenized(empty).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op2_vafile", "op7_merkle", "op9_mixing"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from gleaner.llm import queries
+
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, sf).select(*want.columns)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want.fetchall())
+
+
 def test_digest_of_no_items():
     assert op1.items_digest([]) == hashlib.sha256(b"").hexdigest()
