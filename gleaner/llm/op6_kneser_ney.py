@@ -1,16 +1,19 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of character 5-grams.
-
-Symbols are code points (those over 4095 are folded to 12 bits), so that a 5-gram is a 60-bit number and all that backs
-it off are parts of that number. Trusted text: a logistic classifier on a few surface features, fitted on at most SAMPLE
-labelled rows, is applied to every document; the counts come from all documents it trusts and grow with the corpus.
-
-1. Count: a task counts the 5-grams of its trusted documents by blocks and sends each shard its keys and counts, packed;
-   shards merge them. Lower orders' continuation counts, discounts, and the probabilities with their back-off weights
-   follow order by order in joins on prefix and suffix (logarithms are kept in thousandths).
-2. Join: each block asks every shard of the model once for its distinct n-grams; a shard's model rows come first, then
-   the blocks' questions one by one, so that a task holds a shard and a question.
-3. Score: answers meet their block's text, which was sent once, compressed; each place gets its 5-gram's logarithm, and
-   sums by document give its perplexity. Blocks are cut alike in both scans; a checksum of the block's texts proves it.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of byte n-grams.
+
+Symbols are the bytes of a text's UTF-8, so that no character of any script is folded; an n-gram of ORDER bytes is one
+number and all that backs it off are parts of that number. Trusted text: a logistic classifier on a few surface features,
+fitted on at most SAMPLE labelled rows, is applied to every document; the counts come from all documents it trusts and
+grow with the corpus.
+
+1. Count: a task counts the n-grams of its trusted documents by blocks and sends each shard its keys and counts, packed;
+   shards merge them, pieces of like size first. Lower orders' continuation counts, discounts, and the probabilities with
+   their back-off weights follow order by order in joins on prefix and suffix (logarithms are kept in thousandths).
+2. Join: each block asks every shard of the model once for its distinct n-grams. Questions of a shard are dealt over as
+   many tasks as there are SALT_BYTES of text, each with a copy of the shard; the shard's model rows come first, then the
+   questions one by one, so that a task holds a shard and a question.
+3. Score: answers meet their block's text, which was sent once, compressed; each place gets its n-gram's logarithm, and
+   sums by document give its perplexity. Blocks are cut alike in both scans; a checksum of the block's n-grams, which goes
+   with questions and answers, proves it.
 4. A document is rejected if its perplexity is above QUANTILE of the trusted documents of its language (null is a language
    of its own; a language without trusted documents takes the quantile over all), times MARGIN.
 
@@ -32,37 +35,32 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, only, spread, table, trim
 
-ORDER = 5
-BITS = 12
+ORDER = 6
+BITS = 8
 SYMBOLS = 1 << BITS
-BLOCK = 4 << 20  # characters
+BLOCK = 4 << 20  # bytes of text
+SALT_BYTES = 128 << 20
 SAMPLE = 20_000
 TRUST = 0.8
 QUANTILE = 0.99  # with MARGIN: the largest difference of labelled good and bad documents kept, see the README
 MARGIN = 1.0
 SHARD_ROWS = 1 << 19  # n-grams of the model in a shard, on average
-START = 2  # the symbol before a text
+START = 0xFF  # the symbol before a text; no UTF-8 has it
 UNIFORM = -np.log(SYMBOLS)
 FEATURES = 6
 
 
-def symbols(text: str) -> np.ndarray:
-    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(a) and a.max() >= SYMBOLS:
-        a = np.where(a < SYMBOLS, a, SYMBOLS // 2 + a % (SYMBOLS // 2))
-    return a.astype(np.uint16)
-
-
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The 5-gram that ends at each character of the texts, one after the other, and the texts' lengths."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    a = symbols("".join(texts))
+    """The n-gram that ends at each byte of the texts, one after the other, and the texts' lengths in bytes."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+    a = np.frombuffer(b"".join(raw), np.uint8)
     starts = np.cumsum(lengths) - lengths
     key = a.astype(np.int64)
     for back in range(1, ORDER):
-        before = np.full(len(a), START, np.uint16)
+        before = np.full(len(a), START, np.uint8)
         before[back:] = a[: max(0, len(a) - back)]
-        for k in range(back):  # the first characters of each text have the start before them
+        for k in range(back):  # the first bytes of each text have the start before them
             before[starts[lengths > k] + k] = START
         wide = before.astype(np.int64)
         wide <<= BITS * back
@@ -106,7 +104,7 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def questions(key: np.ndarray) -> list[np.ndarray]:
-    """Distinct n-grams by order, from 5 down to the empty one, of sorted distinct 5-grams; their contexts are among them."""
+    """Distinct n-grams by order, from ORDER down to the empty one, of sorted distinct ones of ORDER; their contexts are among them."""
     out = [key]
     for order in range(ORDER - 1, -1, -1):
         out.append(distinct(np.concatenate([part(key, order), part(key >> BITS, order)]))[0])
@@ -146,23 +144,23 @@ def trust(docs: DataFrame, labels: DataFrame | None) -> np.ndarray | None:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"x": [features(t) for t in b["text"]], "y": b["quality"].astype(float)})
+            yield pd.DataFrame({"k": b["k"], "x": [features(t) for t in b["text"]], "y": b["quality"].astype(float)})
 
-    rows = chosen.mapInPandas(run, "x array<double>, y double").limit(4 * SAMPLE).toPandas()
+    # repeated doc_ids may make more rows of the sample's; again the first by hash, so that reruns agree
+    rows = chosen.withColumn("k", F.xxhash64("text")).mapInPandas(run, "k long, x array<double>, y double").orderBy("k", "y", "x").limit(SAMPLE).toPandas()
     if rows["y"].nunique() < 2:
         return None
     return fit_trust(np.array(rows["x"].tolist()), (rows["y"] > 0).to_numpy(float))
 
 
 def blocks(batches: Iterator[pd.DataFrame], cols: list[str]) -> Iterator[tuple[int, pd.DataFrame]]:
-    """Rows with text, by about BLOCK characters, numbered by partition and turn."""
-    from pyspark import TaskContext
-
-    number = TaskContext.get().partitionId() << 24
-    held, size = [], 0
+    """Rows with text, by about BLOCK bytes, numbered by partition and turn."""
+    held, size, number = [], 0, None
     for batch in batches:
+        if number is None and len(batch):
+            number = int(batch["place"].iloc[0]) << 24
         batch = batch[[isinstance(t, str) and len(t) > 0 for t in batch["text"]]]
-        upto = np.cumsum(batch["text"].str.len().to_numpy(np.int64)) if len(batch) else np.empty(0, np.int64)
+        upto = np.cumsum(batch["size"].to_numpy(np.int64)) if len(batch) else np.empty(0, np.int64)
         at = 0
         while at < len(batch):
             done = int(upto[at - 1]) if at else 0
@@ -181,8 +179,9 @@ def blocks(batches: Iterator[pd.DataFrame], cols: list[str]) -> Iterator[tuple[i
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """What both scans that cut blocks read: the same plan, so the same rows in each partition."""
-    return spread(only(docs, "doc_id", "lang", "text").withColumn("h", F.xxhash64("text")))
+    """What both scans that cut blocks read: the same plan, so the same rows in each partition; place is that partition's number,
+    whatever the plan joins it to."""
+    return spread(only(docs, "doc_id", "lang", "text")).withColumns({"h": F.xxhash64("text"), "size": F.octet_length("text"), "place": F.spark_partition_id()})
 
 
 def is_trusted(texts: list[str], weights: np.ndarray | None) -> np.ndarray:
@@ -193,7 +192,7 @@ def is_trusted(texts: list[str], weights: np.ndarray | None) -> np.ndarray:
 
 
 def counted(docs: DataFrame, weights: np.ndarray | None, shards: int) -> DataFrame:
-    """(key, c): every 5-gram of trusted text with its count."""
+    """(key, c): every n-gram of trusted text with its count."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, rows in blocks(batches, ["text"]):
@@ -203,24 +202,35 @@ def counted(docs: DataFrame, weights: np.ndarray | None, shards: int) -> DataFra
             home = shard_of(key, ORDER, shards)
             yield pd.DataFrame([{"shard": s, "data": pack(key[home == s], n[home == s].astype("<i4"))} for s in range(shards) if (home == s).any()], columns=["shard", "data"])
 
+    def both(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        key, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        return (key[edge], np.add.reduceat(n, edge)) if len(edge) else (key, n)
+
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, key, n = None, np.empty(0, np.int64), np.empty(0, np.int64)
+        at, pile = None, []
+
+        def close() -> pd.DataFrame:
+            while len(pile) > 1:
+                pile.append(both(pile.pop(), pile.pop()))
+            key, n = pile.pop()
+            return pd.DataFrame({"key": key, "c": n})
+
         for batch in batches:
             for shard, data in zip(batch["shard"].tolist(), batch["data"], strict=True):
-                if shard != at:
-                    if len(key):
-                        yield pd.DataFrame({"key": key, "c": n})
-                    at, key, n = shard, np.empty(0, np.int64), np.empty(0, np.int64)
+                if shard != at and pile:
+                    yield close()
+                at = shard
                 k, m = unpack(data, "<i4")
-                both, times = np.concatenate([key, k]), np.concatenate([n, m.astype(np.int64)])
-                order = np.argsort(both)
-                both, times = both[order], times[order]
-                edge = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
-                key, n = both[edge], np.add.reduceat(times, edge) if len(edge) else times
-        if len(key):
-            yield pd.DataFrame({"key": key, "c": n})
-
-    sent = spread(only(docs, "text")).mapInPandas(send, "shard int, data binary")
+                pile.append((k, m.astype(np.int64)))
+                while len(pile) > 1 and len(pile[-2][0]) < 2 * len(pile[-1][0]):  # each key is merged a logarithm of times
+                    pile.append(both(pile.pop(), pile.pop()))
+        if pile:
+            yield close()
+
+    sent = spread(only(docs, "text")).withColumns({"size": F.octet_length("text"), "place": F.spark_partition_id()}).mapInPandas(send, "shard int, data binary")
     return sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInPandas(merge, "key long, c long")
 
 
@@ -300,31 +310,32 @@ def shards_of(key: np.ndarray, order: np.ndarray, shards: int) -> np.ndarray:
 
 
 def short(x: pd.Series) -> np.ndarray:
-    return x.fillna(ABSENT).clip(ABSENT, 0).to_numpy().astype("<i2")
+    return x.clip(ABSENT + 1, 0).fillna(ABSENT).to_numpy().astype("<i2")
 
 
-def answers(docs: DataFrame, packed: DataFrame, shards: int) -> DataFrame:
+def answers(docs: DataFrame, packed: DataFrame, shards: int, salts: int) -> DataFrame:
     """(block, kind 0, shard, data): for each question its n-grams' logarithms, in the question's order."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, rows in blocks(batches, ["text"]):
             asked = questions(distinct(grams(rows["text"].tolist())[0])[0])
             homes = [shard_of(key, ORDER - k, shards) for k, key in enumerate(asked)]
+            proof = checksum(asked[0])
             for s in range(shards):
                 # one array: orders one after the other, told apart by their counts
                 parts = [key[h == s] for key, h in zip(asked, homes, strict=True)]
-                yield pd.DataFrame([{"shard": s, "kind": 1, "block": number, "data": b"".join(len(d := pack(p)).to_bytes(4, "little") + d for p in parts)}])
+                yield pd.DataFrame([{"shard": s, "kind": 1, "block": number, "data": proof + b"".join(len(d := pack(p)).to_bytes(4, "little") + d for p in parts)}])
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, known = None, {}
         for batch in batches:
-            for shard, kind, block, data in zip(batch["shard"].tolist(), batch["kind"].tolist(), batch["block"].tolist(), batch["data"], strict=True):
-                if shard != at:
-                    at, known = shard, {}
+            for shard, salt, kind, block, data in zip(batch["shard"].tolist(), batch["salt"].tolist(), batch["kind"].tolist(), batch["block"].tolist(), batch["data"], strict=True):
+                if (shard, salt) != at:
+                    at, known = (shard, salt), {}
                 if kind == 0:
                     known[block] = unpack(data, "<i2", "<i2")
                     continue
-                out, place = [], 0
+                out, place = [], 4
                 for order in range(ORDER, -1, -1):
                     size = int.from_bytes(data[place : place + 4], "little")
                     (key,) = unpack(data[place + 4 : place + 4 + size])
@@ -336,33 +347,38 @@ def answers(docs: DataFrame, packed: DataFrame, shards: int) -> DataFrame:
                         hit = have[i] == key
                         p[hit], g[hit] = hp[i[hit]], hg[i[hit]]
                     out += [p.tobytes(), g.tobytes()]
-                yield pd.DataFrame([{"block": block, "kind": 0, "shard": shard, "data": zstandard.compress(b"".join(out), 3)}])
+                yield pd.DataFrame([{"block": block, "kind": 0, "shard": shard, "data": data[:4] + zstandard.compress(b"".join(out), 3)}])
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    asked = cut(docs).mapInPandas(ask, "shard int, kind int, block long, data binary").withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+    both = packed.withColumn("salt", every).unionByName(asked).repartitionById(shards * salts, F.col("shard") * salts + F.col("salt"))
+    return both.sortWithinPartitions("shard", "salt", "kind", "block").mapInPandas(look, "block long, kind int, shard int, data binary")
 
-    asked = cut(docs).mapInPandas(ask, "shard int, kind int, block long, data binary")
-    both = packed.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "block")
-    return both.mapInPandas(look, "block long, kind int, shard int, data binary")
+
+def checksum(key: np.ndarray) -> bytes:
+    return zlib.crc32(key.astype("<i8").tobytes()).to_bytes(4, "little")
 
 
 def logarithms(asked: list[np.ndarray], p: list[np.ndarray], g: list[np.ndarray]) -> np.ndarray:
-    """Log probability of each distinct 5-gram: the longest known n-gram's, plus the weights of the contexts backed off from."""
-    five = asked[0]
-    total = np.zeros(len(five))
-    left = np.ones(len(five), bool)
+    """Log probability of each distinct n-gram: the longest known n-gram's, plus the weights of the contexts backed off from."""
+    whole = asked[0]
+    total = np.zeros(len(whole))
+    left = np.ones(len(whole), bool)
     for order in range(ORDER, 0, -1):
         k = ORDER - order
-        i = np.searchsorted(asked[k], part(five, order))
+        i = np.searchsorted(asked[k], part(whole, order))
         own = p[k][i]
         hit = left & (own != ABSENT)
         total[hit] += own[hit] / 1000
         left &= ~hit
-        weight = g[k + 1][np.searchsorted(asked[k + 1], part(five >> BITS, order - 1))]
+        weight = g[k + 1][np.searchsorted(asked[k + 1], part(whole >> BITS, order - 1))]
         total += np.where(left & (weight != ABSENT), weight / 1000, 0)
     total[left] += UNIFORM
     return total
 
 
 def scored(docs: DataFrame, found: DataFrame, weights: np.ndarray | None, shards: int, partitions: int) -> DataFrame:
-    """doc_id, lang, h (hash of the text), n (characters), trusted, logp."""
+    """doc_id, lang, h (hash of the text), n (bytes), trusted, logp."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, rows in blocks(batches, ["doc_id", "lang", "h", "text"]):
@@ -387,17 +403,18 @@ def scored(docs: DataFrame, found: DataFrame, weights: np.ndarray | None, shards
                 edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(key)])
                 asked = questions(ordered[edge])
                 p, g = [np.full(len(a), ABSENT, np.int16) for a in asked], [np.full(len(a), ABSENT, np.int16) for a in asked]
-                homes = [shard_of(a, ORDER - k, shards) for k, a in enumerate(asked)]
+                homes, proof = [shard_of(a, ORDER - k, shards) for k, a in enumerate(asked)], checksum(asked[0])
                 for s in range(shards):
-                    raw, at = zstandard.decompress(replies.pop(s)), 0
+                    reply = replies.pop(s)
+                    if reply[:4] != proof:
+                        raise ValueError("a block was cut otherwise when it was asked about; make the input's order fixed (a written table) and run again")
+                    raw, at = zstandard.decompress(reply[4:]), 0
                     for k, h in enumerate(homes):
                         own = h == s
                         n = int(own.sum())
                         p[k][own] = np.frombuffer(raw, np.int16, n, at)
                         g[k][own] = np.frombuffer(raw, np.int16, n, at + 2 * n)
                         at += 4 * n
-                    if at != len(raw):
-                        raise ValueError("a block was cut otherwise when it was asked about; make the input's order fixed (a written table) and run again")
                 value = np.empty(len(key))
                 value[order] = np.repeat(logarithms(asked, p, g), np.diff(np.append(edge, len(key))))
                 sums = np.add.reduceat(value, np.cumsum(lengths) - lengths)
@@ -413,11 +430,12 @@ def scored(docs: DataFrame, found: DataFrame, weights: np.ndarray | None, shards
 def perplexities(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """scored() of all documents with text, in the shared folder."""
     spark = docs.sparkSession
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    size = only(docs, "text").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-size // SALT_BYTES))
     weights = trust(docs, labels)
     rows = checkpointed(model(counted(docs, weights, partitions)))
-    shards = max(4, -(-rows.count() // SHARD_ROWS))
-    return checkpointed(scored(docs, answers(docs, packed_model(rows, shards), shards), weights, shards, partitions))
+    shards, salts = max(4, -(-rows.count() // SHARD_ROWS)), max(1, -(-size // SALT_BYTES))
+    return checkpointed(scored(docs, answers(docs, packed_model(rows, shards), shards, salts), weights, shards, partitions))
 
 
 def judged(scores: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:

@@ -239,10 +239,10 @@ def test_reliabilities_tell_good_labelers():
 
 def brute_ppl(trusted, texts):
     """Interpolated modified Kneser-Ney from dictionaries."""
-    N, start = op6.ORDER, [op6.START] * 4
+    N, start = op6.ORDER, [op6.START] * (op6.ORDER - 1)
     top = collections.Counter()
     for t in trusted:
-        s = start + op6.symbols(t).tolist()
+        s = start + list(t.encode())
         top.update(tuple(s[k : k + N]) for k in range(len(s) - N + 1))
     levels = {N: top}
     for n in range(N - 1, 0, -1):
@@ -266,17 +266,22 @@ def brute_ppl(trusted, texts):
 
     out = []
     for t in texts:
-        s = start + op6.symbols(t).tolist()
-        out.append(math.exp(-sum(math.log(p(tuple(s[k : k + N]))) for k in range(len(t))) / len(t)))
+        s = start + list(t.encode())
+        out.append(math.exp(-sum(math.log(p(tuple(s[k : k + N]))) for k in range(len(t.encode()))) / len(t.encode())))
     return out
 
 
 def test_kneser_ney(spark, docs, empty, monkeypatch):
-    monkeypatch.setattr(op6, "BLOCK", 900)
+    monkeypatch.setattr(op6, "SALT_BYTES", 20_000)  # several tasks a shard
     rows = [r for r in corpus() if r[1]]
-    got = op6.judged(op6.perplexities(docs, None)).collect()
+    got = op6.judged(op6.perplexities(docs, None), quantile=0.6).collect()
+    for lang in {r[2] for r in rows}:  # the bound of a language: the value of that rank among its texts
+        own = sorted(x["ppl"] for x in got if x["lang"] == lang)
+        bound = own[math.ceil(0.6 * len(own)) - 1]
+        assert {x["threshold"] for x in got if x["lang"] == lang} == {bound}
+        assert all(x["keep"] == (x["ppl"] <= bound) for x in got if x["lang"] == lang)
     want = brute_ppl([r[1] for r in rows], [r[1] for r in rows])
-    assert sorted(r["n"] for r in got) == sorted(len(r[1]) for r in rows)
+    assert sorted(r["n"] for r in got) == sorted(len(r[1].encode()) for r in rows)
     for a, b in zip(sorted(r["ppl"] for r in got), sorted(want), strict=True):
         assert abs(math.log(a / b)) < 0.002
     assert op6.perplexities(empty, None).count() == 0
