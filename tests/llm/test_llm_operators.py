@@ -183,6 +183,23 @@ def test_bands_reach_recall():
     assert 1 - (1 - 0.8**r) ** b >= 0.995
 
 
+def test_jaccard_recall_near_the_threshold(spark):
+    r = random.Random(21)
+    rows = []
+    for k in range(150):  # a text and one with a few words replaced, all similarities from 0.75 to 0.9
+        w = [f"{k}x{r.randint(0, 10**6)}" for _ in range(400)]
+        other = list(w)
+        for p in r.sample(range(0, 400, 6), r.randint(4, 13)):
+            other[p] = "edit"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    got = {x["doc_id"]: x["n_links"] for x in op4.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    edge = [k for k, j in enumerate(alike) if 0.8 <= j < 0.85]
+    assert len(edge) > 25 and sum(got[2 * k] == 1 for k in edge) >= 0.95 * len(edge)
+    assert not any(got[2 * k] for k, j in enumerate(alike) if j < 0.8)
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)]
@@ -225,6 +242,25 @@ def test_pii(spark, docs, empty):
     assert op5.detect(docs).count() == len(corpus()) and op5.detect(empty).count() == 0
 
 
+def test_added_spans_find_secrets(spark):
+    r = random.Random(6)
+    token = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rows, want = [], set()
+    for k in range(300):
+        text = prose(k, 30) + " "
+        if k % 3 == 0:
+            secret = token(40 if k else 5000)  # one far longer than the others
+            start = len(text) + len('token = "')
+            want.add((k, start, start + len(secret)))
+            text += f'token = "{secret}". '
+        elif k % 3 == 1:
+            text += f"see section-{k}-of-the-manual or page/{k}/of/the/book. "
+        rows.append((k, text + prose(k + 1, 10)))
+    got = op5.detect(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.explode("spans").alias("s")).where("s.kind = 4").select("doc_id", "s.start", "s.stop").collect()
+    got = set(map(tuple, got))
+    assert len(got & want) >= 0.98 * len(want) and len(got & want) >= 0.98 * len(got) and any(b - a == 5000 for _, a, b in got)
+
+
 def test_reliabilities_tell_good_labelers():
     r = random.Random(6)
     counts = collections.Counter()
@@ -344,6 +380,61 @@ def test_language(spark, empty):
     assert untaught["lang_pred"] == "und"
 
 
+def brute_languages(rows, out):
+    """Word-first back-off from dictionaries: (lang_pred, score) of each row (doc_id, text, lang)."""
+    found = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    word, gram = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+
+    def grams(w, n):
+        marked = "\x02" + w + "\x03"
+        return [g for k in range(len(marked) - n + 1) if (g := marked[k : k + n]) not in ("\x02", "\x03")]
+
+    for d, t, lang in rows:
+        if t is not None and lang is not None and not out(d):
+            word[lang].update(found(t))
+    for lang, seen in word.items():
+        for w, n in seen.items():
+            for k in range(1, op8.GRAMS + 1):
+                for g in grams(w, k):
+                    gram[lang][g] += n
+    langs = sorted({lang for d, t, lang in rows if t is not None and lang is not None and not out(d)})
+    lift = lambda n: math.log((n + op8.ALPHA) / op8.ALPHA)
+    floor = lambda c, k: math.log(op8.ALPHA / (sum(c[k].values()) + op8.ALPHA * max(1, len({x for y in c.values() for x in y}))))
+
+    def value(w):
+        if any(w in word[k] for k in langs):
+            return [floor(word, k) + lift(word[k][w]) for k in langs]
+        for n in range(op8.GRAMS, 0, -1):
+            seen = [g for g in grams(w, n) if any(g in gram[k] for k in langs)]
+            if seen:
+                return [floor(gram, k) + sum(lift(gram[k][g]) for g in seen) / len(seen) for k in langs]
+        return [0.0] * len(langs)
+
+    for _, t, _ in rows:
+        if not any(c.isalpha() for w in found(t) for c in w) or not langs:
+            yield "und", 0.0
+            continue
+        total = [sum(x) for x in zip(*map(value, found(t)), strict=True)]
+        best = max(range(len(langs)), key=lambda k: (total[k], -k))
+        yield langs[best], 1 / sum(math.exp(x - total[best]) for x in total)
+
+
+def test_language_against_brute_force(spark):
+    r = random.Random(31)
+    rows = []
+    for k in range(260):
+        lang = f"l{r.randint(0, 19):02d}"  # twenty languages, which share some words and letters
+        parts = [f"{lang[1:].translate(str.maketrans('0123456789', 'abcdefghij'))}{x}" for x in "uvw"] + ["the", "qu", "or"]
+        rows.append((k, " ".join("".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(r.randint(1, 12))), lang if k % 11 else None))
+    rows += [(700, "ÉÀ ßx " * 4000 + "Zz", "l03"), (701, "12 34 !", "l04"), (702, None, "l05"), (703, "", None), (None, "the qu or", "l01"), rows[7], rows[7], (704, "xyzxyz ☃ é", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"row": F.lit(1), "word": F.lit("clash"), "values": F.lit(2)}).repartition(3)
+    out = lambda d: zlib.crc32(str("" if d is None else d).encode()) % 4 == 2
+    want = collections.Counter((d, out(d), lang, round(score, 3)) for (d, *_), (lang, score) in zip(rows, brute_languages(rows, out), strict=True))
+    for values in (60, op8.HEAD):  # most words in the join, and all in the broadcast
+        got = collections.Counter((x["doc_id"], x["held_out"], x["lang_pred"], round(x["score"], 3)) for x in op8.identify(df, values=values).collect())
+        assert got == want
+
+
 def test_language_tells_unseen_words_apart(spark):
     """Scores by dictionaries: of 100,000 n-grams and more, a tenth would share a slot of 2**20."""
     r = random.Random(19)
