@@ -238,12 +238,9 @@ class Encoder:
 
 def plain(texts: pa.Array) -> pa.Array:
     """Texts with spaces for line ends and ASCII letters lowered, but for texts in which a special token may stand."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if pc.any(pc.match_substring(texts, "<|")).as_py():
-        low = pa.array([t if "<|" in t else t.encode().lower().decode() for t in texts.to_pylist()], pa.large_string())
-    else:
-        low = pc.ascii_lower(texts)
-    return pc.replace_substring(low, "\n", " ")
+    # not by ascii_lower of the array: on a slice it gives other bytes
+    low = lambda t: t if "<|" in t else t.lower() if t.isascii() else t.encode().lower().decode()
+    return pa.array([low(t).replace("\n", " ") if t else "" for t in texts.to_pylist()], pa.large_string())
 
 
 def encoded(docs: DataFrame, path: str, by_piece: bool = True, shard_bytes: int = SHARD_BYTES, partitions: int | None = None) -> DataFrame:
