@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, only, spread, table, trim
 
-ORDER = 6
+ORDER = 5
 BITS = 8
 SYMBOLS = 1 << BITS
 BLOCK = 4 << 20  # bytes of text
@@ -299,7 +299,7 @@ def packed_model(rows: DataFrame, shards: int) -> DataFrame:
             yield close()
 
     dealt = rows.mapInPandas(deal, "shard int, order int, key long, p int, g int")
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "order", "key").mapInPandas(gather, "shard int, kind int, block long, data binary")
+    return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order", "key").mapInPandas(gather, "shard int, kind int, block long, data binary")
 
 
 def shards_of(key: np.ndarray, order: np.ndarray, shards: int) -> np.ndarray:
