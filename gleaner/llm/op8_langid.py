@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, only, spread, table
+from .common import only, spread, table, written
 
 GRAMS = 5
 HEAD = 1 << 20  # values (words times languages) of the broadcast
@@ -59,6 +59,11 @@ def gram_keys(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[inside].view(np.int64), word[: len(h)][inside]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a compressed table in the shared folder; checkpoints aren't compressed."""
+    return written(df, "langid")
+
+
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
 
@@ -150,32 +155,32 @@ def train(docs: DataFrame) -> Model:
     if len(names) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     languages = sorted(names)
-    counts = checkpointed(counted(docs, {name: k for k, name in enumerate(languages)}))
+    counts = stored(counted(docs, {name: k for k, name in enumerate(languages)}))
     known = counts.where("lang >= 0")
     word_floor, word_lift = floors_and_lifts(known, "word", len(languages))
-    grams = checkpointed(grams_of(known))
+    grams = stored(grams_of(known))
     gram_floor, gram_lift = floors_and_lifts(grams, "gram", len(languages))
     own = word_lift.groupBy("word").agg(F.collect_list(F.struct("lang", "lift")).alias("values")).select("word", F.lit(WORD).alias("kind"), "values")
     # an unseen word's n-grams; language -1 has the number of those seen
     unseen = counts.where("lang < 0").join(known.select("word").distinct(), "word", "left_anti")
-    per_gram = checkpointed(gram_lift.groupBy("gram").agg(F.collect_list(F.struct("lang", "lift")).alias("lifts")))
+    per_gram = stored(gram_lift.groupBy("gram").agg(F.collect_list(F.struct("lang", "lift")).alias("lifts")))
     one = F.array(F.struct(F.lit(-1).alias("lang"), F.lit(1).cast("long").alias("lift")))
     seen = F.filter("all", lambda v: v["lang"] < 0)[0]["lift"]
     mean = F.transform(F.filter("all", lambda v: v["lang"] >= 0), lambda v: F.struct(v["lang"].alias("lang"), F.round(v["lift"] / seen).cast("long").alias("lift")))
-    left, backed = checkpointed(unseen.select("word")), []
+    left, backed = stored(unseen.select("word")), []
     for n in range(GRAMS, 0, -1):  # only words without known n-grams ask for shorter ones
         met = asked(left, n).join(per_gram, "gram").select("word", F.explode(F.concat("lifts", one)).alias("v"))
         sums = met.groupBy("word", "v.lang").agg(F.sum("v.lift").alias("lift"))
-        got = checkpointed(sums.groupBy("word").agg(F.collect_list(F.struct("lang", "lift")).alias("all")).select("word", F.lit(GRAM).alias("kind"), mean.alias("values")))
+        got = stored(sums.groupBy("word").agg(F.collect_list(F.struct("lang", "lift")).alias("all")).select("word", F.lit(GRAM).alias("kind"), mean.alias("values")))
         backed.append(got)
-        left = checkpointed(left.join(got.select("word"), "word", "left_anti"))
+        left = stored(left.join(got.select("word"), "word", "left_anti"))
         if left.isEmpty():
             break
     for got in backed:
         own = own.unionByName(got)
     total = counts.groupBy("word").agg(F.sum("n").alias("total"))
     every = total.join(own, "word", "left")
-    words = checkpointed(every.select("word", "total", F.coalesce("kind", F.lit(NONE)).alias("kind"), F.col("values.lang").alias("langs"), F.col("values.lift").alias("lifts")))
+    words = stored(every.select("word", "total", F.coalesce("kind", F.lit(NONE)).alias("kind"), F.col("values.lang").alias("langs"), F.col("values.lift").alias("lifts")))
     return Model(languages, np.stack([np.zeros(len(languages)), word_floor, gram_floor]), words)
 
 
@@ -249,7 +254,7 @@ def predict(docs: DataFrame, model: Model, *keep: str, values: int = HEAD) -> Da
                 names = [languages[k] if ok else "und" for k, ok in zip(best.tolist(), named.tolist(), strict=True)]
             yield b[list(keep)].assign(lang_pred=names, score=sure)
 
-    first = checkpointed(spread_docs.mapInPandas(start, f"{kept}, row long, lettered boolean, sums array<double>, tail array<string>"))
+    first = stored(spread_docs.mapInPandas(start, f"{kept}, row long, lettered boolean, sums array<double>, tail array<string>"))
     # a word's values under its languages, and its kind as a language below 0
     named = F.transform(F.coalesce(F.arrays_zip("langs", "lifts"), F.array()), lambda v: F.struct(v["langs"].alias("lang"), v["lifts"].alias("n")))
     values_of = model.words.select("word", F.concat(named, F.array(F.struct((-1 - F.col("kind")).alias("lang"), F.lit(1).cast("long").alias("n")))).alias("v"))
