@@ -86,3 +86,33 @@ def discount_fits(price: Column, original: Column, percent: Column, tolerance: f
 def formatted(value: Column, code: Column, european: bool = False) -> Column:
     plain = F.format_number(value, 2)
     return F.concat_ws(" ", F.translate(plain, ",.", ".,") if european else plain, code)
+
+
+def bare_number(text: Column) -> Column:
+    """The digits, points and signs of a text as a number, commas dropped; null where that is no number."""
+    return F.replace(F.regexp_replace(text, r"[^0-9.,\-]", ""), F.lit(","), F.lit("")).try_cast("decimal(38,10)")
+
+
+def lenient_number(text: Column) -> Column:
+    """A number without its sign: the later of comma and point is the decimal sign, and a comma alone always is."""
+
+    def of(bare: Column) -> Column:
+        last = lambda sign: F.length(bare) - F.instr(F.reverse(bare), sign)
+        both = bare.contains(",") & bare.contains(".")
+        plain = F.replace(bare, F.lit(","), F.lit(""))
+        european = F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        return F.when(both, F.when(last(",") > last("."), european).otherwise(plain)).otherwise(F.replace(bare, F.lit(","), F.lit("."))).try_cast("double")
+
+    return F.when(text != "", bound(F.regexp_replace(text, r"[^0-9.,]", ""), of))
+
+
+def of_record(fields: dict[str, Column], texts: list[Column]) -> Column:
+    """Distinct prices of a record, by value and currency: positive ones of its fields, then those its texts hold."""
+    direct = [F.when(p["value"] > 0, F.struct(p["value"].cast("double").alias("value"), p["currency"].alias("currency"))) for p in map(normalized, fields.values())]
+    found = [F.transform(all_prices(t), lambda x: F.struct(x["value"].cast("double").alias("value"), x["currency"].alias("currency"))) for t in texts]
+    return F.array_distinct(F.filter(F.concat(F.array_compact(F.array(*direct)), *found), lambda p: p["value"] > 0))
+
+
+def greatest_price(found: Column) -> Column:
+    """The price of the greatest value among those of of_record()."""
+    return F.array_max(found)

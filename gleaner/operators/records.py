@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import quality
+from ..functions import quality, urls
 from ..functions.text import is_blank
 from .ordering import upto
 
@@ -17,6 +17,60 @@ def validated(df: DataFrame, errors: dict[str, Column], warnings: dict[str, Colu
     return out.withColumns({"valid": F.size("errors") == 0, "score": quality.validity(F.size("errors"), F.size("warnings"))})
 
 
+#: Fields that a type must have; those of contents, addresses, e-mail, prices and dates; lengths of a content.
+REQUIRED = {"product": ("name", "price", "currency"), "article": ("title", "content"), "review": ("rating", "content"), "listing": ("title", "price")}
+CONTENTS, PRICES = ("content", "description", "body"), ("price", "original_price", "sale_price", "discount_pct")
+ADDRESSES, EMAILS = ("source_url", "url", "link", "image", "thumbnail", "author_url"), ("email", "author_email", "contact_email")
+DATES = ("scraped_at", "published_at", "updated_at", "posted_at", "release_date")
+SHORT, LONG, HIGH, OLD = 10, 1_000_000, 1_000_000, 2000
+
+
+def typed_rules(fields: dict[str, Column], kind: str, now: Column) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Errors and warnings (name: condition) for validated(), of a record of a type (product, article, review, listing or
+    generic) whose fields are given by name: numbers for prices, ratings, counts and places, timestamps for dates."""
+    errors: dict[str, Column] = {}
+    warnings: dict[str, Column] = {}
+    has = lambda *names: all(n in fields for n in names)
+    said = lambda n: F.coalesce(fields[n] != "", F.lit(False))
+    for n in REQUIRED.get(kind, ()):
+        errors[f"{n} missing"] = is_blank(fields[n]) | (fields[n].cast("string").try_cast("double") == 0).eqNullSafe(True) if has(n) else F.lit(True)
+    for n in filter(has, CONTENTS):
+        warnings[f"{n} short"] = said(n) & (F.length(fields[n]) < SHORT)
+        warnings[f"{n} long"] = F.length(fields[n]) > LONG
+    for names, valid in ((ADDRESSES, urls.valid_url), (EMAILS, urls.valid_email)):
+        for n in filter(has, names):
+            errors[f"{n} format"] = said(n) & ~valid(fields[n])
+    for n in filter(has, PRICES):
+        errors[f"{n} negative"] = fields[n] < 0
+        warnings[f"{n} high"] = fields[n] > HIGH
+    for n in filter(has, DATES):
+        errors[f"{n} in the future"] = fields[n] > now
+        warnings[f"{n} old"] = F.year(fields[n]) < OLD
+    if has("published_at", "updated_at"):
+        errors["updated_at before published_at"] = fields["updated_at"] < fields["published_at"]
+    if kind == "product" and has("price", "original_price", "discount_pct"):
+        price, before, stated = fields["price"], fields["original_price"], fields["discount_pct"]
+        warnings["discount_pct mismatch"] = (price != 0) & (before > price) & (stated != 0) & (F.abs(stated - (before - price) / F.nullif(before, F.lit(0)) * 100) > 1)
+    if kind in ("product", "listing") and has("price"):
+        errors["price not positive"] = fields["price"] < 0
+    if kind == "product" and has("rating"):
+        errors["rating range"] = ~fields["rating"].between(0, 5)
+    if kind == "product" and has("images"):
+        errors["images format"] = F.exists(fields["images"], lambda u: (u != "") & ~urls.valid_url(u))
+    if kind == "article" and has("word_count"):
+        warnings["word_count low"] = (fields["word_count"] != 0) & (fields["word_count"] < 50)
+    if kind == "article" and has("reading_time_min"):
+        warnings["reading_time_min short"] = (fields["reading_time_min"] != 0) & (fields["reading_time_min"] < 1)
+    if kind == "review" and has("rating"):
+        errors["rating range"] = (fields["rating"] < 0) | (fields["rating"] > fields.get("max_rating", F.lit(5)))
+    if kind == "review" and has("helpful_votes", "total_votes"):
+        errors["votes"] = fields["helpful_votes"] > fields["total_votes"]
+    for n, most in (("latitude", 90), ("longitude", 180)):
+        if kind == "listing" and has(n):
+            errors[f"{n} range"] = ~fields[n].between(-most, most)
+    return errors, warnings
+
+
 def missing(df: DataFrame, *fields: str) -> DataFrame:
     """Fields that some row lacks: one aggregate over all, then a row a field."""
     row = df.agg(*[F.coalesce(F.bool_or(is_blank(F.col(f))), F.lit(False)).alias(f) for f in fields])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extra, more, relational, scalars, streams
+from . import extra, more, relational, scalars, scoring, streams
 
-MODULES = (scalars, relational, streams, more, extra)
+MODULES = (scalars, relational, streams, more, extra, scoring)
 
 
 def queries() -> dict:

@@ -167,13 +167,19 @@ def record_validate(spark, d):
 
 @query("""
 SELECT p_partkey, round(0.25 * least(1.0, 0.3 * (CAST(p_name <> '' AS INT) + CAST(p_retailprice > 0 AS INT) + 1) / 3.0 + 0.2 * least(1.0, (CAST(p_brand <> '' AS INT) + CAST(p_type <> '' AS INT) + CAST(p_size > 0 AS INT)) / 13.0 * 1.5) + 0.2 * CASE WHEN length(p_name) >= 500 THEN 1.0 WHEN length(p_name) >= 200 THEN 0.7 WHEN length(p_name) >= 100 THEN 0.4 WHEN length(p_name) >= 50 THEN 0.2 ELSE 0.1 END + 0.15 * 0.1 + 0.15 * 0.25)
- + 0.25 * ((CASE WHEN p_retailprice >= 0 AND p_retailprice < 1000000 THEN 1.0 ELSE 0.0 END) * 0.25 + 0.5 * 0.25 + 0.5 * 0.25 + 1.0 * 0.25) + 0.2 * 0.85 + 0.15 * 0.38 + 0.15 * 0.3, 6) AS score FROM part
+ + 0.25 * ((CASE WHEN p_retailprice >= 0 AND p_retailprice < 1000000 THEN 1.0 ELSE 0.0 END) * 0.25 + 0.5 * 0.25 + 0.5 * 0.25 + 1.0 * 0.25)
+ + 0.2 * (0.5 * 0.8 + 0.5 * (1 - CASE WHEN contains(lower(p_name), lower(p_brand)) THEN 0.0 ELSE 0.5 END / (2.0 + CAST(p_retailprice <> 0 AS INT)) * 0.3)) + 0.15 * (0.6 * 0.3 + 0.4 * 0.5)
+ + 0.15 * (0.4 * least(1.0, CAST(p_size > 0 AS INT) / 5.0 * 1.5) + 0.3 * 0.1 + 0.3 * CASE WHEN p_size > 0 THEN 1.0 ELSE 0.3 END), 6) AS score FROM part
 """)
 def record_quality(spark, d):
     c, no = F.col, F.lit(False)
     full = quality.completeness([c("p_name") != "", c("p_retailprice") > 0, F.lit(True)], [c("p_brand") != "", c("p_type") != "", c("p_size") > 0, *[no] * 10], c("p_name"), F.lit(0), [F.lit(True), no, no, no])
     right = quality.accuracy([(F.lit(True), c("p_retailprice").between(0, 999_999.999))], [], [], [(F.lit(True), F.lit(True))])
-    return table(spark, d, "part").select("p_partkey", F.round(quality.overall(completeness=full, accuracy=right, consistency=F.lit(0.85), freshness=F.lit(0.38), richness=F.lit(0.3)), 6).alias("score"))
+    never, none = F.lit(None).cast("timestamp"), F.lit(None).cast("double")  # the table has no dates, former prices or ratings
+    alike = quality.consistency(c("p_retailprice"), none, none, none, none, never, never, c("p_brand"), c("p_name"), F.lit("USD"))
+    fresh = quality.freshness(F.current_timestamp(), never, never)
+    rich = quality.richness([no, c("p_size") > 0, no, no, no], F.lit(0), F.lit(0), [c("p_size") > 0])
+    return table(spark, d, "part").select("p_partkey", F.round(quality.overall(completeness=full, accuracy=right, consistency=alike, freshness=fresh, richness=rich), 6).alias("score"))
 
 
 @query("""

@@ -31,11 +31,11 @@ def rows(*values: str) -> str:
 
 
 @query("""
-SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean,
-       len(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS n_tokens,
-       md5(list_aggregate(list_transform(range(1, greatest(len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) - 1, 2)),
-           lambda i: array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[i:i+2], ' ')), 'string_agg', '|')) AS shingles
-FROM documents WHERE text IS NOT NULL
+WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, clean, string_split(clean, ' ') AS w FROM c)
+SELECT doc_id, clean, len(list_filter(w, lambda x: x <> '')) AS n_tokens,
+       md5(CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
+           ELSE array_to_string(list_transform(list_zip(w[1:len(w) - 2], w[2:len(w) - 1], w[3:len(w)]), lambda t: t[1] || ' ' || t[2] || ' ' || t[3]), '|') END) AS shingles
+FROM w
 """)
 def text_clean_tokens(spark, d):
     t = table(spark, d, "documents").where("text is not null")
