@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -62,15 +63,18 @@ def simhash_counts(docs: DataFrame, id_: str, c: str) -> DataFrame:
     return docs.select(id_, c).mapInPandas(run, f"{id_} long, bits string")
 
 
-def hamming_pairs(signs: DataFrame, id_: str, most: int = 3, bands: int = 4) -> DataFrame:
-    """Pairs within a Hamming distance: of `bands` > `most` pieces of the bits, one must be equal. Equal bit strings are one
-    class first, so that copies make no pairs among themselves (left and right are their least ids)."""
-    width = 64 // bands
-    classes = signs.groupBy("bits").agg(F.min(id_).alias("id"))
-    cut = classes.select("id", "bits", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.substring("bits", 1 + k * width, width).alias("piece")) for k in range(bands)])).alias("p")).select("id", "bits", "p.band", "p.piece")
-    other = cut.select(F.col("id").alias("right"), F.col("bits").alias("b2"), "band", "piece")
-    far = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0), lambda a, k: a + (F.substr("bits", k, F.lit(1)) != F.substr("b2", k, F.lit(1))).cast("int"))
-    return cut.join(other, ["band", "piece"]).where(F.col("id") < F.col("right")).select(F.col("id").alias("left"), "right", far.alias("distance")).where(F.col("distance") <= most).distinct()
+def hamming_pairs(signs: DataFrame, id_: str, most: int = 3, pieces: int = 6) -> DataFrame:
+    """Pairs within a Hamming distance. The 64 bits are cut into `pieces`; `most` bits can spoil as many pieces at most, so a
+    pair has all others in common and meets under that choice of pieces, which is about 32 bits long at 6 pieces. Equal bit
+    strings are one class first, so that copies make no pairs among themselves (left and right are their least ids)."""
+    edges = [round(64 * k / pieces) for k in range(pieces + 1)]
+    classes = signs.groupBy("bits").agg(F.min(id_).alias("id")).select("id", *[F.conv(F.substring("bits", k, 32), 2, 10).cast("long").alias(n) for k, n in ((1, "high"), (33, "low"))], "bits")
+    chosen = list(combinations(range(pieces), pieces - most))
+    keys = F.array(*[F.concat(F.lit(f"{n}:"), *[F.substring("bits", edges[k] + 1, edges[k + 1] - edges[k]) for k in c]) for n, c in enumerate(chosen)])
+    cut = classes.select("id", "high", "low", F.explode(keys).alias("key"))
+    other = cut.select(F.col("id").alias("right"), F.col("high").alias("high2"), F.col("low").alias("low2"), "key")
+    far = F.bit_count(F.col("high").bitwiseXOR(F.col("high2"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("low2")))
+    return cut.join(other, "key").where(F.col("id") < F.col("right")).where(far <= most).select(F.col("id").alias("left"), "right", far.alias("distance")).distinct()
 
 
 def fuzzy_titles(df: DataFrame, id_: str, title: str, threshold: float = 0.9) -> DataFrame:

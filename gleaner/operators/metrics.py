@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import ranged
+
 #: Upper bounds of histogram buckets.
 BUCKETS = (10.0, 25.0, 50.0, 75.0, 100.0, 250.0)
 
@@ -13,13 +15,33 @@ def rollup(df: DataFrame, key: str, ok: Column, latency: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("total"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"), F.avg(latency).alias("avg_latency"), (F.count_if(ok) / F.count("*")).alias("success_rate"))
 
 
-def by_index(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Per key the value at index int(n * share) of the ascending order: the counts of distinct values are summed, so
-    that no group is gathered."""
+def ranks(df: DataFrame, key: str, value: str, parts: int | None = None) -> DataFrame:
+    """(key, value, upto, all): for each distinct value of a key how many rows are no greater, and how many there are. Sums by
+    range of values come first, so that a window holds a range of a key's values or a key's ranges, never all of a key."""
     counts = df.groupBy(key, value).agg(F.count("*").alias("n"))
-    run = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(key).orderBy(value))).withColumn("all", F.sum("n").over(Window.partitionBy(key)))
+    counts = counts.withColumn("__range", ranged(df.where(F.col(value).isNotNull()), value, parts))
+    sums = counts.groupBy(key, "__range").agg(F.sum("n").alias("__n"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    whole = sums.groupBy(key).agg(F.sum("__n").alias("all"))
+    before = before.select(F.col(key).alias("__k"), F.col("__range").alias("__r"), "__before")
+    placed = counts.join(before, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__range") == F.col("__r"))).drop("__k", "__r")
+    placed = placed.join(whole.withColumnRenamed(key, "__k"), F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
+    inside = F.sum("n").over(Window.partitionBy(key, "__range").orderBy(value))
+    return placed.withColumn("upto", F.col("__before") + inside).drop("__range", "__before", "n")
+
+
+def by_index(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Per key the value at index int(n * share) of the ascending order."""
     at = lambda s: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("all") * s), F.col("all") - 1), F.col(value)))
-    return run.groupBy(key).agg(*[at(s).alias(name) for name, s in shares.items()])
+    return ranks(df, key, value).groupBy(key).agg(*[at(s).alias(name) for name, s in shares.items()])
+
+
+def exclusive(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
+    """(key, q): the quantile at place share * (n + 1), between the values on both sides of it."""
+    place = share * (F.col("all") + 1)
+    low, high = (F.min(F.when(F.col("upto") >= F.floor(place) + k, F.col(value))) for k in (0, 1))
+    g = ranks(df, key, value).groupBy(key).agg(low.alias("v"), high.alias("w"), F.max(place - F.floor(place)).alias("f"))
+    return g.select(key, (F.col("v") + F.col("f") * (F.coalesce("w", "v") - F.col("v"))).alias("q"))
 
 
 def histogram(df: DataFrame, key: str, value: str, bounds: tuple[float, ...] = BUCKETS) -> DataFrame:
@@ -39,9 +61,13 @@ def quantile(buckets: DataFrame, key: str, q: float) -> DataFrame:
 
 
 def rate(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Rows a second over the seconds up to each row."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return df.withColumn("rate", F.count("*").over(w) / seconds)
+    """Rows a second over the seconds up to each row. A row also goes to the next stretch of as many seconds, whose rows may
+    look back at it, so that a window holds two stretches of a key and never all of it."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    stretch = F.floor(micros / (seconds * 1_000_000))
+    both = df.withColumn("__at", micros).withColumn("__s", F.explode(F.array(F.struct(stretch.alias("k"), F.lit(True).alias("own")), F.struct((stretch + 1).alias("k"), F.lit(False).alias("own")))))
+    w = Window.partitionBy(key, "__s.k").orderBy("__at").rangeBetween(-seconds * 1_000_000 + 1, 0)
+    return both.withColumn("rate", F.count("*").over(w) / seconds).where("__s.own").drop("__at", "__s")
 
 
 def streaks(df: DataFrame, key: str, order: str, ok: Column) -> DataFrame:

@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranged(df: DataFrame, key: str, parts: int = 32) -> Column:
-    """Number of the key's range; the cuts are approximate quantiles, `parts` numbers at most."""
-    cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.01)))
+RANGE_ROWS = 1_000_000
+
+
+def ranged(df: DataFrame, key: str, parts: int | None = None) -> Column:
+    """Number of the key's range. Cuts are approximate quantiles, one for each RANGE_ROWS rows and 31 at least, so that a range
+    stays about as large however many rows there are; finding them counts and scans df once."""
+    parts = parts or max(32, -(-df.count() // RANGE_ROWS))
+    cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.25 / parts)))
     return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(key))).cast("int")
 
 
-def upto(df: DataFrame, key: str, value: Column, name: str, parts: int = 32) -> DataFrame:
+def upto(df: DataFrame, key: str, value: Column, name: str, parts: int | None = None) -> DataFrame:
     """df with the sum of a value over all rows up to and with this one, by a unique numeric key."""
     marked = df.withColumn("__part", ranged(df, key, parts)).withColumn("__value", value)
     totals = marked.groupBy("__part").agg(F.sum("__value").alias("__sum"))  # a row a range
@@ -21,6 +26,6 @@ def upto(df: DataFrame, key: str, value: Column, name: str, parts: int = 32) ->
     return marked.withColumn("__inside", F.sum("__value").over(inside)).join(F.broadcast(before), "__part").withColumn(name, F.col("__inside") + F.col("__before")).drop("__part", "__value", "__inside", "__before")
 
 
-def ordinals(df: DataFrame, key: str, name: str = "ordinal", parts: int = 32) -> DataFrame:
+def ordinals(df: DataFrame, key: str, name: str = "ordinal", parts: int | None = None) -> DataFrame:
     """df with rows numbered from 1 by a unique numeric key."""
     return upto(df, key, F.lit(1), name, parts)

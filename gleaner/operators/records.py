@@ -100,7 +100,7 @@ def upserted(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     o, n = old.alias("o"), new.alias("n")
     on = F.lit(True)
     for k in keys:
-        on = on & (F.col(f"o.{k}") == F.col(f"n.{k}"))
+        on = on & F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}"))
     return o.join(n, on, "full").select(*[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in old.columns])
 
 

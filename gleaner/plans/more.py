@@ -101,12 +101,7 @@ SELECT event_type, round(v + f * (coalesce(w, v) - v), 6) AS p90 FROM (
     SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, floor(0.9 * (count(*) OVER (PARTITION BY event_type) + 1)) AS k, 0.9 * (count(*) OVER (PARTITION BY event_type) + 1) - floor(0.9 * (count(*) OVER (PARTITION BY event_type) + 1)) AS f FROM events) GROUP BY event_type)
 """)
 def exclusive_quantile(spark, d):
-    w = Window.partitionBy("event_type")
-    at = 0.9 * (F.count("*").over(w) + 1)
-    t = table(spark, d, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("i"), at.alias("at"))
-    t = t.withColumn("k", F.floor("at"))
-    g = t.groupBy("event_type").agg(F.max(F.when(F.col("i") == F.col("k"), F.col("value"))).alias("v"), F.max(F.when(F.col("i") == F.col("k") + 1, F.col("value"))).alias("w"), F.max(F.col("at") - F.col("k")).alias("f"))
-    return g.select("event_type", F.round(F.col("v") + F.col("f") * (F.coalesce("w", "v") - F.col("v")), 6).alias("p90"))
+    return metrics.exclusive(table(spark, d, "events"), "event_type", "value", 0.9).select("event_type", F.round("q", 6).alias("p90"))
 
 
 @query("SELECT l_orderkey, min(l_extendedprice) AS low, max(l_extendedprice) AS high, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean FROM lineitem GROUP BY l_orderkey")

@@ -64,19 +64,25 @@ def duplicate_rate(spark, d):
     return table(spark, d, "documents").where("text is not null").groupBy("lang").agg(F.round(records.duplicate_rate("text"), 6).alias("rate"))
 
 
-@query("""
+SIMHASH = """
 WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
 g AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) ELSE [array_to_string(w, ' ')] END) AS g FROM w),
 h AS (SELECT doc_id, substr(md5(g), 17, 16) AS h FROM g),
 n AS (SELECT doc_id, h, list_transform(range(1, 17), lambda k: instr('0123456789abcdef', substr(h, k, 1)) - 1) AS d FROM h),
 v AS (SELECT doc_id, b, sum(CASE WHEN (d[1 + b // 4] >> (3 - b % 4)) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM n CROSS JOIN range(64) r(b) GROUP BY doc_id, b)
 SELECT doc_id, string_agg(CASE WHEN s > 0 THEN '1' ELSE '0' END, '' ORDER BY b) AS bits FROM v GROUP BY doc_id
-""")
+"""
+
+
+@query(SIMHASH)
 def simhash_signature(spark, d):
     return dedup.simhash_counts(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
 
 
-@query()
+@query(f"""
+WITH s AS ({SIMHASH}), c AS (SELECT CAST(bits AS BIT) AS bits, min(doc_id) AS id FROM s GROUP BY bits)
+SELECT a.id AS "left", b.id AS "right", CAST(bit_count(xor(a.bits, b.bits)) AS INTEGER) AS distance FROM c a JOIN c b ON a.id < b.id WHERE bit_count(xor(a.bits, b.bits)) <= 3
+""")
 def simhash_near_pairs(spark, d):
     return dedup.hamming_pairs(dedup.simhash_counts(table(spark, d, "documents").where("text is not null"), "doc_id", "text"), "doc_id")
 

@@ -36,8 +36,9 @@ def route_failures(batch: DataFrame, failed: Column, retries: int, again: str, d
 
 
 def exposition(metrics: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
-    """Lines of the text form in which metrics are scraped."""
-    told = F.concat_ws(",", *[F.concat(F.lit(f'{k}="'), F.col(k).cast("string"), F.lit('"')) for k in labels])
+    """Lines of the text form in which metrics are scraped; in labels, backslashes, quotes and line ends are escaped."""
+    escaped = lambda k: F.replace(F.replace(F.replace(F.coalesce(F.col(k).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    told = F.concat_ws(",", *[F.concat(F.lit(f'{k}="'), escaped(k), F.lit('"')) for k in labels])
     return metrics.select(F.concat(F.lit(name + "{"), told, F.lit("} "), F.col(value).cast("string")).alias("value"))
 
 

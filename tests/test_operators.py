@@ -1,6 +1,7 @@
 """Operators on small tables made here."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -33,6 +34,43 @@ def test_sitemap_and_robots(spark):
     assert row["r"] == ["http://a/s.xml"] and [row[p] for p in ("/p/x", "/p/ok/1", "/q")] == [False, True, True]
 
 
+def test_hamming_pairs_against_brute_force(spark):
+    r = random.Random(1)
+    signs = []
+    for k in range(60):  # a bit string and copies with up to five bits flipped
+        base = [r.choice("01") for _ in range(64)]
+        for j in range(4):
+            other = list(base)
+            for p in r.sample(range(64), r.randint(0, 5)):
+                other[p] = "1" if other[p] == "0" else "0"
+            signs.append((10 * k + j, "".join(other)))
+    heads = {}
+    for i, b in signs:
+        heads[b] = min(i, heads.get(b, i))
+    far = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    want = {(i, j, far(a, b)) for a, i in heads.items() for b, j in heads.items() if i < j and far(a, b) <= 3}
+    got = [tuple(x) for x in dedup.hamming_pairs(spark.createDataFrame(signs, "id long, bits string"), "id").collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
+def test_simhash_finds_planted_copies(spark):
+    text = " ".join(f"word{k}" for k in range(600))
+    docs = spark.createDataFrame([(1, text), (2, text.replace("word300", "edited")), (3, " ".join(f"other{k}" for k in range(600)))], "doc_id long, text string")
+    got = dedup.hamming_pairs(dedup.simhash_counts(docs, "doc_id", "text"), "doc_id").collect()
+    assert [(x["left"], x["right"]) for x in got] == [(1, 2)]
+
+
+def test_ranks_and_rates_do_not_depend_on_ranges(spark):
+    r = random.Random(2)
+    rows = [(k, r.choice("aab"), float(r.randint(0, 50)), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=r.randint(0, 4000))) for k in range(800)]
+    df = spark.createDataFrame(rows, "id long, key string, value double, ts timestamp")
+    for x in metrics.ranks(df, "key", "value", 5).collect():
+        own = [v for _, k, v, _ in rows if k == x["key"]]
+        assert (x["upto"], x["all"]) == (sum(v <= x["value"] for v in own), len(own))
+    got = {x["id"]: x["rate"] for x in metrics.rate(df, "key", "ts", 60).collect()}
+    assert got == {i: sum(0 <= (t - u).total_seconds() < 60 for _, q, _, u in rows if q == k) / 60 for i, k, _, t in rows}
+
+
 def test_hamming_pairs(spark):
     a = "01" * 32
     b = a[:5] + ("1" if a[5] == "0" else "0") + a[6:]

@@ -25,6 +25,7 @@ def test_logs_and_metrics(spark):
     lines = spark.createDataFrame([("kube.a", '{"msg": "m", "level": "info", "kubernetes": {"pod": "p"}}'), ("other", "{}")], "tag string, value string")
     assert [tuple(r) for r in feeds.log_records(lines, "kube.", "c1").collect()] == [("kube.a", "m", "info", "p", None, "c1")]
     assert feeds.exposition(spark.createDataFrame([("x", 3)], "t string, n long"), "done", ["t"], "n").first()[0] == 'done{t="x"} 3'
+    assert feeds.exposition(spark.createDataFrame([('a"b\\c\nd', 3)], "t string, n long"), "done", ["t"], "n").first()[0] == 'done{t="a\\"b\\\\c\\nd"} 3'
 
 
 def test_failures_are_routed(spark, tmp_path):
