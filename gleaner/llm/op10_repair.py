@@ -41,9 +41,9 @@ VOCABULARY = "word_bpe_49k.json"
 END = 1
 SHARD_BYTES = 5 << 20
 LEAST = 2  # Re-Pair goes on until no pair occurs this often
-SHARE = 256
+SHARE = 4096
 TEXT_BYTES = 1 << 20  # text encoded at once
-MEMO_BYTES = 24 << 20  # of each of the memo's halves
+MEMO_BYTES = 64 << 20  # of each of the memo's halves
 ENTRY_BYTES = 220  # what a memo entry takes besides its characters
 TOGETHER = 512
 SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"  # without < | > of special tokens and the apostrophe
