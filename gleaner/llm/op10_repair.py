@@ -42,7 +42,7 @@ END = 1
 SHARD_BYTES = 5 << 20
 LEAST = 2  # Re-Pair goes on until no pair occurs this often
 SHARE = 4096
-TEXT_BYTES = 1 << 20  # text encoded at once
+TEXT_BYTES = 2 << 20  # text encoded at once
 MEMO_BYTES = 64 << 20  # of each of the memo's halves
 ENTRY_BYTES = 220  # what a memo entry takes besides its characters
 TOGETHER = 512
@@ -216,16 +216,18 @@ class Encoder:
         split = pc.split_pattern(plain(texts), " ")
         coded = split.flatten().dictionary_encode()
         pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        memo = self.memo
+        ids = list(map(memo.get, pieces))
+        new = self.known([p for p, i in zip(pieces, ids, strict=True) if i is None])
         # in ASCII, signs after a letter are a token run of their own, up to the piece's end
-        tails = {p: c for p in self.known(pieces) if p.isascii() and (c := p.rstrip(SIGNS)) != p and c and c[-1].isalpha()}
-        todo = {p for p in pieces if p not in tails}
+        tails = {p: c for p in new if p.isascii() and (c := p.rstrip(SIGNS)) != p and c and c[-1].isalpha()}
+        todo = {p for p in new if p not in tails}
         for p, c in tails.items():
             todo |= {c, p[len(c) :]}
         self.learn(self.known(todo))
-        memo = self.memo
         for p, c in tails.items():
             self.keep(p, memo[c] + memo[p[len(c) :]])
-        ids = [memo[p] for p in pieces]
+        ids = [memo[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
         every = np.frombuffer(b"".join(ids), np.uint32)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         which = coded.indices.to_numpy(zero_copy_only=False)
