@@ -13,7 +13,7 @@ each shard with the columns of SCHEMA; integers in the binary columns are little
 Encoding goes by pieces between single spaces, each encoded once by the tokenizers library and kept in a memo of bounded
 bytes that ends with its task. The tokenizer drops white space and none of its tokens spans any, so that a text's ids are
 those of its pieces; a vocabulary for which that fails is encoded whole (`by_piece=False`). Only ASCII letters are lowered
-before the library does it, and not where a special token may stand; only pieces of ASCII letters and signs are split further.
+before the library does it, and not where a special token may stand; only pieces of letters before ASCII signs are split further.
 
 Defined results: a null text is an empty one (just the end id); a null doc_id comes first and stays null; repeated
 documents are all kept, next to each other; further columns are ignored; an empty table gives no shards and no rows.
@@ -57,25 +57,45 @@ SCHEMA = T.StructType(
 )
 
 
-def frequent_pairs(seq: np.ndarray, head: np.ndarray, least: int, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs to replace (left * 2**32 + right), every place where one stands in ascending order, and its number."""
+def frequent_pairs(seq: np.ndarray, head: np.ndarray, least: int, share: int, since: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The pairs to replace (left * 2**32 + right) of those with a symbol of at least since, every place where one stands
+    in ascending order, its number, and the count from which pairs are replaced."""
     left, right, inside = seq[:-1], seq[1:], ~head[1:]
-    # counts by a hash first: a slot's count is no less than that of any pair in it, so that only pairs with a chance are sorted
-    bits = max(8, min(24, (2 * len(seq)).bit_length()))
+    if since:
+        fresh = seq >= since
+        inside &= fresh[:-1] | fresh[1:]
+    where = np.flatnonzero(inside)
+    left, right = left[where], right[where]
+    # counts by a hash first: a slot's count is no less than that of any pair in it, so that only pairs with a chance are
+    # sorted; the fullest slot's own pairs give a count that the greatest is no less than
+    bits = max(8, min(24, (2 * len(where)).bit_length()))
     slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
-    where = np.flatnonzero((np.bincount(slot[inside], minlength=1 << bits) >= least)[slot] & inside)
-    key = (left[where].astype(np.uint64) << np.uint64(32)) | right[where]
-    order = np.argsort(key)
-    ordered = key[order]
-    edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(key)])
-    count = np.diff(np.append(edge, len(key)))
-    pick = np.flatnonzero(count >= max(least, int(count.max(initial=0)) // share))
+    slots = np.bincount(slot, minlength=1 << bits)
+    full = slot == slots.argmax()
+    seen = np.unique((left[full].astype(np.uint64) << np.uint64(32)) | right[full], return_counts=True)[1].max(initial=0)
+    maybe = (slots >= max(least, int(seen) // share))[slot]
+    where, left, right = where[maybe], left[maybe], right[maybe]
+    half, low = (int(seq.max()).bit_length(), len(seq).bit_length())
+    if 2 * half + low <= 64:  # pair and place in one number
+        both = np.sort((((left.astype(np.uint64) << np.uint64(half)) | right) << np.uint64(low)) | where.astype(np.uint64))
+        place = (both & np.uint64((1 << low) - 1)).astype(np.int64)
+        ordered = both >> np.uint64(low)
+    else:
+        ordered = (left.astype(np.uint64) << np.uint64(32)) | right
+        order = np.argsort(ordered)
+        ordered, place, half = ordered[order], where[order], 32
+    edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+    count = np.diff(np.append(edge, len(ordered)))
+    floor = max(least, int(count.max(initial=0)) // share)
+    pick = np.flatnonzero(count >= floor)
     number = np.full(len(edge), -1, np.int32)
     number[pick] = np.arange(len(pick), dtype=np.int32)
-    each = np.empty(len(key), np.int32)
-    each[order] = np.repeat(number, count)
-    chosen = each >= 0
-    return ordered[edge[pick]].astype(np.int64), where[chosen], each[chosen]
+    each = np.full(len(seq), -1, np.int32)
+    each[place] = np.repeat(number, count)
+    chosen = np.flatnonzero(each >= 0)
+    pairs = ordered[edge[pick]]
+    pairs = ((pairs >> np.uint64(half)) << np.uint64(32)) | (pairs & np.uint64((1 << half) - 1))
+    return pairs.astype(np.int64), chosen, each[chosen], floor
 
 
 def replace_pairs(seq: np.ndarray, head: np.ndarray, where: np.ndarray, number: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,14 +117,16 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = LEAST
     head = np.zeros(len(seq), bool)
     head[(np.cumsum(lengths) - lengths)] = True
     made, per_round = [], []
-    first = base
+    first, since = base, 0
     while len(seq) > 1:
-        new, where, number = frequent_pairs(seq, head, least, share)
+        new, where, number, floor = frequent_pairs(seq, head, least, share, since)
         if not len(new):
             break
         seq, head = replace_pairs(seq, head, where, number, first)
         made.append(new)
         per_round.append(len(new))
+        # once all pairs seen least times have been replaced or broken up, only those with a new symbol can be frequent
+        since = first if floor == least else 0
         first += len(new)
     rules = np.concatenate(made) if made else np.empty(0, np.int64)
     left, right = rules >> 32, rules & 0xFFFFFFFF
@@ -180,7 +202,7 @@ class Encoder:
         """Put pieces in the memo; words of letters alone go to the library together, and each ends with its one word end."""
         words, others = [], []
         for p in pieces:
-            (words if p.isascii() and p.isalpha() else others).append(p)
+            (words if letters(p) else others).append(p)
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         for group, got in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, np.uint32)
@@ -219,8 +241,8 @@ class Encoder:
         memo = self.memo
         ids = list(map(memo.get, pieces))
         new = self.known([p for p, i in zip(pieces, ids, strict=True) if i is None])
-        # in ASCII, signs after a letter are a token run of their own, up to the piece's end
-        tails = {p: c for p in new if p.isascii() and (c := p.rstrip(SIGNS)) != p and c and c[-1].isalpha()}
+        # signs after a letter are a token run of their own, up to the piece's end
+        tails = {p: c for p in new if (c := p.rstrip(SIGNS)) != p and c and (c[-1].isalpha() if p.isascii() else letters(c))}
         todo = {p for p in new if p not in tails}
         for p, c in tails.items():
             todo |= {c, p[len(c) :]}
@@ -228,16 +250,19 @@ class Encoder:
         for p, c in tails.items():
             self.keep(p, memo[c] + memo[p[len(c) :]])
         ids = [memo[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
-        every = np.frombuffer(b"".join(ids), np.uint32)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[which]
-        ends = np.cumsum(n)
-        flat = every[np.arange(int(n.sum())) + np.repeat((np.cumsum(size) - size)[which] - (ends - n), n)]
-        bounds = np.append(0, ends)[split.offsets.to_numpy()]
+        every = pa.array(ids, pa.large_binary()).take(coded.indices)
+        _, offsets, raw = every.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(every) + 1) >> 2
+        flat = np.frombuffer(raw, np.uint32) if raw and raw.size else np.empty(0, np.uint32)
+        bounds = ends[split.offsets.to_numpy()]
         return [flat[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def letters(piece: str) -> bool:
+    """Whether a piece is letters alone and stays so when lowered, thus one word to the tokenizer."""
+    return piece.isalpha() and (piece.isascii() or piece.lower().isalpha())
+
+
 def plain(texts: pa.Array) -> pa.Array:
     """Texts with spaces for line ends and ASCII letters lowered, but for texts in which a special token may stand."""
     # not by ascii_lower of the array: on a slice it gives other bytes
