@@ -560,6 +560,21 @@ def test_repair_leaves_no_repeated_pair():
         assert len(rules) > 100 and np.frombuffer(row["expansions"], "<u4").max() >= (4 if least == 2 else 2)
 
 
+def test_pairs_of_large_symbols():
+    """Symbols too large to be sorted with their places in one number give the same pairs and places."""
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 50, 400):
+        small = rng.integers(1, 6, n).astype(np.uint32)
+        head = rng.random(n) < 0.1
+        head[0] = True
+        for since in (0, 4):
+            big = np.uint32(1 << 31)
+            pairs, where, number, floor = op10.frequent_pairs(small, head, 2, 4096, since)
+            pairs2, where2, number2, floor2 = op10.frequent_pairs(small + big, head, 2, 4096, since and since + int(big))
+            assert floor == floor2 and where.tolist() == where2.tolist() and number.tolist() == number2.tolist()
+            assert [(p >> 32, p & 0xFFFFFFFF) for p in pairs.tolist()] == [((p >> 32) % 2**32 - 2**31, (p & 0xFFFFFFFF) - 2**31) for p in pairs2.tolist()]
+
+
 def test_piece_ids_equal_the_library():
     import pyarrow as pa
     from tokenizers import Tokenizer
