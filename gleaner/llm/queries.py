@@ -16,6 +16,7 @@ NAMES = {
     "op8_langid": "op8_langid",
     "op9_mixing": "op9_mixing",
     "op10_repair": "op10_repair",
+    "op11_trie": "op11_trie",
     "op13_fim": "op13_fim",
 }
 ORACLE: dict[str, str] = {}
