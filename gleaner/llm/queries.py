@@ -17,6 +17,7 @@ NAMES = {
     "op9_mixing": "op9_mixing",
     "op10_repair": "op10_repair",
     "op11_trie": "op11_trie",
+    "op12_collisions": "op12_collisions",
     "op13_fim": "op13_fim",
 }
 ORACLE: dict[str, str] = {}
