@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extra, more, relational, scalars, scoring, streams
+from . import extra, more, relational, scalars, scoring, selection, streams
 
-MODULES = (scalars, relational, streams, more, extra, scoring)
+MODULES = (scalars, relational, streams, more, extra, scoring, selection)
 
 
 def queries() -> dict:
