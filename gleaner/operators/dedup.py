@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -77,30 +80,75 @@ def hamming_pairs(signs: DataFrame, id_: str, most: int = 3, pieces: int = 6) ->
     return cut.join(other, "key").where(F.col("id") < F.col("right")).where(far <= most).select(F.col("id").alias("left"), "right", far.alias("distance")).distinct()
 
 
-def fuzzy_titles(df: DataFrame, id_: str, title: str, threshold: float = 0.9) -> DataFrame:
-    """Pairs (left, right, ratio) of different titles whose matching blocks reach the ratio.
+def spoiled(n: Column, threshold: float) -> Column:
+    """How many of the n bigrams of a title (the first with a mark before it) a title of the ratio can lack at most.
+
+    Matching blocks are in order, so all that they leave out are deletions, which spoil two bigrams each, and insertions,
+    which spoil one. Their number for a partner of m characters follows from the threshold; the most is at the shortest
+    partner that the ratio allows, or at the longest."""
+    short, long = threshold / (2 - threshold), (2 - threshold) / threshold
+    return F.floor(n * max(2 * (1 - short), long - 1) + 1e-9).cast("int")
+
+
+def title_grams(title: str) -> dict:
+    """A title's bigrams, each with how many of its kind came before it, so that they are a set; and 512 bits of which each
+    of them sets one."""
+    seen: dict[str, int] = {}
+    grams, bits = [], 0
+    for k in range(len(title)):
+        gram = title[k - 1 : k + 1] if k else f"\n{title[0]}"
+        seen[gram] = n = seen.get(gram, -1) + 1
+        grams.append(f"{gram}{n}")
+        bits |= 1 << (zlib.crc32(grams[-1].encode("utf-8", "replace")) & 511)
+    return {"grams": grams, "bits": [int.from_bytes((bits >> at & (1 << 64) - 1).to_bytes(8, "little"), "little", signed=True) for at in range(0, 512, 64)]}
+
 
-    Titles meet on the rarer six tenths of their words and where their lengths allow the ratio; the exact ratio comes from an
-    Arrow function. Two titles that are alike by characters but share none of those words do not meet."""
+def ratios(old: pd.Series, new: pd.Series, threshold: float) -> list[float]:
+    """Ratio of matching blocks, 0 where common characters alone rule the threshold out."""
     from difflib import SequenceMatcher
 
+    out, m, last = [], SequenceMatcher(None), None
+    for b, a in zip(old, new, strict=True):
+        if b != last:  # what is kept of the second text serves all pairs with it
+            m.set_seq2(b)
+            last = b
+        m.set_seq1(a)
+        out.append(m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0)
+    return out
+
+
+def fuzzy_titles(df: DataFrame, id_: str, title: str, threshold: float = 0.9) -> DataFrame:
+    """Pairs (left, right, ratio) of different titles whose matching blocks reach the ratio; none is missed.
+
+    A title's bigrams are ordered by rarity. Two titles of the ratio share all but `spoiled` of either's bigrams, so they
+    share one of the rarest spoiled + 1 of both. They meet on such a bigram, in bands of length that the ratio spans, and
+    only where the bigrams after it could still make up what is needed, and where their bits differ in no more places than
+    there can be bigrams of one alone. The exact ratio comes from an Arrow function."""
     keys = df.select(F.col(id_).alias("id"), F.col(title).alias("t")).where("t is not null and t <> ''").groupBy("t").agg(F.min("id").alias("id"))
-    sized = keys.withColumn("n", F.length("t"))
-    word = sized.withColumn("w", F.explode(F.array_distinct(F.split("t", " "))))
-    many = word.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = word.join(many, "w").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "w")))
-    share = F.greatest(F.lit(1), F.ceil(F.size(F.split("t", " ")) * 0.6)).cast("int")
-    probe = ranked.where(F.col("rank") <= share).select("id", "t", "n", "w")
-    a, b = probe.alias("a"), probe.alias("b")
-    near = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & (2 * F.least("a.n", "b.n") >= threshold * (F.col("a.n") + F.col("b.n")))).select(F.col("a.id").alias("left"), F.col("b.id").alias("right"), F.col("a.t").alias("ta"), F.col("b.t").alias("tb")).distinct()
+    read = F.udf(title_grams, "struct<grams: array<string>, bits: array<long>>", useArrow=True)
+    held = keys.select("id", F.length("t").alias("n"), read("t").alias("g"))
+    gram = held.select("id", "n", *[F.col("g.bits")[k].alias(f"b{k}") for k in range(8)], F.explode("g.grams").alias("w"))
+    many = gram.groupBy("w").agg(F.count("*").alias("df"))
+    rarest = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
+    rare = gram.join(many, "w").withColumn("rank", rarest).where(F.col("rank") <= spoiled(F.col("n"), threshold) + 1)
+    band = F.floor(F.log("n") / math.log((2 - threshold) / threshold)).cast("int")
+    bits = [f"b{k}" for k in range(8)]
+    a = rare.select("w", band.alias("band"), "id", "n", "rank", *bits).alias("a")
+    b = rare.select("w", F.explode(F.array(band - 1, band, band + 1)).alias("band"), "id", "n", "rank", *bits).alias("b")
+    # what of each is left from this bigram on, against what they must share
+    left = F.least(F.col("a.n") - F.col("a.rank"), F.col("b.n") - F.col("b.rank")) + 1
+    shared = F.greatest(F.col("a.n") - spoiled(F.col("a.n"), threshold), F.col("b.n") - spoiled(F.col("b.n"), threshold))
+    fits = (F.col("a.id") < F.col("b.id")) & (2 * F.least("a.n", "b.n") >= threshold * (F.col("a.n") + F.col("b.n"))) & (left >= shared)
+    # a character that the blocks leave out spoils three bigrams at most, of both titles together
+    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{k}").bitwiseXOR(F.col(f"b.{k}"))) for k in bits])
+    fits = fits & (apart <= 3 * (1 - threshold) * (F.col("a.n") + F.col("b.n")) + 1e-6)
+    near = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.band") == F.col("b.band")) & fits).select(F.col("a.id").alias("left"), F.col("b.id").alias("right")).distinct()
+    old, new = (keys.select(F.col("id").alias(side), F.col("t").alias(t)) for side, t in (("left", "old"), ("right", "new")))
+    near = near.join(old, "left").join(new, "right")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            ratio = []
-            for old, new in zip(x["ta"], x["tb"], strict=True):
-                m = SequenceMatcher(None, new, old)
-                ratio.append(m.ratio() if m.quick_ratio() >= threshold else 0.0)
-            yield pd.DataFrame({"left": x["left"], "right": x["right"], "ratio": ratio})
+            yield pd.DataFrame({"left": x["left"], "right": x["right"], "ratio": ratios(x["old"], x["new"], threshold)})
 
     return near.mapInPandas(run, "left long, right long, ratio double").where(F.col("ratio") >= threshold)
 

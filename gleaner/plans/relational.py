@@ -89,8 +89,8 @@ def simhash_near_pairs(spark, d):
 
 @query()
 def fuzzy_title_pairs(spark, d):
-    t = table(spark, d, "documents").select("doc_id", text.title_key(F.substring("text", 1, 120)).alias("title"))
-    return dedup.fuzzy_titles(t, "doc_id", "title")
+    t = table(spark, d, "pages").select("page_id", text.title_key(pages.title(F.col("html"))).alias("title"))
+    return dedup.fuzzy_titles(t, "page_id", "title")
 
 
 @query("""

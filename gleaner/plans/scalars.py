@@ -44,12 +44,12 @@ def text_clean_tokens(spark, d):
 
 
 @query("""
-SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(substr(text, 1, 120)), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '),
+SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '),
   lambda w: w NOT IN ('the','a','an','and','or','but','in','on','at','to','for','of','with','by')), ' ') AS title
 FROM documents
 """)
 def title_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.title_key(F.substring("text", 1, 120)).alias("title"))
+    return table(spark, d, "documents").select("doc_id", text.title_key(F.col("text")).alias("title"))
 
 
 @query("""

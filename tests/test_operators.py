@@ -1,11 +1,12 @@
 """Operators on small tables made here."""
 
 import datetime as dt
+import difflib
 import random
 
 from pyspark.sql import functions as F
 
-from gleaner.functions import pages, urls
+from gleaner.functions import pages, text, urls
 from gleaner.operators import dedup, graph, metrics, records
 from gleaner.sources import tables
 from gleaner.streaming import folds, windows
@@ -78,9 +79,36 @@ def test_hamming_pairs(spark):
     assert [tuple(r) for r in dedup.hamming_pairs(signs, "id").collect()] == [(1, 2, 1)]
 
 
-def test_fuzzy_titles(spark):
-    t = spark.createDataFrame([(1, "quick brown fox jumps over lazy dogs"), (2, "quick brown fox jumps over lazy dog"), (3, "something else entirely here")], "id long, t string")
-    assert [(r["left"], r["right"]) for r in dedup.fuzzy_titles(t, "id", "t").collect()] == [(1, 2)]
+def test_fuzzy_titles_miss_no_pair(spark):
+    r = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", text.title_key(F.substring("text", 1, 90)).alias("t")).where("t <> ''").orderBy("doc_id").limit(1000)
+    titles = [(x["doc_id"], x["t"]) for x in docs.collect()]
+    words = ["photography", "cat", "a", "ab", "solid walnut desk", "quick brown fox jumps", "internationalisation"]
+    for k, base in enumerate(words + [t for _, t in titles[:60]]):  # a typo in each word, letters dropped, doubled or exchanged
+        def typo(w):
+            at, how = r.randrange(len(w)), r.randrange(3)
+            return w[:at] + (w[at + 1 :] if how == 0 else w[at] + w[at:] if how == 1 else r.choice("xyzé") + w[at + 1 :])
+
+        titles += [(10_000 + 10 * k, base), (10_001 + 10 * k, " ".join(map(typo, base.split()))), (10_002 + 10 * k, typo(base)), (10_003 + 10 * k, base + base[-1]), (10_004 + 10 * k, base)]
+    titles += [(-1, None), (-2, "")]
+    for threshold, some in ((0.9, titles), (0.75, titles[::3])):
+        least = {}
+        for k, t in some:
+            if t:
+                least[t] = min(k, least.get(t, k))
+        rows = sorted((k, t) for t, k in least.items())
+        want, m = {}, difflib.SequenceMatcher(None)
+        for a, (old_id, old) in enumerate(rows):
+            m.set_seq2(old)
+            for new_id, new in rows[a + 1 :]:
+                if 2 * min(len(old), len(new)) >= threshold * (len(old) + len(new)):
+                    m.set_seq1(new)
+                    if m.quick_ratio() >= threshold and m.ratio() >= threshold:
+                        want[old_id, new_id] = m.ratio()
+        got = {(x["left"], x["right"]): x["ratio"] for x in dedup.fuzzy_titles(spark.createDataFrame(some, "id long, t string"), "id", "t", threshold).collect()}
+        assert got == want
+        assert len(want) > 40
+    assert dedup.fuzzy_titles(spark.createDataFrame([], "id long, t string"), "id", "t").count() == 0
 
 
 def test_eviction_and_upsert(spark):
