@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extra, more, relational, scalars, scoring, selection, streams
+from . import extra, more, relational, scalars, schemaless, scoring, selection, streams
 
-MODULES = (scalars, relational, streams, more, extra, scoring, selection)
+MODULES = (scalars, relational, streams, more, extra, scoring, selection, schemaless)
 
 
 def queries() -> dict:

@@ -78,23 +78,6 @@ def field_presence(spark, d):
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.round(c, 6).alias("presence")) for c in t.columns])).alias("f")).select("f.*")
 
 
-@query("""
-SELECT doc_id, round(0.7 - CASE WHEN length(text) > 100 AND len(list_distinct(w)) / len(w) < 0.3 THEN 0.2 ELSE 0 END, 6)::DOUBLE AS reliability
-FROM (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)
-""")
-def source_reliability(spark, d):
-    t = table(spark, d, "documents").where("text is not null").withColumn("w", F.filter(F.split("text", r"\s+"), lambda x: x != ""))
-    thin = (F.length("text") > 100) & (F.size(F.array_distinct("w")) / F.size("w") < 0.3)
-    return t.select("doc_id", F.round(0.7 - F.when(thin, 0.2).otherwise(0.0), 6).alias("reliability"))
-
-
-@query("SELECT lang, round(least(1.0, 0.25 * completeness + 0.2 + 0.15 * (1 - dup) + 0.1 + 0.1 + 0.1 * 0.5 + 0.1 * 0.5 + 0.05 * 0.5 + 0.05 + 0.05), 6)::DOUBLE AS quality FROM (SELECT lang, (count(text) + count(source)) / (2.0 * count(*)) AS completeness, 1 - count(DISTINCT text) / count(*) AS dup FROM documents GROUP BY lang)")
-def composite_quality(spark, d):
-    g = table(spark, d, "documents").groupBy("lang").agg(((F.count("text") + F.count("source")) / (2 * F.count("*"))).alias("c"), records.duplicate_rate("text").alias("dup"))
-    fixed = 0.2 + 0.1 + 0.1 + 0.1 * 0.5 + 0.1 * 0.5 + 0.05 * 0.5 + 0.05 + 0.05
-    return g.select("lang", F.round(F.least(F.lit(1.0), 0.25 * F.col("c") + 0.15 * (1 - F.col("dup")) + fixed), 6).alias("quality"))
-
-
 @query("""
 SELECT event_type, round(v + f * (coalesce(w, v) - v), 6) AS p90 FROM (
   SELECT event_type, max(value) FILTER (WHERE i = k) AS v, max(value) FILTER (WHERE i = k + 1) AS w, any_value(f) AS f FROM (
