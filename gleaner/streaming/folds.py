@@ -81,14 +81,15 @@ def replay(events: DataFrame, kind: str, key: str = "user_id", options: tuple |
         at, machine = None, None
         for b in batches:
             out = []
-            for k, ts, value in zip(b["k"].tolist(), b["t"].tolist(), b["value"].tolist(), strict=True):
-                if k != at:
-                    at, machine = k, make(*args)
+            for k, none, ts, value in zip(b["k"].tolist(), b["none"].tolist(), b["t"].tolist(), b["value"].tolist(), strict=True):
+                own = None if none else k  # a null key is one key, though pandas' never equals itself
+                if machine is None or own != at:
+                    at, machine = own, make(*args)
                 out.append(machine.step(ts, value))
             yield pd.DataFrame({"event_id": b["event_id"]} | {n: [o[n] for o in out] for n in names})
 
     t = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")
-    rows = events.select("event_id", F.col(key).alias("k"), t, "value").repartition("k").sortWithinPartitions("k", "t", "event_id")
+    rows = events.select("event_id", F.col(key).alias("k"), F.col(key).isNull().alias("none"), t, "value").repartition("k").sortWithinPartitions("k", "t", "event_id")
     return rows.mapInPandas(run, f"event_id long, {make.output}")
 
 
