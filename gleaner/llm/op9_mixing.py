@@ -7,12 +7,13 @@ Pareto sample whose size is fixed in words: inclusion probabilities grow as the
 the expected words of the sample are that rest; where a probability would reach 1 the document is certain and the others
 are scaled anew. Documents are ranked by the odds of a random number over their odds of inclusion, certain ones first, and
 taken in that order until the words are full; in the bin of the cut, ROUNDS passes fill the gap with the next that fit.
+Of rows alike at the cut as many are taken as fit.
 
 Nothing is sorted as a whole: the scale comes from a histogram of sizes, and ranks fall in bins whose sums (a row each)
 find the bin in which a source's cut lies; only that bin's rows are ordered. Bins are as many as the root of a source's
 documents, so that neither their number nor what one holds grows in proportion. Rows alike in (doc_id, text, source) are
-one unit, so that a hot row is one, and each gets the same number of copies. The random number is the md5 of the doc_id,
-so that reruns agree.
+one unit with one rank, so that a hot row is one; where a part of a unit is taken, its rows are numbered by the partitions
+they lie in, and the first get a copy more. The random number is the md5 of the doc_id, so that reruns agree.
 
 Defined results: a null text has size 0; rows of size 0 are no words and are taken as often as the whole copies of their
 source; null sources are one source; sources of no words get target 0; a null doc_id draws as an empty id; no document is
@@ -78,25 +79,32 @@ WITH d AS (
 ), k AS (
   SELECT qb.*, cut.cut, cut.before FROM qb LEFT JOIN cut ON qb.source IS NOT DISTINCT FROM cut.source
 ), r0 AS (
-  SELECT *, rest - before AS gap, CASE WHEN before + sum(unit) OVER (PARTITION BY source ORDER BY r, doc_id, h) <= rest THEN 1 ELSE 0 END AS t0 FROM k WHERE bin = cut
+  SELECT *, rest - before AS gap, CAST(greatest(0, least(same, floor((rest - before - CAST(sum(unit) OVER (PARTITION BY source ORDER BY r, doc_id, h) - unit AS DOUBLE)) / size))) AS BIGINT) AS t0 FROM k WHERE bin = cut
 ), r1 AS (
-  SELECT *, gap - sum(unit * t0) OVER (PARTITION BY source) AS g1 FROM r0
+  SELECT *, gap - sum(size * t0) OVER (PARTITION BY source) AS g1 FROM r0
+), c1 AS (
+  SELECT *, CASE WHEN size <= g1 THEN same - t0 ELSE 0 END AS m1, sum(CASE WHEN size <= g1 THEN size * (same - t0) ELSE 0 END) OVER (PARTITION BY source ORDER BY r, doc_id, h) AS s1 FROM r1
 ), r1b AS (
-  SELECT *, CASE WHEN t0 = 0 AND unit <= g1 AND sum(CASE WHEN t0 = 0 AND unit <= g1 THEN unit ELSE 0 END) OVER (PARTITION BY source ORDER BY r, doc_id, h) <= g1 THEN 1 ELSE t0 END AS t1 FROM r1
+  SELECT *, t0 + CAST(greatest(0, least(m1, floor((g1 - CAST(s1 - size * m1 AS DOUBLE)) / size))) AS BIGINT) AS t1 FROM c1
 ), r2 AS (
-  SELECT *, gap - sum(unit * t1) OVER (PARTITION BY source) AS g2 FROM r1b
+  SELECT *, gap - sum(size * t1) OVER (PARTITION BY source) AS g2 FROM r1b
+), c2 AS (
+  SELECT *, CASE WHEN size <= g2 THEN same - t1 ELSE 0 END AS m2, sum(CASE WHEN size <= g2 THEN size * (same - t1) ELSE 0 END) OVER (PARTITION BY source ORDER BY r, doc_id, h) AS s2 FROM r2
 ), r2b AS (
-  SELECT *, CASE WHEN t1 = 0 AND unit <= g2 AND sum(CASE WHEN t1 = 0 AND unit <= g2 THEN unit ELSE 0 END) OVER (PARTITION BY source ORDER BY r, doc_id, h) <= g2 THEN 1 ELSE t1 END AS t2 FROM r2
+  SELECT *, t1 + CAST(greatest(0, least(m2, floor((g2 - CAST(s2 - size * m2 AS DOUBLE)) / size))) AS BIGINT) AS t2 FROM c2
 ), r3 AS (
-  SELECT *, gap - sum(unit * t2) OVER (PARTITION BY source) AS g3 FROM r2b
+  SELECT *, gap - sum(size * t2) OVER (PARTITION BY source) AS g3 FROM r2b
+), c3 AS (
+  SELECT *, CASE WHEN size <= g3 THEN same - t2 ELSE 0 END AS m3, sum(CASE WHEN size <= g3 THEN size * (same - t2) ELSE 0 END) OVER (PARTITION BY source ORDER BY r, doc_id, h) AS s3 FROM r3
 ), r3b AS (
-  SELECT *, CASE WHEN t2 = 0 AND unit <= g3 AND sum(CASE WHEN t2 = 0 AND unit <= g3 THEN unit ELSE 0 END) OVER (PARTITION BY source ORDER BY r, doc_id, h) <= g3 THEN 1 ELSE t2 END AS t3 FROM r3
+  SELECT *, t2 + CAST(greatest(0, least(m3, floor((g3 - CAST(s3 - size * m3 AS DOUBLE)) / size))) AS BIGINT) AS t3 FROM c3
 ), e AS (
-  SELECT doc_id, h, source, CAST(coalesce(bin < cut, true) AS INT) AS sel FROM k WHERE cut IS NULL OR bin <> cut
+  SELECT doc_id, h, source, CASE WHEN bin < cut OR cut IS NULL THEN same ELSE 0 END AS sel FROM k WHERE cut IS NULL OR bin <> cut
   UNION ALL SELECT doc_id, h, source, t3 FROM r3b
+), dn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, h, source) AS number FROM d
 )
-SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, c.source_size, c.target, CAST(d.size * (c.whole + coalesce(e.sel, 0)) AS BIGINT) AS taken
-FROM d LEFT JOIN e ON d.doc_id IS NOT DISTINCT FROM e.doc_id AND d.h = e.h AND d.source IS NOT DISTINCT FROM e.source
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, c.source_size, c.target, CAST(d.size * (c.whole + CASE WHEN d.number <= coalesce(e.sel, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM dn d LEFT JOIN e ON d.doc_id IS NOT DISTINCT FROM e.doc_id AND d.h = e.h AND d.source IS NOT DISTINCT FROM e.source
 JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
 
@@ -135,7 +143,8 @@ def root() -> Column:
 
 
 def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, rounds: int = ROUNDS) -> DataFrame:
-    """From sized() rows: a row per unit (doc_id, h, source) with its source's size and target and its copies."""
+    """From sized() rows: a row per unit (doc_id, h, source) with its source's size and target, the copies of each of its
+    rows, and how many of them get one `more` (0 where all rows have the same copies)."""
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     size, n = F.col("source_size"), F.col("n")
     plan = targets(sources, weights, most).select(
@@ -153,38 +162,61 @@ def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     odds = F.when(F.col("size") > F.col("most"), 0.0).otherwise((F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
     ranked = ranked.withColumn("u", u).withColumn("r", F.when((F.col("size") > 0) & (F.col("rest") > 0), odds))
     ranked = ranked.withColumn("bin", F.floor(F.col("r") / (1 + F.col("r")) * F.col("bins")).cast("long")).withColumn("unit", F.col("size") * F.col("same"))
-    ranked = checkpointed(ranked.select("doc_id", "h", "source", "size", "unit", "source_size", "target", "whole", "rest", "r", "bin"))
-    out = ranked.where("r is null").withColumn("sel", F.lit(0))
+    ranked = checkpointed(ranked.select("doc_id", "h", "source", "size", "same", "unit", "source_size", "target", "whole", "rest", "r", "bin"))
+    out = ranked.where("r is null").withColumn("sel", F.lit(0).cast("long"))
     ranked = ranked.where("r is not null")
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = ranked.groupBy("source", "bin").agg(F.sum("unit").alias("words"), F.first("rest").alias("rest")).withColumn("upto", F.sum("words").over(upto))
     cuts = bins.where("upto > rest").groupBy("source").agg(F.min("bin").alias("cut"), F.min_by(F.col("upto") - F.col("words"), "bin").alias("before")).withColumnRenamed("source", "at")
     placed = ranked.join(cuts, F.col("source").eqNullSafe(F.col("at")), "left").drop("at")
-    far = placed.where("cut is null or bin <> cut").withColumn("sel", F.coalesce(F.col("bin") < F.col("cut"), F.lit(True)).cast("int"))
+    far = placed.where("cut is null or bin <> cut").withColumn("sel", F.when(F.coalesce(F.col("bin") < F.col("cut"), F.lit(True)), F.col("same")).otherwise(0))
     order = Window.partitionBy("source").orderBy("r", "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0)
     whole_bin = Window.partitionBy("source")
-    near = placed.where("bin = cut").withColumn("gap", F.col("rest") - F.col("before"))
-    near = near.withColumn("sel", (F.col("before") + F.sum("unit").over(order) <= F.col("rest")).cast("int"))
-    for _ in range(rounds):
-        near = near.withColumn("left", F.col("gap") - F.sum(F.col("unit") * F.col("sel")).over(whole_bin))
-        fits = (F.col("sel") == 0) & (F.col("unit") <= F.col("left"))
-        near = near.withColumn("sel", F.when(fits & (F.sum(F.when(fits, F.col("unit")).otherwise(0)).over(order) <= F.col("left")), 1).otherwise(F.col("sel")))
-    cols = ["doc_id", "h", "source", "size", "source_size", "target", (F.col("whole") + F.col("sel")).alias("copies")]
+    near = placed.where("bin = cut").withColumn("gap", F.col("rest") - F.col("before")).withColumn("sel", F.lit(0).cast("long")).withColumn("could", F.col("same")).withColumn("left", F.col("gap"))
+    for k in range(rounds + 1):
+        if k:
+            near = near.withColumn("left", F.col("gap") - F.sum(F.col("size") * F.col("sel")).over(whole_bin))
+            near = near.withColumn("could", F.when(F.col("size") <= F.col("left"), F.col("same") - F.col("sel")).otherwise(0))
+        before = F.sum(F.col("size") * F.col("could")).over(order) - F.col("size") * F.col("could")
+        fit = F.floor((F.col("left") - before.cast("double")) / F.col("size")).cast("long")
+        near = near.withColumn("sel", F.col("sel") + F.greatest(F.lit(0), F.least(F.col("could"), fit)))
+    all_of, part_of = (F.col("sel") == F.col("same")).cast("long"), F.when(F.col("sel") < F.col("same"), F.col("sel")).otherwise(0)
+    cols = ["doc_id", "h", "source", "size", "source_size", "target", (F.col("whole") + all_of).alias("copies"), part_of.alias("more")]
     return far.select(*cols).unionByName(near.select(*cols)).unionByName(out.select(*cols))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows (__d, __k, __s, __copies, __more, others) where the first __more rows of each unit have one copy more. The units
+    of which a part is taken are a few for each source; their rows are written, so that their order holds, and numbered
+    within each partition, from what the unit has in partitions before."""
+    unit = ["__d", "__k", "__s"]
+    place = F.monotonically_increasing_id()
+    some = checkpointed(rows.where("__more > 0")).withColumn("__at", place).withColumn("__part", F.shiftright("__at", 33))
+    counts = some.groupBy(*unit, "__part").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*unit).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(c).alias(f"{c}2") for c in unit], F.col("__part").alias("__part2"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    numbered = some.withColumn("__own", F.row_number().over(Window.partitionBy(*unit, "__part").orderBy("__at")))
+    on = F.col("__part") == F.col("__part2")
+    for c in unit:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}2"))
+    numbered = numbered.join(counts, on).withColumn("__copies", F.col("__copies") + (F.col("__own") + F.col("__before") <= F.col("__more")).cast("long"))
+    return rows.where("__more = 0").unionByName(numbered.select(*rows.columns))
+
+
 def chosen(rows: DataFrame, **options) -> DataFrame:
     """sized() rows with source_size, target and copies."""
-    unit = copies(rows, **options).select(F.col("doc_id").alias("d"), F.col("h").alias("k"), F.col("source").alias("s"), "source_size", "target", "copies")
-    return rows.join(unit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")) & F.col("source").eqNullSafe(F.col("s"))).drop("d", "k", "s")
+    unit = copies(rows, **options).select(F.col("doc_id").alias("__d"), F.col("h").alias("__k"), F.col("source").alias("__s"), "source_size", "target", F.col("copies").alias("__copies"), F.col("more").alias("__more"))
+    joined = rows.join(checkpointed(unit), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__k")) & F.col("source").eqNullSafe(F.col("__s")))
+    return dealt(joined).withColumn("copies", F.col("__copies")).drop("__d", "__k", "__s", "__copies", "__more")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs with every row as often as the mix takes it."""
     names = docs.columns
-    unit = copies(checkpointed(sized(docs)), **options).where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("h").alias("__k"), F.col("source").alias("__s"), F.col("copies").alias("__n"))
-    joined = docs.join(unit, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("__k")) & F.col("source").eqNullSafe(F.col("__s")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in names])
+    unit = copies(checkpointed(sized(docs)), **options).where("copies > 0 or more > 0").select(F.col("doc_id").alias("__d"), F.col("h").alias("__k"), F.col("source").alias("__s"), F.col("copies").alias("__copies"), F.col("more").alias("__more"))
+    joined = docs.join(checkpointed(unit), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("__k")) & F.col("source").eqNullSafe(F.col("__s")))
+    rows = dealt(joined).where("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

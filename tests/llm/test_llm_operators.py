@@ -520,9 +520,25 @@ def test_mixing_probabilities(spark):
         assert not more and max(chance) <= 1 and abs(sum(p * n for p, n in zip(chance, sizes)) - share * sum(sizes)) < 1e-6 * sum(sizes)
 
 
+def test_mixing_of_repeated_rows(spark):
+    many = [(1, "w " * 100, "hot", k) for k in range(400)] + [(2, "v " * 33, "hot", 0), (3, "u " * 7000, "other", 0), (None, None, None, 1), (None, None, None, 1), (None, "n " * 5, None, 2)]
+    df = spark.createDataFrame(many, "doc_id long, text string, source string, n_chars int").repartition(9)
+    for weights in ((5, 2, 1), (1, 9, 3), (2, 2, 1)):
+        got = op9.chosen(op9.sized(df), weights=weights).collect()
+        assert len(got) == len(many)
+        taken, target = collections.Counter(), {}
+        for x in got:
+            taken[x["source"]] += x["size"] * x["copies"]
+            target[x["source"]] = x["target"]
+            assert 0 <= x["copies"] <= 3
+        assert abs(taken["hot"] - target["hot"]) < 133
+        mixed = collections.Counter((x["doc_id"], x["source"]) for x in op9.mixed(df, weights=weights).collect())
+        assert mixed == sum((collections.Counter({(x["doc_id"], x["source"]): x["copies"]}) for x in got), collections.Counter())
+
+
 def test_mixing_takes_no_empty_row_too_often(spark):
     df = spark.createDataFrame([(1, "a b", "s"), (2, "", "s"), (3, None, "s"), (4, "x " * 90, "t"), (5, "y " * 90, "t")], "doc_id long, text string, source string")
-    assert max(x["copies"] for x in op9.copies(op9.sized(df), weights=(1000, 1)).collect()) <= 3
+    assert max(x["copies"] + (x["more"] > 0) for x in op9.copies(op9.sized(df), weights=(1000, 1)).collect()) <= 3
     assert max(collections.Counter(x["doc_id"] for x in op9.mixed(df, weights=(1000, 1)).collect()).values()) <= 3
 
 
