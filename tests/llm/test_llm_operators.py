@@ -93,18 +93,20 @@ def test_suffix_order():
 def test_top_k(spark):
     r = random.Random(2)
     rows = [(k, [r.uniform(-2, 2) for _ in range(5)]) for k in range(0, 700)]
-    rows += [(1000 + k, rows[100][1]) for k in range(40)] + [(200, rows[3][1]), (5000, None), (5100, [None] * 5), (5200, [math.inf] * 5), (5300, []), (None, rows[1][1]), (300, [1.0, 2.0])]
+    rows += [(1000 + k, rows[100][1]) for k in range(40)] + [(200, rows[3][1]), (5000, None), (5100, [None] * 5), (5200, [math.inf] * 5), (5300, []), (5400, []), (None, []), (None, rows[1][1]), (None, rows[100][1]), (None, [9.0] * 5), (300, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
-    whole = [(i, [math.floor(1024 * float(np.float32(c))) for c in v]) for i, v in rows if i is not None and v and None not in v and all(map(math.isfinite, v))]
+    whole = [(i, [math.floor(1024 * float(np.float32(c))) for c in v]) for i, v in rows if v is not None and None not in v and all(map(math.isfinite, v))]
 
     def brute(whole):
         for k, (qi, q) in enumerate(whole):
-            if qi % 100 == 0:
-                found = sorted((-sum(a * b for a, b in zip(q, v)), i) for j, (i, v) in enumerate(whole) if j != k and len(v) == len(q))[:10]
-                yield from ((qi, n, i, -s) for n, (s, i) in enumerate(found, 1))
+            if qi is not None and qi % 100 == 0:
+                found = sorted((-sum(a * b for a, b in zip(q, v)), i is None, i or 0) for j, (i, v) in enumerate(whole) if j != k and len(v) == len(q))[:10]
+                yield from ((qi, n, None if lacks else i, -s) for n, (s, lacks, i) in enumerate(found, 1))
 
     got = [tuple(r) for r in op2.top_k(df, df.where("vec_id % 100 = 0"), file_bytes=128 * 40, query_bytes=120).collect()]
-    assert sorted(got) == sorted(brute(whole)) and sum(g[0] == 200 for g in got) == 20
+    key = lambda x: (x[0], x[1], x[3], x[2] is None, x[2] or 0)
+    assert sorted(got, key=key) == sorted(brute(whole), key=key) and sum(g[0] == 200 for g in got) == 20
+    assert any(g[2] is None for g in got) and sum(g[0] in (5300, 5400) for g in got) == 4
     assert op2.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
@@ -161,6 +163,23 @@ def test_reshard_sizes_and_rewrite(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "x")).count() == 1500
 
 
+def test_reshard_of_repeated_rows(spark):
+    for rows in (
+        [(1, "x" * 1000)] * 64 + [(k, "y" * 31) for k in range(2, 200)],
+        [(None, None)] * 300 + [(None, "n" * 200)] * 100 + [(7, "z" * 90)] * 200,
+        [(1, "w" * 9000)] + [(k, prose(k, 4)) for k in range(2, 60)],
+    ):
+        got = op3.reshard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        size, slots = collections.Counter(), collections.defaultdict(list)
+        for r in got:
+            size[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter((d, len((t or "").encode()) + 1) for d, t in rows)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        largest = max(len((t or "").encode()) + 1 for _, t in rows)
+        assert max(size.values()) - sum(size.values()) / 8 <= max(1.5 * largest, 0.02 * sum(size.values()) / 8)
+
+
 def brute_links(rows, n=5, t=0.8):
     sets = [frozenset(tuple(w[k : k + min(n, len(w))]) for k in range(len(w) - min(n, len(w)) + 1)) if (w := words(x[1])) else None for x in rows]
     links = [sum(1 for j, b in enumerate(sets) if j != i and a and b and len(a & b) >= t * len(a | b)) for i, a in enumerate(sets)]
