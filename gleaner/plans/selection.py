@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dom
 from ..operators import selectors
 from ..operators.selectors import Field
+from ..sources import scratch, search
 from ..sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -77,3 +78,24 @@ def css_select(spark, d):
         (F.size(dom.matching(e, "nav li")) > 5).alias("long_menu"),
         of(Field("#ad", fallback=Field("html div.ad"))).alias("ad"),
     )
+
+
+@query("""
+WITH r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank, 'https://' || coalesce(source, 'none') || '.example/' || doc_id AS url, source || '.example' AS site, lang AS language, TIMESTAMP '2024-01-01' + doc_id % 300 * INTERVAL 1 DAY AS published
+  FROM documents
+)
+SELECT rank, url, site, language, published, CAST(ceil(rank / 200) AS INTEGER) AS page FROM r
+WHERE site IN ('src0.example', 'src3.example', 'src5.example', 'src8.example', 'src9.example') AND site <> 'src5.example' AND published >= TIMESTAMP '2024-03-01' AND language IN ('en', 'fr') AND ceil(rank / 200) <= 100000 AND rank % 2 = 0
+""")
+def search_pages(spark, d):
+    t = table(spark, d, "documents")
+    results = t.select(
+        "doc_id", F.concat(F.lit("https://"), F.coalesce("source", F.lit("none")), F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"), F.concat("source", F.lit(".example")).alias("site"),
+        F.substring_index("text", "\n", 1).alias("title"), F.col("lang").alias("language"), F.expr("timestamp'2024-01-01' + make_dt_interval(doc_id % 300)").alias("published"),
+    )
+    path = scratch.folder(spark, "pages")
+    search.write_pages(results, "doc_id", path, 200)
+    found = search.read_pages(spark, path)
+    wanted = found.where(F.col("site").isin("src0.example", "src3.example", "src5.example", "src8.example", "src9.example") & (F.col("site") != "src5.example") & (F.col("published") >= F.lit("2024-03-01").cast("timestamp")) & F.col("language").isin("en", "fr") & (F.col("page") <= 100000))
+    return wanted.where("rank % 2 = 0").select("rank", "url", "site", "language", F.col("published").cast("timestamp_ntz").alias("published"), "page")

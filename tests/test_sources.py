@@ -44,3 +44,28 @@ def test_record_files_and_streams(spark, tmp_path):
     assert sorted((r["id"], r["queue"]) for r in spark.table("tasks").collect()) == [(1, "high"), (2, "low")]
     kept = feeds.retained(df.withColumn("made_at", F.expr("timestamp'2024-01-01' + make_dt_interval(cast(id as int)*5)")), F.lit(dt.datetime(2024, 1, 12)), 3)
     assert [r["id"] for r in kept.collect()] == [2]
+
+
+def test_search_pages_take_conditions_over(spark, tmp_path):
+    import datetime as dt
+
+    from gleaner.sources import search
+
+    rows = [(k, f"u{k}", None if k % 7 == 0 else f"s{k % 4}", None if k == 5 else f"t{k}", "en" if k % 3 else None, dt.datetime(2024, 1, 1) + dt.timedelta(days=k) if k % 5 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, url string, site string, title string, language string, published timestamp")
+    path = str(tmp_path / "p")
+    search.write_pages(df, "k", path, 7)
+    pages = search.read_pages(spark, path)
+    ranked = df.select((F.col("k") + 1).alias("rank"), "url", "site", "title", "language", "published", F.ceil((F.col("k") + 1) / 7).cast("int").alias("page"))
+    since = F.lit("2024-01-20").cast("timestamp")
+    for condition, pushed in (
+        (F.col("site") == "s1", "site"), (F.col("site").isin("s1", "s2") & ~F.col("site").isin("s2", "s0"), "site"), (F.col("site") != "s3", "site"), (F.col("published") >= since, "published"),
+        ((F.col("page") > 2) & (F.col("page") <= 5), "page"), (F.col("page") == 9, "page"), (F.col("language") == "en", "language"), (F.col("title").isNull(), None), ((F.col("page") < 3) & (F.col("page") == 4), "page"),
+    ):
+        assert sorted(pages.where(condition).collect(), key=lambda r: r["rank"]) == sorted(ranked.where(condition).collect(), key=lambda r: r["rank"])
+        plan = pages.where(condition)._jdf.queryExecution().executedPlan().toString()
+        kept = plan.split("Filter")[1].split("BatchScan")[0] if "Filter" in plan else ""
+        assert pushed is None or f"({pushed}#" not in kept.replace(f"isnotnull({pushed}#", "")
+    assert pages.where("page = 3").rdd.getNumPartitions() == 1
+    assert search.read_pages(spark, path).rdd.getNumPartitions() == 9
+    assert pages.count() == 60
