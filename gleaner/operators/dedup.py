@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .ordering import ordinals
+from .ordering import PART, ROW, carried, ordered, ordinals
 
 
 def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -28,22 +28,12 @@ def marked(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def within(df: DataFrame, key: str, order: str, rows: int) -> DataFrame:
-    """df with `repeat`: whether the key came among the given number of arrivals before."""
-    numbered = ordinals(df, order)
-    last = F.lag("ordinal").over(Window.partitionBy(key).orderBy("ordinal"))
-    return numbered.withColumn("repeat", F.coalesce(F.col("ordinal") - last <= rows, F.lit(False)))
-
-
-def simhash_bits(c: Column) -> Column:
-    """64 signs of the votes of a text's word 3-grams, each vote the low 64 bits of its MD5."""
-    grams = text.shingles(text.tokens(F.lower(c)), 3)
-
-    def of(hashes: Column) -> Column:
-        halves = [F.transform(hashes, lambda h, k=k: F.conv(F.substring(h, k, 8), 16, 10).cast("long")) for k in (17, 25)]
-        vote = lambda half, bit: F.aggregate(half, F.lit(0), lambda a, x: a + F.when(F.shiftright(x, bit).bitwiseAND(1) == 1, 1).otherwise(-1))
-        return F.concat(*[F.transform(F.sequence(F.lit(31), F.lit(0), F.lit(-1)), lambda b, h=h: F.when(vote(h, b) > 0, "1").otherwise("0")) for h in halves])
-
-    return F.array_join(text.bound(F.transform(grams, lambda g: F.md5(g)), of), "")
+    """df with `ordinal` and `repeat`: whether the key came among the given number of arrivals before. A key that is hot fills
+    several ranges; each knows the last arrival in those before."""
+    placed = ordered(ordinals(df, order), key, "ordinal")
+    last = F.coalesce(F.lag("ordinal").over(Window.partitionBy(PART, key).orderBy(ROW)), F.col("__last"))
+    numbered = carried(placed, key, F.max("ordinal"), F.max("__sum"), "__last")
+    return numbered.withColumn("repeat", F.coalesce(F.col("ordinal") - last <= rows, F.lit(False))).drop("__last", PART, ROW)
 
 
 def simhash_counts(docs: DataFrame, id_: str, c: str) -> DataFrame:

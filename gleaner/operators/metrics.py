@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import ranged
+from .ordering import PART, ROW, carried, ordered
 
 #: Upper bounds of histogram buckets.
 BUCKETS = (10.0, 25.0, 50.0, 75.0, 100.0, 250.0)
@@ -16,18 +16,13 @@ def rollup(df: DataFrame, key: str, ok: Column, latency: str) -> DataFrame:
 
 
 def ranks(df: DataFrame, key: str, value: str, parts: int | None = None) -> DataFrame:
-    """(key, value, upto, all): for each distinct value of a key how many rows are no greater, and how many there are. Sums by
-    range of values come first, so that a window holds a range of a key's values or a key's ranges, never all of a key."""
-    counts = df.groupBy(key, value).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("__range", ranged(df.where(F.col(value).isNotNull()), value, parts))
-    sums = counts.groupBy(key, "__range").agg(F.sum("n").alias("__n"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    whole = sums.groupBy(key).agg(F.sum("__n").alias("all"))
-    before = before.select(F.col(key).alias("__k"), F.col("__range").alias("__r"), "__before")
-    placed = counts.join(before, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__range") == F.col("__r"))).drop("__k", "__r")
-    placed = placed.join(whole.withColumnRenamed(key, "__k"), F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
-    inside = F.sum("n").over(Window.partitionBy(key, "__range").orderBy(value))
-    return placed.withColumn("upto", F.col("__before") + inside).drop("__range", "__before", "n")
+    """(key, value, upto, all): for each distinct value of a key how many rows are no greater, and how many there are. Counts
+    lie in ranges of (key, value), so that a key's values are as many ranges as they fill."""
+    placed = ordered(df.groupBy(key, value).agg(F.count("*").alias("n")), key, value, parts=parts)
+    inside = F.sum("n").over(Window.partitionBy(PART, key).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0))
+    summed = carried(placed, key, F.sum("n"), F.sum("__sum"), "__before").withColumn("upto", inside + F.coalesce("__before", F.lit(0)))
+    whole = placed.groupBy(F.col(key).alias("__k")).agg(F.sum("n").alias("all"))
+    return summed.join(whole, F.col(key).eqNullSafe(F.col("__k"))).drop("__k", "__before", "n", PART, ROW)
 
 
 def by_index(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:

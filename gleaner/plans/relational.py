@@ -126,17 +126,46 @@ def page_same_origin_edges(spark, d):
     return t.where(urls.domain(F.col("target")) == urls.domain(F.col("url"))).groupBy("page_id", "target").agg(F.count("*").alias("n"))
 
 
-@query("""
-WITH e AS (SELECT c_custkey AS source, (c_custkey * 7 + k) % 1500 AS target, k AS position FROM customer CROSS JOIN range(12) r(k)),
-r AS (SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position, target) AS rn FROM e) WHERE rn <= 10),
-s1 AS (SELECT DISTINCT target AS node FROM r WHERE source = 1 AND target <> 1),
-s2 AS (SELECT DISTINCT target AS node FROM r JOIN s1 ON source = node WHERE target <> 1 AND target NOT IN (SELECT node FROM s1))
-SELECT 1::BIGINT AS node, 0 AS depth UNION ALL SELECT node, 1 FROM s1 UNION ALL SELECT node, 2 FROM s2
+LINKS = """
+t AS (SELECT page_id, lower(split_part(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ' ', 1)) AS word, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS l FROM pages),
+d AS (SELECT word, min(page_id) AS target FROM t WHERE word <> '' GROUP BY word),
+e AS (SELECT page_id AS source, unnest(l) AS word, unnest(range(0, len(l))) AS position FROM t),
+a AS (SELECT e.source, d.target, min(position) AS position FROM e JOIN d ON lower(e.word) = d.word GROUP BY e.source, d.target),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position, target) AS n FROM a) WHERE n <= 10)
+"""
+
+
+def page_links(spark, d):
+    """Links between pages: a menu's word leads to the first page whose title begins with it."""
+    t = table(spark, d, "pages").select("page_id", F.lower(F.split_part(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1), F.lit(" "), F.lit(1))).alias("word"), F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)).alias("l"))
+    first = t.where("word <> ''").groupBy("word").agg(F.min("page_id").alias("target"))
+    said = t.select(F.col("page_id").alias("source"), F.posexplode("l").alias("position", "w")).withColumn("word", F.lower("w"))
+    return said.join(first, "word").groupBy("source", "target").agg(F.min("position").alias("position"))
+
+
+def hop(k: int) -> str:
+    """SQL of the level after level k: nodes not yet seen, by the rank of who links to them and the link's place."""
+    seen = " UNION ALL ".join(f"SELECT node FROM s{j}" for j in range(k + 1))
+    return f"""s{k + 1} AS (SELECT node, {k + 1} AS depth, (SELECT count(*) FROM ({seen})) + row_number() OVER (ORDER BY f, node) AS rank FROM (
+      SELECT r.target AS node, min({{'r': s.rank, 'p': r.position}}) AS f FROM r JOIN s{k} s ON s.node = r.source WHERE r.target NOT IN ({seen}) GROUP BY r.target))"""
+
+
+@query(f"""
+WITH {LINKS}, s0 AS (SELECT page_id AS node, 0 AS depth, row_number() OVER (ORDER BY page_id) AS rank FROM pages WHERE page_id % 25 = 3), {hop(0)}, {hop(1)}, {hop(2)}
+SELECT node, CAST(depth AS INTEGER) AS depth, CAST(rank AS BIGINT) AS rank FROM ({" UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(4))}) WHERE rank <= (SELECT count(*) // 12 FROM pages)
+""")
+def crawl_order(spark, d):
+    p = table(spark, d, "pages")
+    return graph.crawl(p.where("page_id % 25 = 3").select(F.col("page_id").alias("node")), page_links(spark, d), 3, p.count() // 12)
+
+
+@query(f"""
+WITH {LINKS}, s1 AS (SELECT DISTINCT target AS node FROM r WHERE source = 0 AND target <> 0),
+s2 AS (SELECT DISTINCT target AS node FROM r JOIN s1 ON source = node WHERE target <> 0 AND target NOT IN (SELECT node FROM s1))
+SELECT 0::BIGINT AS node, 0 AS depth UNION ALL SELECT node, 1 FROM s1 UNION ALL SELECT node, 2 FROM s2
 """)
 def bfs_two_hops(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("source"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("position"))
-    edges = c.withColumn("target", (F.col("source") * 7 + F.col("position")) % 1500)
-    return graph.expand(spark.createDataFrame([(1,)], "node long"), edges, 2)
+    return graph.expand(spark.createDataFrame([(0,)], "node long"), page_links(spark, d), 2)
 
 
 @query(r"""

@@ -124,7 +124,7 @@ class SearchPages(DataSource):
 
 def write_pages(results: DataFrame, order: str, path: str, per_page: int = 10) -> None:
     """Results (url, site, title, language, published) as pages by a unique numeric order, ranks from 1."""
-    ranked = ordinals(results, order, "rank")
+    ranked = ordinals(results, order, name="rank")
     page = F.ceil(F.col("rank") / per_page).cast("int")
     said = F.date_format(F.col("published").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX")
     ranked.select("rank", "url", "site", "title", "language", said.alias("published"), page.alias("page")).repartition("page").write.partitionBy("page").json(path)

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from gleaner.functions import pages, text, urls
-from gleaner.operators import dedup, graph, metrics, records
+from gleaner.operators import dedup, graph, metrics, ordering, records
 from gleaner.sources import tables
 from gleaner.streaming import folds, windows
 
@@ -72,6 +72,23 @@ def test_ranks_and_rates_do_not_depend_on_ranges(spark):
     assert got == {i: sum(0 <= (t - u).total_seconds() < 60 for _, q, _, u in rows if q == k) / 60 for i, k, _, t in rows}
 
 
+def test_within_a_hot_key_that_fills_several_ranges(spark):
+    r = random.Random(6)
+    keys = ["hot" if r.random() < 0.5 else None if r.random() < 0.2 else f"k{r.randint(0, 60)}" for _ in range(2000)]
+    got = {x["id"]: (x["ordinal"], x["repeat"]) for x in dedup.within(spark.createDataFrame(list(enumerate(keys)), "id long, k string").repartition(5), "k", "id", 6).collect()}
+    last: dict = {}
+    for i, k in enumerate(keys):
+        assert got[i] == (i + 1, k in last and i - last[k] <= 6)
+        last[k] = i
+
+
+def test_ordinals_of_several_keys(spark):
+    rows = [(k % 7, k) for k in range(500)]
+    got = [tuple(x) for x in ordering.ordinals(spark.createDataFrame(rows, "a long, b long"), F.desc("a"), "b", parts=5).orderBy("ordinal").collect()]
+    assert got == [(a, b, n) for n, (a, b) in enumerate(sorted(rows, key=lambda x: (-x[0], x[1])), 1)]
+    assert ordering.ordinals(spark.createDataFrame([], "a long"), "a").count() == 0
+
+
 def test_hamming_pairs(spark):
     a = "01" * 32
     b = a[:5] + ("1" if a[5] == "0" else "0") + a[6:]
