@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dom
 from ..operators import selectors
 from ..operators.selectors import Field
-from ..sources import scratch, search
+from ..sources import scratch, search, sitemaps
 from ..sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -99,3 +99,35 @@ def search_pages(spark, d):
     found = search.read_pages(spark, path)
     wanted = found.where(F.col("site").isin("src0.example", "src3.example", "src5.example", "src8.example", "src9.example") & (F.col("site") != "src5.example") & (F.col("published") >= F.lit("2024-03-01").cast("timestamp")) & F.col("language").isin("en", "fr") & (F.col("page") <= 100000))
     return wanted.where("rank % 2 = 0").select("rank", "url", "site", "language", F.col("published").cast("timestamp_ntz").alias("published"), "page")
+
+
+#: Sitemaps of the pages: 20 pages a file, 5 files an index, one root; every tenth file is old, and so is every seventh page.
+MAP = "https://maps.example/"
+
+
+def sitemap_files(spark, d):
+    esc = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    day = F.when(F.col("page_id") % 7 == 0, "2020-01-01").when(F.col("page_id") % 3 == 0, "2024-06-01T10:00:00Z").otherwise("2024-06-02")
+    one = F.concat(F.lit("<url><loc> "), esc, F.lit("</loc><lastmod>"), day, F.lit("</lastmod>"), F.when(F.col("page_id") % 2 == 0, "<priority>0.8</priority><image:image><image:loc>/i.png</image:loc></image:image>").otherwise(""), F.lit("</url>"))
+    head = '<?xml version="1.0"?><{0} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:image="http://www.google.com/schemas/sitemap-image/1.1">'
+    t = table(spark, d, "pages").where("url is not null").select(F.floor(F.col("page_id") / 20).alias("f"), F.struct("page_id", one.alias("x")).alias("e"))
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda e: e["x"]), "")
+    urlsets = t.groupBy("f").agg(text("e").alias("x")).select("f", F.concat(F.lit(MAP + "f"), F.col("f").cast("string")).alias("url"), F.concat(F.lit(head.format("urlset")), "x", F.lit("</urlset>")).alias("xml"))
+    old = F.when(F.col("f") % 10 == 9, "2019-12-31").otherwise("2024-05-05")
+    ref = F.concat(F.lit("<sitemap><loc>/f"), F.col("f").cast("string"), F.lit("</loc><lastmod>"), old, F.lit("</lastmod></sitemap>"))
+    index = urlsets.select(F.floor(F.col("f") / 5).alias("i"), F.struct("f", ref.alias("x")).alias("e")).groupBy("i").agg(text("e").alias("x")).select("i", F.concat(F.lit(MAP + "i"), F.col("i").cast("string")).alias("url"), F.concat(F.lit(head.format("sitemapindex")), "x", F.lit("</sitemapindex>")).alias("xml"))
+    back = F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap><sitemap><loc>/root</loc></sitemap>"))  # the root leads to itself too
+    root = index.select(F.lit(0).alias("r"), F.struct("i", back.alias("x")).alias("e")).groupBy("r").agg(text("e").alias("x")).select(F.lit(MAP + "root").alias("url"), F.concat(F.lit(head.format("sitemapindex")), "x", F.lit("</sitemapindex>")).alias("xml"))
+    return urlsets.select("url", "xml").unionByName(index.select("url", "xml")).unionByName(root)
+
+
+@query(f"""
+WITH p AS (SELECT page_id, url, page_id // 20 AS f, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) - 1 AS place FROM pages WHERE url IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY page_id) AS n FROM p WHERE f % 10 <> 9 AND page_id % 7 <> 0)
+SELECT '{MAP}f' || f AS sitemap, 2 AS depth, url, CASE WHEN page_id % 3 = 0 THEN '2024-06-01T10:00:00Z' ELSE '2024-06-02' END AS lastmod, CASE WHEN page_id % 2 = 0 THEN 0.8e0 END AS priority, CASE WHEN page_id % 2 = 0 THEN '/i.png' ELSE '' END AS images,
+  CAST(place AS INTEGER) AS place FROM k WHERE n <= 15
+""")
+def sitemap_urls(spark, d):
+    roots = spark.createDataFrame([(MAP + "root",), (MAP + "none",)], "url string")
+    got = sitemaps.entries(sitemap_files(spark, d), roots, max_depth=5, max_urls=15, min_lastmod_days=400, now=F.lit("2024-12-31 00:00:00").cast("timestamp"))
+    return got.select("sitemap", "depth", "url", "lastmod", "priority", F.coalesce(F.array_join("images", " "), F.lit("")).alias("images"), "place")
