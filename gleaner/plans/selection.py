@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dom
+from ..functions import dom, urls
 from ..operators import selectors
 from ..operators.selectors import Field
-from ..sources import scratch, search, sitemaps
+from ..sources import robots, scratch, search, sitemaps
 from ..sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -131,3 +131,25 @@ def sitemap_urls(spark, d):
     roots = spark.createDataFrame([(MAP + "root",), (MAP + "none",)], "url string")
     got = sitemaps.entries(sitemap_files(spark, d), roots, max_depth=5, max_urls=15, min_lastmod_days=400, now=F.lit("2024-12-31 00:00:00").cast("timestamp"))
     return got.select("sitemap", "depth", "url", "lastmod", "priority", F.coalesce(F.array_join("images", " "), F.lit("")).alias("images"), "place")
+
+
+#: Robots files by the length of a host's name: group for the agent, group for all, rules with wildcards and end marks.
+ROBOTS = {
+    0: "User-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*?page=\n\nUser-agent: other\nDisallow: /\n",
+    1: "User-agent: other\nUser-agent: gleaner\nCrawl-delay: 2.5\nDisallow: /*5$\nAllow: /fr/*5$\nDisallow: /de\n\nUser-agent: *\nDisallow: /\n",
+    2: "# nothing\nUser-agent: *\nDisallow:\nCrawl-delay: 7\n",
+}
+#: The same rules for the agent: variant, regular expression, length of the path, whether it allows.
+RULES = "(0, '^/en/', 4, false), (0, '^/en/1', 5, true), (0, '^/.*\\?page=', 8, false), (1, '^/.*5$', 4, false), (1, '^/fr/.*5$', 7, true), (1, '^/de', 3, false)"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, length(h) % 4 AS v, CASE WHEN t = '' THEN '/' ELSE t END AS t FROM (
+  SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS h, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^#]*)', 1) AS t FROM pages)),
+m AS (SELECT p.page_id, max_by(r.allow, r.n * 2 + CAST(r.allow AS INT)) AS allow FROM p JOIN (VALUES {RULES}) r(v, pattern, n, allow) ON r.v = p.v AND regexp_matches(p.t, r.pattern) GROUP BY p.page_id)
+SELECT p.page_id, coalesce(m.allow, true) AS allowed, CASE v WHEN 1 THEN 2.5e0 WHEN 2 THEN 7e0 END AS delay FROM p LEFT JOIN m ON m.page_id = p.page_id
+""")
+def robots_rules(spark, d):
+    t = table(spark, d, "pages").select("page_id", urls.part(F.col("url"), 2).alias("host"), F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*([^#]*)", 1).alias("target"))
+    files = t.select("host").distinct().select(F.col("host").alias("site"), F.try_element_at(F.create_map(*[F.lit(x) for kv in ROBOTS.items() for x in kv]), (F.length("host") % 4).cast("int")).alias("text")).where("text is not null")
+    return robots.judged(t, "host", "target", robots.rules(files, "Gleaner/1.0")).select("page_id", "allowed", "delay")
