@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import schema
 from ..operators import schemaless
 from ..sources.tables import table
 
@@ -112,3 +113,21 @@ FROM (SELECT *, list_filter(string_split_regex(said, '\\s+'), lambda z: z <> '')
 """)
 def source_reliability(spark, d):
     return records(spark, d).select("doc_id", F.round(schemaless.reliability(schemaless.fields(F.col("record"))), 6).alias("reliability"))
+
+
+RECORD_SCHEMA = {
+    "type": "object", "required": ["id", "url"], "additionalProperties": False, "$defs": {"count": {"type": "integer", "minimum": 300}},
+    "properties": {
+        "id": {"type": "integer"}, "text": {"type": "string", "maxLength": 2000}, "url": {"type": "string", "pattern": "^https?://"}, "size": {"oneOf": [{"$ref": "#/$defs/count"}, {"type": "string", "minLength": 4}]},
+        "meta": {"anyOf": [{"type": "object", "properties": {"a": {"const": 1}}}, {"type": "array", "items": {"enum": [1, 3]}}]},
+    },
+}
+
+
+@query("""
+SELECT doc_id, concat_ws('; ', CASE WHEN doc_id % 3 = 0 THEN '$.id: required' END, CASE WHEN text IS NULL THEN '$.text: type' WHEN length(text) > 2000 THEN '$.text: maxLength' END,
+  CASE WHEN doc_id % 2 <> 0 THEN '$.url: pattern' END, CASE WHEN NOT CASE doc_id % 4 WHEN 0 THEN coalesce(n_chars >= 300, false) WHEN 1 THEN length(CAST(n_chars AS VARCHAR)) >= 4 ELSE false END THEN '$.size: oneOf' END,
+  CASE WHEN doc_id % 5 IN (1, 2) THEN '$.meta: anyOf' END, CASE WHEN doc_id % 6 < 4 THEN '$.updated: additionalProperties' END) AS faults FROM documents
+""")
+def nested_schema(spark, d):
+    return records(spark, d).select("doc_id", F.concat_ws("; ", schema.record_faults(F.col("record"), RECORD_SCHEMA)).alias("faults"))
