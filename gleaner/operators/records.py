@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality, urls
@@ -121,3 +121,18 @@ def evicted_share(df: DataFrame, key: str, share: float) -> DataFrame:
     """df with `gone` for the oldest share of rows."""
     cut = int(df.count() * share)
     return upto(df, key, F.lit(1), "__n").withColumn("gone", F.col("__n") <= cut).drop("__n")
+
+
+def run_statistics(df: DataFrame, valid: Column, key: str, order: str, quality: Column, least: float) -> tuple[DataFrame, Observation]:
+    """What a run keeps of df, and what it says about the rest when it is written: processed, valid, invalid, duplicates and
+    dropped, taken in the pass that does the work. Invalid rows go first; of valid ones with a key the first by order stays;
+    then those below the least quality go. A null key is no key."""
+    flagged = df.withColumn("__valid", F.coalesce(valid, F.lit(False)))
+    heads = flagged.where(F.col("__valid") & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first"))
+    told = flagged.join(heads, F.col("__valid") & (F.col(key) == F.col("__key")), "left")
+    told = told.withColumn("__twice", F.col("__valid") & F.coalesce(F.col(order) > F.col("__first"), F.lit(False)))
+    told = told.withColumn("__low", F.col("__valid") & ~F.col("__twice") & F.coalesce(quality < least, F.lit(True)))
+    seen = Observation("run")
+    keeps = F.col("__valid") & ~F.col("__twice") & ~F.col("__low")
+    counts = {"processed": keeps, "valid": F.col("__valid"), "invalid": ~F.col("__valid"), "duplicates": F.col("__twice"), "dropped": F.col("__low")}
+    return told.observe(seen, *[F.count_if(c).alias(k) for k, c in counts.items()]).where(keeps).drop("__valid", "__key", "__first", "__twice", "__low"), seen

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extra, more, relational, scalars, schemaless, scoring, selection, streams
+from . import derived, extra, more, relational, scalars, schemaless, scoring, selection, streams
 
-MODULES = (scalars, relational, streams, more, extra, scoring, selection, schemaless)
+MODULES = (scalars, relational, streams, more, extra, scoring, selection, schemaless, derived)
 
 
 def queries() -> dict:

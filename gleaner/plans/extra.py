@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..sources.tables import table
-from .scalars import BASE, literals, rows
+from .scalars import BASE
 
 QUERIES, ORACLE = {}, {}
 
@@ -42,16 +42,6 @@ def epoch_forms(spark, d):
     return table(spark, d, "events").select("event_id", dates.epoch(F.when(e % 2 == 0, e * 100000).otherwise(1_600_000_000_000 + e * 1000)).cast("timestamp_ntz").alias("at_time"))
 
 
-SAID = ("seen 2024-01-05 and 3 days ago", "due 05/02/2024, then yesterday", "nothing", "2024-01-05 again 2024-01-05")
-
-
-@query("SELECT * FROM (VALUES (0, '2024-01-05|3 days ago'), (1, '05/02/2024|yesterday'), (2, ''), (3, '2024-01-05')) t(id, found)")
-def dates_in_text(spark, d):
-    absolute = F.regexp_extract_all("x", F.lit(r"\b(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})\b"), F.lit(0))
-    relative = F.regexp_extract_all(F.lower("x"), F.lit(r"\b(?:[0-9]+ (?:second|minute|hour|day|week|month|year)s? ago|yesterday|today|tomorrow|just now)\b"), F.lit(0))
-    return literals(spark, *SAID).select(F.col("id").cast("int"), F.array_join(F.array_distinct(F.concat(absolute, relative)), "|").alias("found"))
-
-
 @query("""
 SELECT user_id, CASE WHEN gap <= 1 THEN 1.0 WHEN gap <= 7 THEN 0.8 WHEN gap <= 30 THEN 0.6 ELSE 0.3 END::DOUBLE AS score FROM (
   SELECT user_id, date_diff('second', min(ts), max(ts)) // 86400 AS gap FROM events GROUP BY user_id)
@@ -69,14 +59,6 @@ def normalize_arrays(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(roles, ",").alias("roles"), F.count("*").alias("n"))
 
 
-XML = ("<a><b>1</b><b>2</b><c d='x'>y</c></a>", "<a/>")
-
-
-@query("SELECT * FROM (VALUES (0, '1,2', 'y', 'x'), (1, '', '', '')) t(id, b, c, d)")
-def xpath_select(spark, d):
-    return literals(spark, *XML).select(F.col("id").cast("int"), F.array_join(F.xpath("x", F.lit("/a/b/text()")), ",").alias("b"), F.coalesce(F.xpath_string("x", F.lit("/a/c")), F.lit("")).alias("c"), F.coalesce(F.xpath_string("x", F.lit("/a/c/@d")), F.lit("")).alias("d"))
-
-
 @query(r"""
 SELECT page_id, contains(h, 'react') OR contains(h, '__next') AS react, contains(h, 'captcha') OR contains(h, 'cf-') AS guarded, contains(h, 'rel="next"') OR contains(h, 'page=') AS paged, contains(h, 'type="password"') OR contains(h, 'login') AS login FROM (SELECT page_id, lower(html) AS h FROM pages)
 """)
@@ -97,18 +79,6 @@ def profile_confidence(spark, d):
     return table(spark, d, "pages").select("page_id", F.round(score, 6).alias("confidence"), engine.alias("engine"))
 
 
-NESTED = ('{"a": {"b": {"c": [1, [2]]}}}', "[]", "7", "bad")
-
-
-@query("SELECT * FROM (VALUES (0, 5, true), (1, 1, true), (2, 0, true), (3, 0, false)) t(id, depth, ok)")
-def json_depth(spark, d):
-    bare = F.regexp_replace(F.regexp_replace("x", r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
-    steps = F.transform(F.filter(F.split(bare, ""), lambda c: c != ""), lambda c: F.when(c.isin("[", "{"), 1).otherwise(-1))
-    deep = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, s: F.struct((a["now"] + s).alias("now"), F.greatest(a["most"], a["now"] + s).alias("most")))
-    ok = F.try_parse_json("x").isNotNull()
-    return literals(spark, *NESTED).select(F.col("id").cast("int"), deep["most"].alias("depth"), ok.alias("ok"))
-
-
 @query("""
 SELECT user_id, hour, CASE WHEN errors > 0.3 OR latency > 60 THEN 0.8 WHEN errors < 0.1 AND latency < 50 THEN 1.1 ELSE 1.0 END::DOUBLE AS factor FROM (
   SELECT user_id, date_trunc('day', ts) AS hour, count(*) FILTER (WHERE event_type = 'error') / count(*) AS errors, avg(value) AS latency FROM events GROUP BY ALL)
@@ -137,12 +107,6 @@ def token_costs(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.floor(F.length(c) / 4).cast("long").alias("tokens"), (F.coalesce(F.nullif(F.trim(c), F.lit("")), F.col("source"), F.lit("")) != "").alias("has_content"))
 
 
-@query("SELECT id, regexp_replace(lower(trim(x)), '[^a-z0-9]+', '-', 'g') AS lowered, length(x) > 20 AS long FROM " + rows(*SAID))
-def selector_transforms(spark, d):
-    x = F.col("x")
-    return literals(spark, *SAID).select(F.col("id").cast("int"), F.regexp_replace(F.lower(text.collapse(x)), "[^a-z0-9]+", "-").alias("lowered"), (F.length(x) > 20).alias("long"))
-
-
 @query(f"SELECT TIMESTAMP '{BASE}' AS base, count(*) AS n FROM events WHERE ts < TIMESTAMP '{BASE}'")
 def before_base(spark, d):
     return table(spark, d, "events").where(F.col("ts") < F.lit(BASE).cast("timestamp_ntz")).agg(F.lit(BASE).cast("timestamp_ntz").alias("base"), F.count("*").alias("n"))

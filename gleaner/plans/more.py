@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import arrow, dates, network, prices, schema, text
 from ..operators import graph, metrics, records
 from ..sources.tables import table
-from .scalars import literals, rows
 
 QUERIES, ORACLE = {}, {}
 
@@ -93,62 +92,6 @@ def price_stats(spark, d):
     return t
 
 
-@query("SELECT * FROM (VALUES (0, 'https://a.b/c d'), (1, 'https://x.y/z'), (2, 'plain')) t(id, target)")
-def redirect_unwrap(spark, d):
-    t = literals(spark, "//duck.x/l/?uddg=https%3A%2F%2Fa.b%2Fc%20d&rut=1", "//x.y/z", "plain")
-    hidden = F.try_url_decode(F.regexp_extract("x", r"[?&]uddg=([^&]+)", 1))
-    return t.select(F.col("id").cast("int"), F.when(hidden != "", hidden).when(F.col("x").startswith("//"), F.concat(F.lit("https:"), F.col("x"))).otherwise(F.col("x")).alias("target"))
-
-
-GOALS = ("find laptop under $500", "compare cheap phones in Berlin", "best hotel price between 100 and 200", "latest news about AI", "buy Apple camera over $300", "reviews of Sony headphones", "jobs in Paris")
-
-
-@query("SELECT id, " + """CASE WHEN regexp_matches(l, 'laptop|phone|camera|headphone') THEN 'electronics' WHEN regexp_matches(l, 'hotel') THEN 'travel' WHEN regexp_matches(l, 'news') THEN 'news' WHEN regexp_matches(l, 'job') THEN 'jobs' ELSE 'general' END AS category,
-  CASE WHEN contains(l, 'apple') THEN 'apple' WHEN contains(l, 'sony') THEN 'sony' END AS brand,
-  CASE WHEN regexp_matches(l, 'compare|versus') THEN 'compare' WHEN regexp_matches(l, 'buy|under|cheap|price') THEN 'buy' WHEN regexp_matches(l, 'review') THEN 'review' ELSE 'search' END AS intent,
-  TRY_CAST(coalesce(nullif(regexp_extract(l, '(?:over|above)\\s*\\$?([0-9]+)', 1), ''), nullif(regexp_extract(l, 'between\\s*\\$?([0-9]+)', 1), '')) AS DOUBLE) AS low,
-  TRY_CAST(coalesce(nullif(regexp_extract(l, '(?:under|below)\\s*\\$?([0-9]+)', 1), ''), nullif(regexp_extract(l, 'between\\s*\\$?[0-9]+\\s*(?:and|-|to)\\s*\\$?([0-9]+)', 1), '')) AS DOUBLE) AS high,
-  nullif(regexp_extract(x, '\\bin ([A-Z][a-z]+)', 1), '') AS place FROM (SELECT id, x, lower(x) AS l FROM """ + rows(*GOALS) + ")")
-def goal_parse(spark, d):
-    x, low = F.col("x"), F.lower("x")
-    got = lambda p: F.nullif(F.regexp_extract(low, p, 1), F.lit(""))
-    category = graph.first_rule([(low.rlike("laptop|phone|camera|headphone"), "electronics"), (low.rlike("hotel"), "travel"), (low.rlike("news"), "news"), (low.rlike("job"), "jobs")], "general")
-    intent = graph.first_rule([(low.rlike("compare|versus"), "compare"), (low.rlike("buy|under|cheap|price"), "buy"), (low.rlike("review"), "review")], "search")
-    return literals(spark, *GOALS).select(
-        F.col("id").cast("int"), category.alias("category"), F.when(low.contains("apple"), "apple").when(low.contains("sony"), "sony").alias("brand"), intent.alias("intent"),
-        F.coalesce(got(r"(?:over|above)\s*\$?([0-9]+)"), got(r"between\s*\$?([0-9]+)")).try_cast("double").alias("low"),
-        F.coalesce(got(r"(?:under|below)\s*\$?([0-9]+)"), got(r"between\s*\$?[0-9]+\s*(?:and|-|to)\s*\$?([0-9]+)")).try_cast("double").alias("high"),
-        F.nullif(F.regexp_extract(x, r"\bin ([A-Z][a-z]+)", 1), F.lit("")).alias("place"),
-    )
-
-
-@query("SELECT id, q FROM (SELECT id, unnest([x, x || ' reviews', x || ' price', 'best ' || x]) AS q FROM " + rows(*GOALS) + ")")
-def query_expansion(spark, d):
-    x = F.col("x")
-    made = F.array_distinct(F.array(x, F.concat(x, F.lit(" reviews")), F.concat(x, F.lit(" price")), F.concat(F.lit("best "), x)))
-    return literals(spark, *GOALS).select(F.col("id").cast("int"), F.explode(made).alias("q"))
-
-
-PAYLOADS = ('{"data": [{"a": 1}, {"a": 2}]}', '{"a": 3}', "[]", "bad")
-
-
-@query("SELECT * FROM (VALUES (0, '1'), (1, '3'), (2, NULL), (3, NULL)) t(id, a)")
-def payload_unwrap(spark, d):
-    v = F.try_parse_json("x")
-    return literals(spark, *PAYLOADS).select(F.col("id").cast("int"), F.coalesce(F.try_variant_get(v, "$.data[0].a", "string"), F.try_variant_get(v, "$.a", "string")).alias("a"))
-
-
-HAR = '{"log": {"entries": [{"request": {"url": "http://a", "method": "GET"}, "response": {"status": 200}}, {"request": {"url": "http://a", "method": "POST"}, "response": {"status": 201}}, {"request": {"url": "http://a", "method": "GET"}, "response": {"status": 500}}]}}'
-
-
-@query("SELECT * FROM (VALUES ('http://a', 'GET', 200), ('http://a', 'POST', 201), ('http://b', 'GET', NULL)) t(url, method, status)")
-def har_replay(spark, d):
-    entry = "struct<log:struct<entries:array<struct<request:struct<url:string,method:string>,response:struct<status:int>>>>>"
-    e = literals(spark, HAR).select(F.posexplode(F.from_json("x", entry)["log"]["entries"]).alias("k", "e")).groupBy("e.request.url", "e.request.method").agg(F.min_by("e.response.status", "k").alias("status"))
-    asked = spark.createDataFrame([("http://a", "GET"), ("http://a", "POST"), ("http://b", "GET")], "url string, method string")
-    return asked.join(e, ["url", "method"], "left")
-
-
 @query("SELECT user_id, coalesce(min_by(event_type, p) FILTER (WHERE value < 20), 'fallback') AS chosen FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END * 1000000 + event_id AS p FROM events) GROUP BY user_id")
 def first_success_by_priority(spark, d):
     e = F.col("event_type")
@@ -215,5 +158,3 @@ def search_filters(spark, d):
     c = table(spark, d, "customer").where(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"))
     left = c.join(table(spark, d, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return left.select("c_custkey", text.slug(F.col("c_name")).alias("slug"), (F.col("c_acctbal") > 0).alias("active"))
-
-

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import categories, coerce, dates, pages, prices, text, urls
@@ -22,14 +21,6 @@ def query(sql: str | None = None):
     return add
 
 
-def literals(spark: SparkSession, *values: str) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id long, x string")
-
-
-def rows(*values: str) -> str:
-    return "(VALUES " + ", ".join(f"({k}, '" + v.replace("'", "''") + "')" for k, v in enumerate(values)) + ") t(id, x)"
-
-
 @query("""
 WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, clean, string_split(clean, ' ') AS w FROM c)
 SELECT doc_id, clean, len(list_filter(w, lambda x: x <> '')) AS n_tokens,
@@ -182,14 +173,6 @@ def price_parse(spark, d):
     return t.select("l_orderkey", "l_linenumber", "shown", "p.value", "p.currency", "p.usd", "p.is_sale")
 
 
-PRICES = ("$1,234.56", "1.234,56 €", "€1,50", "1,50 EUR", "R$ 10", "Sale: $19.99", "no price", "£ 12", "-5.5 usd", "1,234,567")
-
-
-@query("SELECT id, CAST(v AS DOUBLE) AS value, currency, CAST(u AS DOUBLE) AS usd, is_sale FROM (VALUES (0, 1234.56, 'USD', 1234.56, false), (1, 1234.56, 'EUR', 1135.8, false), (2, 1.5, 'EUR', 1.38, false), (3, 150.0, 'EUR', 138.0, false), (4, 10.0, 'USD', 10.0, false), (5, 19.99, 'USD', 19.99, true), (6, NULL, 'USD', NULL, false), (7, 12.0, 'GBP', 9.48, false), (8, -5.5, 'USD', -5.5, false), (9, 1234567.0, 'USD', 1234567.0, false)) t(id, v, currency, u, is_sale)")
-def price_literals(spark, d):
-    return literals(spark, *PRICES).withColumn("p", prices.normalized(F.col("x"))).select("id", "p.value", "p.currency", "p.usd", "p.is_sale")
-
-
 @query("""
 SELECT p_partkey, round(p_retailprice / 0.92 * 0.79, 6) AS eur_to_gbp, round(p_retailprice / 1.0 * 149.5, 6) AS usd_to_jpy FROM part
 """)
@@ -227,18 +210,6 @@ def date_parse_formats(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.date_format(dates.absolute(shown), "yyyy-MM-dd").alias("day"))
 
 
-DATES = ("3 days ago", "2 months ago", "last week", "yesterday at 3:30 pm", "tomorrow", "just now", "5 min ago", "1 year ago", "01/02/2024", "2024-1-5", "March 3, 2024", "nonsense", "13:45 today", "next week")
-
-
-@query("""
-SELECT id, CAST(x AS TIMESTAMP) AS at FROM (VALUES (0, '2024-01-28 12:00:00'), (1, '2023-12-02 12:00:00'), (2, '2024-01-22 12:00:00'), (3, '2024-01-30 15:30:00'), (4, '2024-02-01 00:00:00'), (5, '2024-01-31 12:00:00'),
- (6, '2024-01-31 11:55:00'), (7, '2023-01-31 12:00:00'), (8, '2024-02-01 00:00:00'), (9, '2024-01-05 00:00:00'), (10, '2024-03-03 00:00:00'), (11, '2024-01-31 12:00:00'), (12, '2024-01-31 13:45:00'), (13, '2024-02-05 12:00:00')) t(id, x)
-""")
-def date_relative(spark, d):
-    base = F.lit(BASE).cast("timestamp")
-    return literals(spark, *DATES).select("id", dates.normalized(F.col("x"), base).cast("timestamp_ntz").alias("at"))
-
-
 @query("""
 SELECT o_orderkey, CASE WHEN days <= 1 THEN 1.0 WHEN days <= 7 THEN 0.9 WHEN days <= 30 THEN 0.7 WHEN days <= 90 THEN 0.5 WHEN days <= 365 THEN 0.3 ELSE 0.1 END::DOUBLE AS recency, days < 0 OR days < 90 AS live
 FROM (SELECT o_orderkey, CAST(floor((epoch(TIMESTAMP '1998-08-02 00:00:00') - epoch(o_orderdate)) / 86400) AS BIGINT) AS days FROM orders)
@@ -249,32 +220,9 @@ def date_buckets(spark, d):
     return table(spark, d, "orders").select("o_orderkey", dates.recency(c, base).alias("recency"), (~dates.expired(c + F.expr("INTERVAL 1 SECOND"), base, 90 * 86400 - 1) & (c + F.expr("INTERVAL 90 DAY") > base)).alias("live"))
 
 
-BOOLEANS = ("Yes", "0.0", "maybe", " ON ", "block", "2", "", "deny")
-
-
-@query("SELECT * FROM (VALUES (0, true), (1, false), (2, NULL), (3, true), (4, false), (5, true), (6, NULL), (7, false)) t(id, b)")
-def normalize_booleans(spark, d):
-    return literals(spark, *BOOLEANS).select("id", coerce.boolean(F.col("x")).alias("b"))
-
-
 VALUES = ("555-123-4567", "1 (555) 123-4567", "+44 20 7946 0958", "12.5 KG", "1,200 m", "weight: 7", "abc", "12.5", "true", "None")
 
 
-@query("SELECT * FROM (VALUES (0, '+15551234567', 555.0, '-x'), (1, '+15551234567', 1.0, '-x'), (2, '+442079460958', 44.0, '-x')) t(id, p, v, u) WHERE false UNION ALL " + """
-SELECT id, CASE WHEN length(g) = 10 THEN '+1' || g WHEN length(g) >= 10 THEN '+' || g ELSE x END AS p,
-  CASE WHEN m <> '' THEN TRY_CAST(replace(m, ',', '') AS DOUBLE) ELSE TRY_CAST(regexp_replace(x, '[^0-9.\\-]', '', 'g') AS DOUBLE) END AS v,
-  CASE WHEN m <> '' THEN lower(regexp_extract(x, '([0-9.,]+)\\s*([a-zA-Z°%µμ]+)', 2)) END AS u
-FROM (SELECT id, x, regexp_replace(x, '[^0-9]', '', 'g') AS g, regexp_extract(x, '([0-9.,]+)\\s*([a-zA-Z°%µμ]+)', 1) AS m FROM """ + rows(*VALUES) + ")")
-def normalize_values(spark, d):
-    m = coerce.measurement(F.col("x"))
-    return literals(spark, *VALUES).select(F.col("id").cast("int"), coerce.phone(F.col("x")).alias("p"), m["value"].alias("v"), m["unit"].alias("u"))
-
-
-@query("SELECT id, CASE WHEN lower(trim(x)) IN ('none', 'null', '') THEN 'null' WHEN lower(trim(x)) IN ('true', 'false') THEN 'boolean' WHEN regexp_matches(x, '^\\s*[+-]?[0-9]+\\s*$') THEN 'integer' WHEN TRY_CAST(x AS DOUBLE) IS NOT NULL THEN 'float' ELSE 'string' END AS kind, coalesce(TRY_CAST(regexp_replace(x, '[^0-9.\\-]', '', 'g') AS DOUBLE), 0.0) AS number FROM " + rows(*VALUES))
-def literal_kinds(spark, d):
-    return literals(spark, *VALUES).select(F.col("id").cast("int"), coerce.kind(F.col("x")).alias("kind"), coerce.coerced(F.col("x"), "number").alias("number"))
-
-
 @query("SELECT event_id, least(60.0, pow(2.0, event_id % 10)) AS delay, (400 + event_id % 110) IN (408, 425, 429, 500, 502, 503, 504) AS again FROM events")
 def retry_backoff(spark, d):
     return table(spark, d, "events").select("event_id", coerce.backoff(F.col("event_id") % 10).alias("delay"), coerce.retryable(400 + F.col("event_id") % 110).alias("again"))
@@ -307,19 +255,6 @@ def page_type_score(spark, d):
     return t.select("page_id", "p.type", "p.score")
 
 
-HTML = (
-    '<meta property="og:title" content="A"><meta property="og:title" content="B"><meta property="og:type" content="x"><script type="application/ld+json">{"@type": "Product"}</script>',
-    "<p class='item big'> one <b>two</b></p><p>three</p><script type='application/ld+json'>{bad</script>",
-    "",
-)
-
-
-@query("SELECT * FROM (VALUES (0, 'title=B,type=x', 1, ''), (1, '', 0, 'one two'), (2, '', 0, '')) t(id, og, n_ld, item)")
-def meta_maps(spark, d):
-    og = F.array_join(F.array_sort(F.transform(F.map_entries(pages.meta_map(F.col("x"), "property", "og:")), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
-    return literals(spark, *HTML).select(F.col("id").cast("int"), og.alias("og"), F.size(pages.json_ld(F.col("x"))).alias("n_ld"), F.array_join(pages.css_text(F.col("x"), "p", "item"), ",").alias("item"))
-
-
 @query("SELECT event_id, " + "CASE " + " ".join(f"WHEN regexp_matches(m, '{'|'.join(p)}') THEN '{n}'" for n, p, _, _ in text.FAILURES) + " ELSE 'unknown' END AS category, " + "CASE " + " ".join(f"WHEN regexp_matches(m, '{'|'.join(p)}') THEN '{s}'" for _, p, s, _ in text.FAILURES) + " ELSE 'medium' END AS severity, CASE WHEN contains(m, 'timeout') THEN 'timeout' WHEN contains(m, 'connection') THEN 'network_error' WHEN contains(m, '403') OR contains(m, '429') THEN 'http_error' WHEN contains(m, 'captcha') OR contains(m, 'blocked') THEN 'blocking' ELSE 'engine_error' END AS kind FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'connection_reset by peer' WHEN 1 THEN 'status 429' WHEN 2 THEN 'captcha shown' WHEN 3 THEN 'paywall' WHEN 4 THEN 'browser_crash' ELSE props END AS m FROM events)")
 def failure_classify(spark, d):
     turn, m = F.col("event_id") % 6, F.col("props")
@@ -341,13 +276,3 @@ def category_documents(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("x"))
     best = categories.best(F.col("x"))
     return t.select("doc_id", best["name"].alias("category"), best["score"].alias("confidence"))
-
-
-LOGS = ('2024-01-02T03:04:05Z INFO worker started', '{"level": "error", "msg": "x"}', "garbage", "2024-01-02T03:04:06Z WARN slow page=3")
-
-
-@query("SELECT * FROM (VALUES (0, '2024-01-02T03:04:05Z', 'INFO', 'worker started'), (1, NULL, 'error', 'x'), (2, NULL, NULL, NULL), (3, '2024-01-02T03:04:06Z', 'WARN', 'slow page=3')) t(id, seen_at, level, message)")
-def log_parse(spark, d):
-    pattern = r"^(\S+Z) ([A-Z]+) (.*)$"
-    got = lambda k: F.nullif(F.regexp_extract("x", pattern, k), F.lit(""))
-    return literals(spark, *LOGS).select(F.col("id").cast("int"), got(1).alias("seen_at"), F.coalesce(got(2), F.get_json_object("x", "$.level")).alias("level"), F.coalesce(got(3), F.get_json_object("x", "$.msg")).alias("message"))

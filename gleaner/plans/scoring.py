@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import categories, prices, quality
-from ..operators import records
+from ..functions import categories, extraction, prices, quality
+from ..operators import learned, records
 from ..sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -135,3 +135,48 @@ def category_counts(spark, d):
     t = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("x"), "p_brand", F.when(F.col("p_size") % 4 == 0, "plated goods").otherwise("none").alias("src"))
     got = categories.counted(F.col("x"), TAXONOMY, F.col("src"), [F.col("p_brand")])
     return t.select("p_partkey", got.alias("g")).select("p_partkey", "g.category", "g.confidence", F.array_join("g.matched", " ").alias("matched"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, sha256(text) AS h, text IS NOT NULL AND lang IS NOT NULL AND n_chars >= 40 AS valid, least(1e0, n_chars / 800e0) AS quality FROM documents),
+f AS (SELECT *, valid AND row_number() OVER (PARTITION BY valid, h ORDER BY doc_id) > 1 AS twice FROM d)
+SELECT count(*) FILTER (coalesce(valid, false) AND NOT twice AND quality >= 0.2) AS processed, count(*) FILTER (coalesce(valid, false)) AS valid, count(*) FILTER (NOT coalesce(valid, false)) AS invalid,
+  count(*) FILTER (coalesce(valid AND twice, false)) AS duplicates, count(*) FILTER (coalesce(valid AND NOT twice AND quality < 0.2, false)) AS dropped FROM f
+""")
+def run_counts(spark, d):
+    t = table(spark, d, "documents").withColumn("h", F.sha2("text", 256))
+    valid = F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("n_chars") >= 40)
+    kept, seen = records.run_statistics(t, valid, "h", "doc_id", F.least(F.lit(1.0), F.col("n_chars") / 800), 0.2)
+    kept.write.format("noop").mode("overwrite").save()  # the run itself; what it counted comes with it
+    return spark.createDataFrame([tuple(seen.get[k] for k in ("processed", "valid", "invalid", "duplicates", "dropped"))], "processed long, valid long, invalid long, duplicates long, dropped long")
+
+
+@query()
+def learned_categories(spark, d):
+    """Languages as categories: taught by documents whose hash of the id isn't 2 modulo 4, and at most learned.SAMPLE of them."""
+    t = table(spark, d, "documents").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = learned.trained(t.where(~held), "text", "lang")
+    return learned.predicted(model, t, "text").select("doc_id", held.alias("held_out"), "predicted", F.round("probability", 6).alias("probability"))
+
+
+#: Pages with what sites say of them: products in JSON-LD, articles in both, the rest nothing.
+SAID = """
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN '<script type="application/ld+json">{"@type": "Product", "name": "n' || page_id || '", "price": "' || page_id % 90 || '.50", "sku": ' || page_id || ', "rating": {"value": 4}}</script>'
+  WHEN 1 THEN '<script type="application/ld+json">[{"@type": ["Article"], "title": "t' || page_id || '", "keywords": ["a", "b"]}, "x"]</script><meta property="og:title" content="og ' || page_id || '"><meta property="og:type" content="article">' ELSE '' END || html AS html FROM pages
+"""
+
+
+@query(f"""
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'n' || page_id WHEN 1 THEN 'og ' || page_id END AS name, CASE WHEN page_id % 3 = 0 THEN page_id % 90 + 0.5e0 END AS price, CASE WHEN page_id % 3 = 0 THEN page_id END AS sku,
+  CASE WHEN page_id % 3 = 1 THEN 't' || page_id END AS title, CASE WHEN page_id % 3 = 1 THEN 'a b' END AS keywords, CASE WHEN page_id % 3 = 1 THEN 'article' END AS category FROM pages
+""")
+def extracted_fields(spark, d):
+    extraction.register(spark)
+    table(spark, d, "pages").createOrReplaceTempView("scoring_pages")
+    spark.sql(SAID.replace("FROM pages", "FROM scoring_pages")).createOrReplaceTempView("scoring_said")
+    return spark.sql("""
+        SELECT p.page_id, a.*, b.title, array_join(b.keywords, ' ') AS keywords, b.category FROM scoring_said p,
+          LATERAL extract_fields(p.html, '{"properties": {"name": {"type": "string"}, "price": {"type": "number"}, "sku": {"type": "integer"}}}') a,
+          LATERAL extract_fields(p.html, '{"properties": {"title": {}, "keywords": {"type": "array", "items": {"type": "string"}}, "category": {}}}') b
+    """)
