@@ -125,9 +125,13 @@ def upto(value: Column, table: tuple[tuple[float, float], ...], beyond: float) -
 
 def freshness(now: Column, published: Column, updated: Column, *others: Column) -> Column:
     """Age of the latest date and how soon an update came; all are timestamps."""
-    latest = F.greatest(published, updated, *others)
-    recency = F.when(latest.isNull(), 0.3).otherwise(upto(days_between(latest, now), RECENCY, 0.1))
-    update = F.when(published.isNull() | updated.isNull(), 0.5).otherwise(upto(days_between(published, updated), UPDATES, 0.4))
+    return freshness_of(days_between(F.greatest(published, updated, *others), now), days_between(published, updated))
+
+
+def freshness_of(age: Column, gap: Column) -> Column:
+    """freshness() from the days since the latest date and those from publication to update; null where there is none."""
+    recency = F.when(age.isNull(), 0.3).otherwise(upto(age, RECENCY, 0.1))
+    update = F.when(gap.isNull(), 0.5).otherwise(upto(gap, UPDATES, 0.4))
     return F.least(recency * FRESHNESS["recency"] + update * FRESHNESS["update_frequency"], F.lit(1.0))
 
 

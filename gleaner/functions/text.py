@@ -28,7 +28,12 @@ FAILURES = (
 
 def is_blank(c: Column) -> Column:
     """Missing as the record operators mean it: null, or nothing but white space."""
-    return c.isNull() | (F.regexp_replace(c.cast("string"), r"\s+", "") == "")
+    return c.isNull() | ~c.cast("string").rlike(r"\S")
+
+
+def is_zero(c: Column) -> Column:
+    """Whether a value, read as text, is a zero; false for null. No cast is tried, as one that fails is dear."""
+    return F.coalesce(c.cast("string").rlike(r"^\s*[+-]?(?:0+\.?0*|\.0+)(?:[eE][+-]?\d+)?\s*$"), F.lit(False))
 
 
 def collapse(c: Column) -> Column:

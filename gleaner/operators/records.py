@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality, urls
-from ..functions.text import is_blank
+from ..functions.text import is_blank, is_zero
 from .ordering import upto
 
 
 def validated(df: DataFrame, errors: dict[str, Column], warnings: dict[str, Column]) -> DataFrame:
-    """df with errors, warnings (names of the rules that hold), valid and score."""
+    """df with errors, warnings (names of the rules that hold), valid and score. The arrays are made in a projection of their
+    own; what follows reads them."""
     names = lambda rules: F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()])) if rules else F.array().cast("array<string>")
     out = df.withColumns({"errors": names(errors), "warnings": names(warnings)})
     return out.withColumns({"valid": F.size("errors") == 0, "score": quality.validity(F.size("errors"), F.size("warnings"))})
@@ -33,7 +34,7 @@ def typed_rules(fields: dict[str, Column], kind: str, now: Column) -> tuple[dict
     has = lambda *names: all(n in fields for n in names)
     said = lambda n: F.coalesce(fields[n] != "", F.lit(False))
     for n in REQUIRED.get(kind, ()):
-        errors[f"{n} missing"] = is_blank(fields[n]) | (fields[n].cast("string").try_cast("double") == 0).eqNullSafe(True) if has(n) else F.lit(True)
+        errors[f"{n} missing"] = is_blank(fields[n]) | is_zero(fields[n]) if has(n) else F.lit(True)
     for n in filter(has, CONTENTS):
         warnings[f"{n} short"] = said(n) & (F.length(fields[n]) < SHORT)
         warnings[f"{n} long"] = F.length(fields[n]) > LONG

@@ -60,14 +60,16 @@ SELECT id, round(consistency, 6) AS consistency, round(freshness, 6) AS freshnes
 FROM s
 """)
 def quality_dimensions(spark, d):
-    c, flag = F.col, F.col("flag") == "R"
-    made = {
-        "consistency": quality.consistency(c("price"), c("original"), c("discount"), c("rating"), c("reviews"), c("published"), c("updated"), c("brand"), c("name"), F.lit("USD")),
-        "freshness": quality.freshness(c("now"), c("published"), c("updated")),
-        "richness": quality.richness([flag, c("size") > 25, c("size") > 40, F.lit(False), F.lit(False)], c("images"), c("videos"), [flag, c("size") > 40]),
-    }
-    t = items(spark, d).select("id", *[F.round(v, 9).alias(k) for k, v in made.items()])
-    return t.select("id", *[F.round(k, 6).alias(k) for k in made], F.concat_ws("; ", quality.issues(**{k: F.col(k) for k in made})).alias("issues"))
+    """In steps, each a projection of its own: what several scores read is a column first, so that no generated method is so
+    large that the JVM doesn't compile it."""
+    c = F.col
+    given = items(spark, d)
+    days = given.withColumns({"age": quality.days_between(F.greatest("published", "updated"), c("now")), "gap": quality.days_between(c("published"), c("updated")), "returned": c("flag") == "R", "media": c("images") + 2 * c("videos"), "saved": (c("original") - c("price")) / F.nullif("original", F.lit(0)) * 100})
+    fresh = days.withColumn("freshness", F.round(quality.freshness_of(c("age"), c("gap")), 9))
+    rich = fresh.withColumn("richness", F.round(quality.richness([c("returned"), c("size") > 25, c("size") > 40, F.lit(False), F.lit(False)], c("media"), F.lit(0), [c("returned"), c("size") > 40]), 9))
+    made = rich.withColumn("consistency", F.round(quality.consistency(c("price"), c("original"), c("discount"), c("rating"), c("reviews"), c("published"), c("updated"), c("brand"), c("name"), F.lit("USD")), 9))
+    names = ("consistency", "freshness", "richness")
+    return made.select("id", *[F.round(k, 6).alias(k) for k in names], F.concat_ws("; ", quality.issues(**{k: c(k) for k in names})).alias("issues"))
 
 
 @query(f"""
@@ -161,7 +163,7 @@ def learned_categories(spark, d):
 
 
 #: Pages with what sites say of them: products in JSON-LD, articles in both, the rest nothing.
-SAID = """
+SITE_SAID = """
 SELECT page_id, CASE page_id % 3 WHEN 0 THEN '<script type="application/ld+json">{"@type": "Product", "name": "n' || page_id || '", "price": "' || page_id % 90 || '.50", "sku": ' || page_id || ', "rating": {"value": 4}}</script>'
   WHEN 1 THEN '<script type="application/ld+json">[{"@type": ["Article"], "title": "t' || page_id || '", "keywords": ["a", "b"]}, "x"]</script><meta property="og:title" content="og ' || page_id || '"><meta property="og:type" content="article">' ELSE '' END || html AS html FROM pages
 """
@@ -174,7 +176,7 @@ SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'n' || page_id WHEN 1 THEN 'og ' ||
 def extracted_fields(spark, d):
     extraction.register(spark)
     table(spark, d, "pages").createOrReplaceTempView("scoring_pages")
-    spark.sql(SAID.replace("FROM pages", "FROM scoring_pages")).createOrReplaceTempView("scoring_said")
+    spark.sql(SITE_SAID.replace("FROM pages", "FROM scoring_pages")).createOrReplaceTempView("scoring_said")
     return spark.sql("""
         SELECT p.page_id, a.*, b.title, array_join(b.keywords, ' ') AS keywords, b.category FROM scoring_said p,
           LATERAL extract_fields(p.html, '{"properties": {"name": {"type": "string"}, "price": {"type": "number"}, "sku": {"type": "integer"}}}') a,
