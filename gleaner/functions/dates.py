@@ -55,3 +55,16 @@ def epoch(value: Column) -> Column:
 
 def expired(created: Column, base: Column, ttl_seconds: int) -> Column:
     return F.unix_seconds(created.cast("timestamp")) < F.unix_seconds(base) - ttl_seconds
+
+
+#: Forms of dates with the month first where that is in doubt, in the order they are tried.
+MONTH_FIRST = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy", "d-M-yyyy", "yyyy/M/d", "d.M.yyyy", "d MMM yyyy", "MMM d, yyyy")
+
+
+def month_first(text: Column, base: Column) -> Column:
+    """A text as a time: ISO forms, seconds (10 digits) or milliseconds (13) since 1970, dates with the month first, or a time
+    before the base; null for anything else."""
+    bare = F.trim(text)
+    number = F.when(bare.rlike("^[0-9]{10}$|^[0-9]{13}$"), bare).try_cast("long")
+    ago = F.when(F.lower(bare).contains("a moment ago"), shifted(base, F.lit(-30))).when(bare.rlike(r"(?i)ago|just now"), relative(bare, base))
+    return F.coalesce(F.when(F.length(bare) == 13, F.timestamp_millis(number)).when(F.length(bare) == 10, F.timestamp_seconds(number)), absolute(bare, MONTH_FIRST), ago)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse, count_of
+from .text import bound, collapse, count_of
 
 #: Page types in order, with the words that speak for them.
 PAGE_TYPES = (
@@ -68,3 +68,29 @@ def css_text(html: Column, tag: str, css_class: str | None = None) -> Column:
     cls = rf"""[^>]*class=["'][^"']*\b{css_class}\b[^"']*["']""" if css_class else ""
     found = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b{cls}[^>]*>(.*?)</{tag}>"), F.lit(1))
     return F.transform(found, lambda x: collapse(F.regexp_replace(x, r"<[^>]+>", "")))
+
+
+#: Kinds of sites in order, with the words that speak for them.
+SITE_KINDS = {
+    "ecommerce": ("product", "cart", "checkout", "price", "buy now", "add to cart", "shop", "store"), "news": ("article", "news", "blog", "post", "published", "author", "headline"),
+    "social": ("profile", "followers", "following", "tweet", "post", "share", "like"), "forum": ("thread", "forum", "reply", "topic", "discussion", "comment"),
+    "documentation": ("documentation", "docs", "api reference", "guide", "tutorial"), "job": ("job", "career", "position", "hiring", "apply", "salary"),
+    "real_estate": ("property", "rent", "sale", "bedroom", "bathroom", "sqft", "listing"), "travel": ("hotel", "flight", "booking", "vacation", "resort", "trip"),
+    "classified": ("classified", "listing", "for sale", "wanted", "marketplace"),
+}
+
+
+def site_kind(html: Column) -> Column:
+    """struct(score, order, kind) of the kind most of whose words a page holds, the first of equals; `unknown` without any."""
+
+    def of(low: Column) -> Column:
+        rows = []
+        for k, (name, words) in enumerate(SITE_KINDS.items()):
+            score = F.lit(0)
+            for w in words:
+                score = score + F.contains(low, F.lit(w)).cast("int")
+            rows.append(F.struct(score.alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("kind")))
+        return F.array_max(F.array(*rows))
+
+    best = bound(F.lower(html), of)
+    return F.when(best["score"] > 0, best).otherwise(F.struct(F.lit(0).alias("score"), F.lit(-99).alias("order"), F.lit("unknown").alias("kind")))

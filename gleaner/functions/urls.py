@@ -93,3 +93,10 @@ def file_stem(url: Column) -> Column:
     host = F.replace(domain(url), F.lit("."), F.lit("_"))
     path = F.substring(F.regexp_replace(F.regexp_replace(part(url, 3), "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""), 1, 50)
     return F.substring(F.when(path == "", host).otherwise(F.concat_ws("_", host, path)), 1, 100)
+
+
+def with_scheme(value: Column) -> Column:
+    """An address without white space at its ends, https before it where it has no scheme; null where that has no host."""
+    bare = F.regexp_replace(value, r"^\s+|\s+$", "")
+    full = F.when(bare.rlike("^(https?://|ftp://|mailto:)"), bare).when(bare.startswith("//"), F.concat(F.lit("https:"), bare)).otherwise(F.concat(F.lit("https://"), bare))
+    return F.when((bare != "") & (part(full, 1) != "") & (part(full, 2) != ""), full)

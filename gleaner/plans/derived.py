@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import coerce, dates, dom, pages, text
-from ..operators import graph, selectors
+from ..functions import coerce, dates, dom, pages, urls
+from ..operators import graph, records, selectors
 from ..operators.selectors import Field
 from ..sources.tables import table
 
@@ -201,3 +201,66 @@ SELECT page_id, CASE page_id % 2 WHEN 0 THEN '<meta property="og:title" content=
 def meta_maps(spark, d):
     og = F.array_join(F.array_sort(F.transform(F.map_entries(pages.meta_map(F.col("html"), "property", "og:")), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
     return made(spark, d, "pages", TAGGED).select("page_id", og.alias("og"), F.size(pages.json_ld(F.col("html"))).cast("long").alias("n_ld"), F.array_join(pages.css_text(F.col("html"), "p", "item"), ",").alias("item"))
+
+
+BARE_URLS = "SELECT page_id, url, CASE page_id % 6 WHEN 0 THEN ' ' || url || ' ' WHEN 1 THEN regexp_replace(url, '^[a-z]+://', '') WHEN 2 THEN regexp_replace(url, '^[a-z]+:', '') WHEN 3 THEN 'mailto:a@b.example' WHEN 4 THEN '  ' ELSE 'https://' END AS x FROM pages"
+
+
+@query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'https://' || regexp_replace(url, '^[a-z]+://', '') WHEN 2 THEN 'https://' || regexp_replace(url, '^[a-z]+://', '') END AS address FROM pages")
+def normalize_urls(spark, d):
+    return made(spark, d, "pages", BARE_URLS).select("page_id", urls.with_scheme(F.col("x")).alias("address"))
+
+
+def kind_sql() -> str:
+    count = lambda words: " + ".join(f"CAST(contains(h, '{w}') AS INT)" for w in words)
+    rows = ", ".join(f"{{'s': {count(words)}, 'o': {-k}, 'n': '{name}'}}" for k, (name, words) in enumerate(pages.SITE_KINDS.items()))
+    return f"SELECT page_id, CASE WHEN b.s > 0 THEN b.n ELSE 'unknown' END AS kind, CAST(b.s AS INTEGER) AS score FROM (SELECT page_id, list_max([{rows}]) AS b FROM (SELECT page_id, lower(html) AS h FROM pages))"
+
+
+@query(kind_sql())
+def site_kinds(spark, d):
+    k = pages.site_kind(F.col("html"))
+    return table(spark, d, "pages").select("page_id", k.alias("k")).select("page_id", "k.kind", "k.score")
+
+
+SAID_MONTH_FIRST = """
+SELECT event_id, CASE event_id % 10 WHEN 0 THEN (event_id % 12 + 1) || '/' || (event_id % 28 + 1) || '/2023' WHEN 1 THEN (event_id % 28 + 1) || '-' || (event_id % 12 + 1) || '-2023' WHEN 2 THEN '2023/' || (event_id % 12 + 1) || '/' || (event_id % 28 + 1)
+  WHEN 3 THEN (event_id % 28 + 1) || '.' || (event_id % 12 + 1) || '.2023' WHEN 4 THEN (event_id % 28 + 1) || ' Mar 2023' WHEN 5 THEN 'Nov ' || (event_id % 28 + 1) || ', 2023' WHEN 6 THEN (1700000000 + event_id) || '' WHEN 7 THEN (1700000000 + event_id) || '500'
+  WHEN 8 THEN (event_id % 40) || ' hours ago' ELSE event_type END AS x FROM events
+"""
+
+
+@query(f"""
+SELECT event_id, CASE event_id % 10 WHEN 0 THEN m WHEN 1 THEN m WHEN 2 THEN m WHEN 3 THEN m WHEN 4 THEN CAST(make_date(2023, 3, event_id % 28 + 1) AS TIMESTAMP) WHEN 5 THEN CAST(make_date(2023, 11, event_id % 28 + 1) AS TIMESTAMP)
+  WHEN 6 THEN CAST(make_timestamp((1700000000 + event_id) * 1000000) AS TIMESTAMP) WHEN 7 THEN make_timestamp((1700000000 + event_id) * 1000000 + 500000) WHEN 8 THEN TIMESTAMP '{BASE}' - event_id % 40 * INTERVAL 1 HOUR END AS "at"
+FROM (SELECT event_id, CAST(make_date(2023, event_id % 12 + 1, event_id % 28 + 1) AS TIMESTAMP) AS m FROM events)
+""")
+def month_first_dates(spark, d):
+    return made(spark, d, "events", SAID_MONTH_FIRST).select("event_id", dates.month_first(F.col("x"), F.lit(BASE).cast("timestamp")).cast("timestamp_ntz").alias("at"))
+
+
+TYPED = """
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS title, CASE WHEN p_partkey % 7 = 0 THEN 'short' ELSE p_type || ' ' || p_brand END AS content, p_size * 3 AS word_count, p_size / 10e0 AS reading, p_size % 8 AS rating,
+  p_size AS helpful, p_partkey % 60 AS votes, CASE WHEN p_partkey % 11 = 0 THEN -p_retailprice ELSE p_retailprice END AS price, p_size * 4e0 - 95 AS lat, p_size * 8e0 - 190 AS lon FROM part
+"""
+
+
+@query(f"""
+WITH t AS ({TYPED}), g AS (SELECT p_partkey,
+  concat_ws(',', CASE WHEN title = '' THEN 'title missing' END) AS article, concat_ws(',', CASE WHEN length(content) < 10 THEN 'content short' END, CASE WHEN word_count <> 0 AND word_count < 50 THEN 'word_count low' END, CASE WHEN reading <> 0 AND reading < 1 THEN 'reading_time_min short' END) AS article_w,
+  concat_ws(',', CASE WHEN rating = 0 THEN 'rating missing' END, CASE WHEN rating > 6 THEN 'rating range' END, CASE WHEN helpful > votes THEN 'votes' END) AS review, concat_ws(',', CASE WHEN length(content) < 10 THEN 'content short' END) AS review_w,
+  concat_ws(',', CASE WHEN title = '' THEN 'title missing' END, CASE WHEN price < 0 THEN 'price negative' END, CASE WHEN price < 0 THEN 'price not positive' END, CASE WHEN NOT lat BETWEEN -90 AND 90 THEN 'latitude range' END, CASE WHEN NOT lon BETWEEN -180 AND 180 THEN 'longitude range' END) AS listing, '' AS listing_w FROM t
+)
+SELECT p_partkey, 'article' AS kind, article AS errors, article_w AS warnings FROM g UNION ALL SELECT p_partkey, 'review', review, review_w FROM g UNION ALL SELECT p_partkey, 'listing', listing, listing_w FROM g
+""")
+def typed_records(spark, d):
+    table(spark, d, "part").createOrReplaceTempView("derived_part")
+    t = spark.sql(TYPED.replace("FROM part", "FROM derived_part").replace("e0", "D"))
+    c, now = F.col, F.lit("2024-01-01").cast("timestamp")
+    given = {
+        "article": {"title": c("title"), "content": c("content"), "word_count": c("word_count"), "reading_time_min": c("reading")},
+        "review": {"rating": c("rating"), "content": c("content"), "max_rating": F.lit(6), "helpful_votes": c("helpful"), "total_votes": c("votes")},
+        "listing": {"title": c("title"), "price": c("price"), "latitude": c("lat"), "longitude": c("lon")},
+    }
+    parts = [records.validated(t, *records.typed_rules(fields, kind, now)).select("p_partkey", F.lit(kind).alias("kind"), F.concat_ws(",", "errors").alias("errors"), F.concat_ws(",", "warnings").alias("warnings")) for kind, fields in given.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
