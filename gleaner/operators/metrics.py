@@ -83,3 +83,25 @@ def worst(statuses: Column) -> Column:
     """Health of a whole from the array of its parts."""
     has = lambda s: F.array_contains(statuses, s)
     return F.when(F.size(statuses) == 0, "unknown").when(has("unhealthy"), "unhealthy").when(has("degraded"), "degraded").otherwise("healthy")
+
+
+def holds_since(df: DataFrame, key: str, ts: str, condition: Column, seconds: int, order: str | None = None) -> DataFrame:
+    """df with `alert`: whether the condition has held, without a reading that breaks it, for so long up to this reading. Rows
+    lie in ranges of key and time; what a range must know of those before is the key's last reading that broke it and, after
+    that, the first that held."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    ok = F.coalesce(condition, F.lit(False))
+    placed = ordered(df.withColumns({"__at": at, "__ok": ok}), key, "__at", *([order] if order else []))
+    upto = Window.partitionBy(PART, key).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
+    # the run of rows that hold begins after the last break in this range, or goes on from the ranges before
+    broken = F.max(F.when(~F.col("__ok"), F.col(ROW))).over(upto)
+    placed = placed.withColumn("__broke", broken)
+    own = F.min(F.when(F.col("__ok"), F.col("__at"))).over(Window.partitionBy(PART, key, "__broke").orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.withColumn("__start", own)
+    # of each earlier range: its number, whether it broke, and since when its end holds
+    tail = F.struct(F.max(PART).alias("p"), F.bool_or(~F.col("__ok")).alias("broke"), F.max_by(F.when(F.col("__ok"), F.col("__start")), ROW).alias("since"))
+    told = carried(placed, key, tail, F.collect_list("__sum"), "__before")  # a row for each range that the key fills
+    none = F.lit(None).cast("long")
+    since = F.aggregate(F.coalesce("__before", F.array().cast("array<struct<p:int,broke:boolean,since:bigint>>")), none, lambda held, x: F.when(x["broke"], x["since"]).otherwise(F.coalesce(held, x["since"])))
+    start = F.when(F.col("__broke").isNull(), F.coalesce(since, F.col("__start"))).otherwise(F.col("__start"))
+    return told.withColumn("alert", F.col("__ok") & (F.col("__at") - start >= seconds * 1_000_000)).drop("__at", "__ok", "__broke", "__start", "__before", PART, ROW)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coerce, dates, dom, pages, urls
-from ..operators import graph, records, selectors
+from ..operators import graph, metrics, records, selectors
 from ..operators.selectors import Field
+from ..sources import feeds
 from ..sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -264,3 +265,47 @@ def typed_records(spark, d):
     }
     parts = [records.validated(t, *records.typed_rules(fields, kind, now)).select("p_partkey", F.lit(kind).alias("kind"), F.concat_ws(",", "errors").alias("errors"), F.concat_ws(",", "warnings").alias("warnings")) for kind, fields in given.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""
+WITH e AS (SELECT *, value < 90 AS ok FROM events), b AS (SELECT *, sum(CAST(NOT ok AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e),
+s AS (SELECT *, min(CASE WHEN ok THEN ts END) OVER (PARTITION BY user_id, run) AS start FROM b)
+SELECT event_id, ok AND ts - start >= INTERVAL 36 HOUR AS alert FROM s
+""")
+def alert_for_time(spark, d):
+    return metrics.holds_since(table(spark, d, "events"), "user_id", "ts", F.col("value") < 90, 36 * 3600, "event_id").select("event_id", "alert")
+
+
+@query("""
+WITH h AS (SELECT event_type AS t, CASE WHEN user_id % 2 = 0 THEN 'a"b' ELSE 'c' END AS s, value FROM events),
+g AS (SELECT t, replace(s, '"', '\\"') AS s, count(*) FILTER (value <= 10) AS b0, count(*) FILTER (value <= 50) AS b1, count(*) FILTER (value <= 100) AS b2, count(value) AS n, CAST(sum(CAST(value AS DECIMAL(30,6))) AS DOUBLE) AS total FROM h GROUP BY t, s),
+l AS (SELECT *, '{t="' || t || '",s="' || s || '"' AS x FROM g)
+SELECT 'latency' AS family, 0 AS place, '# HELP latency Seconds taken' AS value UNION ALL SELECT 'latency', 1, '# TYPE latency histogram'
+UNION ALL SELECT 'latency', 2, unnest(['latency_bucket' || x || ',le="10"} ' || b0, 'latency_bucket' || x || ',le="50"} ' || b1, 'latency_bucket' || x || ',le="100"} ' || b2, 'latency_bucket' || x || ',le="+Inf"} ' || n, 'latency_count' || x || '} ' || n]) FROM l
+UNION ALL SELECT 'seen', 0, '# HELP seen Events by type' UNION ALL SELECT 'seen', 1, '# TYPE seen counter' UNION ALL SELECT 'seen', 2, 'seen{t="' || event_type || '"} ' || count(*) FROM events GROUP BY event_type
+""")
+def metrics_text(spark, d):
+    h = table(spark, d, "events").select(F.col("event_type").alias("t"), F.when(F.col("user_id") % 2 == 0, 'a"b').otherwise("c").alias("s"), "value")
+    lines = feeds.exposed_histogram(h, "latency", "Seconds taken", ["t", "s"], "value", (10.0, 50.0, 100.0))
+    counts = feeds.exposed(h.groupBy("t").agg(F.count("*").alias("n")), "seen", "counter", "Events by type", ["t"], "n")
+    return lines.where("value not like 'latency_sum%'").unionByName(counts)  # sums as text differ between engines in their last digits
+
+
+@query("""
+WITH old AS (SELECT DISTINCT user_id AS session_id, event_type AS url FROM events WHERE event_id % 5 = 0), new AS (SELECT user_id AS session_id, event_type AS url, min(event_id) AS first FROM events WHERE event_id % 5 <> 0 GROUP BY user_id, event_type)
+SELECT session_id, url, CAST(NULL AS BIGINT) AS first FROM old UNION ALL SELECT session_id, url, first FROM new WHERE (session_id, url) NOT IN (SELECT (session_id, url) FROM old)
+""")
+def frontier_insert(spark, d):
+    """New addresses of a session go in unless it has them already."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_type").alias("url"), "event_id")
+    old = e.where("event_id % 5 = 0").select("session_id", "url").distinct().withColumn("first", F.lit(None).cast("long"))
+    new = e.where("event_id % 5 <> 0").groupBy("session_id", "url").agg(F.min("event_id").alias("first"))
+    return old.unionByName(new.join(old, ["session_id", "url"], "left_anti"))
+
+
+@query("SELECT event_id, user_id, (SELECT min(f.event_id) % 7 FROM events f WHERE f.user_id = e.user_id AND f.event_id % 3 = 0) AS depth FROM events e WHERE event_id % 3 <> 0")
+def visited_depths(spark, d):
+    """What is visited takes its depth from the frontier, where it is there."""
+    e = table(spark, d, "events")
+    frontier = e.where("event_id % 3 = 0").groupBy("user_id").agg((F.min("event_id") % 7).alias("depth"))
+    return e.where("event_id % 3 <> 0").select("event_id", "user_id").join(frontier, "user_id", "left")

@@ -35,11 +35,33 @@ def route_failures(batch: DataFrame, failed: Column, retries: int, again: str, d
     rows.where(F.col("retry_count") >= retries).withColumn("error", F.lit("retries used up")).write.mode("append").json(dead)
 
 
-def exposition(metrics: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
-    """Lines of the text form in which metrics are scraped; in labels, backslashes, quotes and line ends are escaped."""
+def labelled(name: str, labels: list[str], extra: Column | None = None) -> Column:
+    """name{labels}; in label values backslashes, quotes and line ends are escaped."""
     escaped = lambda k: F.replace(F.replace(F.replace(F.coalesce(F.col(k).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-    told = F.concat_ws(",", *[F.concat(F.lit(f'{k}="'), escaped(k), F.lit('"')) for k in labels])
-    return metrics.select(F.concat(F.lit(name + "{"), told, F.lit("} "), F.col(value).cast("string")).alias("value"))
+    told = [F.concat(F.lit(f'{k}="'), escaped(k), F.lit('"')) for k in labels] + ([extra] if extra is not None else [])
+    return F.concat(F.lit(name + "{"), F.concat_ws(",", *told), F.lit("} "))
+
+
+def exposition(metrics: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
+    """Lines of the text form in which metrics are scraped."""
+    return metrics.select(F.concat(labelled(name, labels), F.col(value).cast("string")).alias("value"))
+
+
+def exposed(metrics: DataFrame, name: str, kind: str, help_: str, labels: list[str], value: str) -> DataFrame:
+    """Lines (family, place, value) of a counter or gauge with its HELP and TYPE before them; ordered by family and place they
+    are what is scraped."""
+    head = metrics.sparkSession.createDataFrame([(name, 0, f"# HELP {name} {help_}"), (name, 1, f"# TYPE {name} {kind}")], "family string, place int, value string")
+    return head.unionByName(exposition(metrics, name, labels, value).select(F.lit(name).alias("family"), F.lit(2).alias("place"), "value"))
+
+
+def exposed_histogram(rows: DataFrame, name: str, help_: str, labels: list[str], value: str, bounds: tuple[float, ...]) -> DataFrame:
+    """The same lines of a histogram: cumulative buckets, sum and count for each set of labels, by one partial aggregate."""
+    shown = [f"{b:g}" for b in bounds] + ["+Inf"]
+    sums = rows.groupBy(*labels).agg(*[F.count_if(F.col(value) <= b).alias(f"__b{k}") for k, b in enumerate(bounds)], F.count(value).alias(f"__b{len(bounds)}"), F.sum(F.col(value).cast("decimal(30,6)")).alias("__sum"))
+    cells = [F.concat(labelled(f"{name}_bucket", labels, F.lit(f'le="{b}"')), F.col(f"__b{k}").cast("string")) for k, b in enumerate(shown)]
+    ends = [F.concat(labelled(f"{name}_sum", labels), F.coalesce("__sum", F.lit(0)).cast("double").cast("string")), F.concat(labelled(f"{name}_count", labels), F.col(f"__b{len(bounds)}").cast("string"))]
+    head = rows.sparkSession.createDataFrame([(name, 0, f"# HELP {name} {help_}"), (name, 1, f"# TYPE {name} histogram")], "family string, place int, value string")
+    return head.unionByName(sums.select(F.lit(name).alias("family"), F.lit(2).alias("place"), F.explode(F.array(*cells, *ends)).alias("value")))
 
 
 def log_records(lines: DataFrame, tag: str, cluster: str) -> DataFrame:
