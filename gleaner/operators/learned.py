@@ -20,27 +20,29 @@ AMBIGUOUS, BOOST = 0.3, 0.1
 
 
 def trained(rows: DataFrame, text: str, label: str, sample: int = SAMPLE) -> PipelineModel:
-    """A model of rows' labels by single words and pairs; rows without text or label teach nothing."""
-    taught = rows.select(F.col(text).alias("text"), F.col(label).alias("label")).where("text is not null and label is not null")
-    taught = taught.orderBy(F.xxhash64("text", "label")).limit(sample)
-    many = taught.groupBy("label").agg(F.count("*").alias("n"))
+    """A model of rows' labels by single words and pairs; rows without text or label teach nothing. Its columns begin with two
+    underscores."""
+    taught = rows.select(F.col(text).alias("__text"), F.col(label).alias("__label")).where("__text is not null and __label is not null")
+    taught = taught.orderBy(F.xxhash64("__text", "__label")).limit(sample)
+    many = taught.groupBy("__label").agg(F.count("*").alias("__n"))
     # classes weigh alike
-    taught = taught.join(F.broadcast(many), "label").withColumn("weight", 1 / F.col("n").cast("double"))
-    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+")
-    pairs = NGram(n=2, inputCol="words", outputCol="pairs")
-    stages = [words, pairs]
-    for name in ("words", "pairs"):
+    taught = taught.join(F.broadcast(many), "__label").withColumn("__weight", 1 / F.col("__n").cast("double"))
+    stages = [RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"[^\p{L}\p{N}]+"), NGram(n=2, inputCol="__words", outputCol="__pairs")]
+    for name in ("__words", "__pairs"):
         stages += [HashingTF(inputCol=name, outputCol=f"{name}_tf", numFeatures=FEATURES), IDF(inputCol=f"{name}_tf", outputCol=f"{name}_idf")]
-    index = StringIndexer(inputCol="label", outputCol="index", stringOrderType="alphabetAsc").fit(taught)
-    stages += [VectorAssembler(inputCols=["words_idf", "pairs_idf"], outputCol="features"), LogisticRegression(labelCol="index", weightCol="weight", maxIter=30, regParam=0.01, family="multinomial", probabilityCol="chances"), IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)]
+    index = StringIndexer(inputCol="__label", outputCol="__index", stringOrderType="alphabetAsc").fit(taught)
+    stages += [
+        VectorAssembler(inputCols=["__words_idf", "__pairs_idf"], outputCol="__features"),
+        LogisticRegression(featuresCol="__features", labelCol="__index", weightCol="__weight", maxIter=30, regParam=0.01, family="multinomial", probabilityCol="__chances", rawPredictionCol="__raw", predictionCol="__class"),
+        IndexToString(inputCol="__class", outputCol="__predicted", labels=index.labels),
+    ]
     return Pipeline(stages=stages).fit(index.transform(taught))
 
 
 def predicted(model: PipelineModel, rows: DataFrame, text: str) -> DataFrame:
     """rows with `predicted` and its `probability`; a null text is an empty one."""
-    names = rows.columns
-    made = model.transform(rows.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).select(*names, F.col("__text").alias("text")) if text != "text" else rows.withColumn("text", F.coalesce("text", F.lit(""))))
-    return made.select(*[F.col(f"`{c}`") for c in names], "predicted", F.array_max(vector_to_array("chances")).alias("probability"))
+    made = model.transform(rows.withColumn("__text", F.coalesce(F.col(text), F.lit(""))))
+    return made.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("__predicted").alias("predicted"), F.array_max(vector_to_array("__chances")).alias("probability"))
 
 
 def keyword_model(spark, table: dict[str, tuple[str, ...]] = categories.CATEGORIES) -> PipelineModel:
