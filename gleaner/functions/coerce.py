@@ -72,7 +72,7 @@ def by_rule(rule: str, c: Column) -> Column:
         pattern, _, to = rest.partition("=>")
         return F.regexp_replace(c, pattern, to)
     if head == "map":
-        known = F.create_map(*[F.lit(x) for pair in rest.split(",") for x in pair.split("=")])
+        known = F.create_map(*[F.lit(x) for pair in rest.split(",") if "=" in pair for x in pair.split("=", 1)])
         return F.coalesce(F.try_element_at(known, c), c)
     if head == "enum":
         return F.when(c.isin(*rest.split(",")), c)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import urls
+
 #: Weights of the dimensions and of their parts.
 DIMENSIONS = {"completeness": 0.25, "accuracy": 0.25, "consistency": 0.20, "freshness": 0.15, "richness": 0.15}
 COMPLETENESS = {"required": 0.3, "optional": 0.2, "content": 0.2, "media": 0.15, "metadata": 0.15}
@@ -49,6 +51,31 @@ def accuracy(prices: list, dates: list, urls: list, formats: list) -> Column:
     return F.least((mean_of(prices) + mean_of(dates) + mean_of(urls) + mean_of(formats)) * 0.25, F.lit(1.0))
 
 
+#: Fixed value: the year from which a date is believed.
+BELIEVED = 2000
+
+
+def date_checks(dates: list[Column], published: Column, updated: Column, now: Column) -> list[tuple[Column, Column]]:
+    """Checks for accuracy(): each date there is lies between the year BELIEVED and now, and the update after the publication."""
+    own = [(d.isNotNull(), (d.cast("timestamp") <= now) & (F.year(d) >= BELIEVED)) for d in dates]
+    return [*own, (published.isNotNull() & updated.isNotNull(), updated >= published)]
+
+
+def url_checks(addresses: list[Column]) -> list[tuple[Column, Column]]:
+    """Checks for accuracy(): each address there is has the form of one."""
+    return [(F.coalesce(a != "", F.lit(False)), urls.valid_url(a)) for a in addresses]
+
+
+def format_checks(emails: list[Column], rating: Column | None = None, currency: Column | None = None, known: tuple[str, ...] = ()) -> list[tuple[Column, Column]]:
+    """Checks for accuracy(): e-mail addresses, a rating from 0 to 5, a known currency."""
+    out = [(F.coalesce(e != "", F.lit(False)), urls.valid_email(e)) for e in emails]
+    if rating is not None:
+        out.append((rating.isNotNull(), rating.between(0, 5)))
+    if currency is not None:
+        out.append((F.coalesce(currency != "", F.lit(False)), currency.isin(*known)))
+    return out
+
+
 def overall(**dimensions: Column) -> Column:
     out = F.lit(0.0)
     for name, weight in DIMENSIONS.items():

@@ -98,8 +98,8 @@ def content_hashes(spark, d):
 
 @query("""
 SELECT page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '<[^>]+>', '', 'g'), '(?i)javascript:', '', 'g')), 1, 10000) AS safe,
-  regexp_matches(html, '(?i)<script|javascript:|on(?:error|load|click)\\s*=') AS xss,
-  regexp_matches(html, '(?i)\\b(?:union\\s+select|drop\\s+table|insert\\s+into|delete\\s+from)\\b|--\\s|;\\s*shutdown') AS sql
+  regexp_matches(html, '(?i)<script|javascript:|on\\w+\\s*=') AS xss,
+  regexp_matches(html, '(?i)\\b(union|select|insert|update|delete|drop)\\b') AS sql
 FROM pages
 """)
 def html_sanitize(spark, d):

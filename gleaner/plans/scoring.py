@@ -72,6 +72,29 @@ def quality_dimensions(spark, d):
     return made.select("id", *[F.round(k, 6).alias(k) for k in names], F.concat_ws("; ", quality.issues(**{k: c(k) for k in names})).alias("issues"))
 
 
+@query(f"""
+WITH i AS (SELECT *, CASE WHEN size % 3 > 0 THEN 'http' || CASE WHEN size % 7 = 0 THEN ':/' ELSE 's://' END || flag || '.example/' || id END AS url, CASE WHEN size % 5 = 0 THEN 'no mail' WHEN size % 5 < 4 THEN flag || '@mail.example' END AS email,
+  CASE size % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'XXX' END AS currency FROM ({ITEMS})
+), k AS (
+  SELECT id, CAST(published IS NOT NULL AS INT) + CAST(updated IS NOT NULL AS INT) + CAST(published IS NOT NULL AND updated IS NOT NULL AS INT) AS dn,
+    CAST(coalesce(published <= now AND year(published) >= 2000, false) AS INT) + CAST(coalesce(updated <= now AND year(updated) >= 2000, false) AS INT) + CAST(coalesce(updated >= published, false) AS INT) AS dv,
+    CAST(url IS NOT NULL AS INT) AS un, CAST(url IS NOT NULL AND size % 7 <> 0 AS INT) AS uv, CAST(email IS NOT NULL AS INT) + 1 + CAST(currency IS NOT NULL AS INT) AS fn, CAST(email IS NOT NULL AND size % 5 <> 0 AS INT) + CAST(rating <= 5 AS INT) + CAST(coalesce(currency = 'USD', false) AS INT) AS fv, price
+  FROM (SELECT * REPLACE (published + INTERVAL 10 YEAR AS published, updated + INTERVAL 10 YEAR AS updated, TIMESTAMP '2005-06-01' AS now) FROM i)
+)
+SELECT id, round(least(1e0, 0.25e0 * (CASE WHEN price BETWEEN 0 AND 50000 THEN 1e0 ELSE 0e0 END + CASE WHEN dn > 0 THEN dv / CAST(dn AS DOUBLE) ELSE 0.5e0 END + CASE WHEN un > 0 THEN uv / CAST(un AS DOUBLE) ELSE 0.5e0 END + fv / CAST(fn AS DOUBLE))), 6) AS accuracy FROM k
+""")
+def accuracy_checks(spark, d):
+    c = F.col
+    ten = F.expr("INTERVAL 10 YEAR")
+    t = items(spark, d).withColumns({"published": c("published") + ten, "updated": c("updated") + ten, "now": F.lit("2005-06-01").cast("timestamp")})
+    t = t.withColumns({
+        "url": F.when(c("size") % 3 > 0, F.concat(F.lit("http"), F.when(c("size") % 7 == 0, ":/").otherwise("s://"), "flag", F.lit(".example/"), "id")),
+        "email": F.when(c("size") % 5 == 0, "no mail").when(c("size") % 5 < 4, F.concat("flag", F.lit("@mail.example"))), "currency": F.when(c("size") % 4 == 0, "USD").when(c("size") % 4 == 1, "XXX"),
+    })
+    checks = quality.accuracy([(F.lit(True), c("price").between(0, 50_000))], quality.date_checks([c("published"), c("updated")], c("published"), c("updated"), c("now")), quality.url_checks([c("url")]), quality.format_checks([c("email")], c("rating"), c("currency"), ("USD", "EUR")))
+    return t.select("id", F.round(checks, 6).alias("accuracy"))
+
+
 @query(f"""
 WITH i AS (SELECT *, 'http' || CASE WHEN size % 7 = 0 THEN ':/' ELSE 's://' END || flag || '.example/' || id AS url, CASE WHEN size % 5 = 0 THEN 'no mail' ELSE flag || '@mail.example' END AS email FROM ({ITEMS})),
 r AS (SELECT id,
