@@ -149,9 +149,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def similar(vectors: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
-    """(query_id, vec_id, score) of cosine similarity at or above a threshold: queries in packed blocks meet shards of vectors."""
+    """(query_id, vec_id, score) of cosine similarity at or above a threshold: queries in packed blocks meet shards of vectors.
+    Vectors that are null or zero, or hold nulls or what is no finite number, are like nothing; lengths must agree."""
     import numpy as np
 
+    fine = F.exists("embedding", lambda c: c != 0) & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    vectors, queries = vectors.where(fine), queries.where(fine)
+
     schema = "query_id long, vec_id long, score double"
     spark, parts, block = vectors.sparkSession, [], []
 

@@ -89,6 +89,12 @@ def test_ordinals_of_several_keys(spark):
     assert ordering.ordinals(spark.createDataFrame([], "a long"), "a").count() == 0
 
 
+def test_similar_leaves_out_what_is_no_direction(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((x["query_id"], x["vec_id"]) for x in dedup.similar(df, df, 0.9).collect()) == [(1, 2), (2, 1)]
+
+
 def test_hamming_pairs(spark):
     a = "01" * 32
     b = a[:5] + ("1" if a[5] == "0" else "0") + a[6:]
