@@ -377,6 +377,22 @@ def test_merkle(spark):
     assert found(a, a.where("record < 300")) == {300, 301, 302}
 
 
+def test_merkle_of_nothing_and_of_equal_records(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    kept = op7.records(none, 3)
+    assert kept.count() == 0
+    leaves = kept.select("record", "leaf")
+    assert op7.damaged(op7.tree(leaves, 4), op7.tree(leaves, 4), 4).count() == 0
+    same = spark.createDataFrame([(7, "http://x", "alike")] * 700 + [(None, None, None)] * 50, "page_id long, url string, html string").repartition(6)
+    rows = op7.records(same, 5).orderBy("record").collect()
+    assert [r["record"] for r in rows] == list(range(750))
+    assert all(a["start"] + a["size"] == b["start"] for a, b in zip(rows, rows[1:], strict=False))
+    held = spark.createDataFrame(rows).select("record", "leaf")
+    rotten = held.withColumn("leaf", F.when(F.col("record") == 333, F.lit("rot")).otherwise(F.col("leaf")))
+    assert [r[0] for r in op7.damaged(op7.tree(held, 8), op7.tree(rotten, 8), 8).collect()] == [333]
+    assert {r[0] for r in op7.damaged(op7.tree(leaves, 4), op7.tree(held, 4), 4).collect()} == set(range(750))
+
+
 def test_language(spark, empty):
     tongue = {"de": ("der", "und", "ist", "nicht", "sch", "ung"), "fr": ("le", "et", "est", "pas", "eau", "ique"), "en": ("the", "and", "is", "not", "th", "ing")}
     r = random.Random(9)

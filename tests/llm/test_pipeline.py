@@ -97,3 +97,34 @@ def test_tokens(stages):
         ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1]
         want[r["doc_id"], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
     assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in after.collect()) == want
+
+
+def test_odd_rows_go_through_all_stages(spark):
+    """Null and repeated ids, null texts and sources, copies and columns with the names that stages use themselves."""
+    from pyspark.sql import functions as F
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
+    nobody = base.limit(5).withColumn("doc_id", F.lit(None).cast("long"))
+    again = base.where("doc_id < 20").withColumn("text", F.concat("text", F.lit(" and some more words of its own here at the end")))
+    silent = base.limit(3).withColumns({"text": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "doc_id": F.col("doc_id") + 90_000})
+    docs = base.unionByName(base.limit(10)).unionByName(nobody).unionByName(again).unionByName(silent)
+    docs = docs.withColumns({"h": F.lit(1), "class": F.lit("x"), "size": F.lit(2), "copies": F.lit(3), "more": F.lit(4), "keep": F.lit(False), "start": F.lit(5)})
+    many = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns, name
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+        held = docs.count()
+        assert 0 < held <= (many if "mixing" not in name else 3 * many), name
+        many = held
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).orderBy("start").collect()
+    assert len(out) == many and out[0]["start"] == 0
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(out, out[1:], strict=False))
+
+
+def test_an_empty_table_goes_through_all_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        assert docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
