@@ -309,3 +309,52 @@ def visited_depths(spark, d):
     e = table(spark, d, "events")
     frontier = e.where("event_id % 3 = 0").groupBy("user_id").agg((F.min("event_id") % 7).alias("depth"))
     return e.where("event_id % 3 <> 0").select("event_id", "user_id").join(frontier, "user_id", "left")
+
+
+@query("""
+SELECT event_type, round(avg(value), 6) AS mean, round(count(*) / greatest(1, date_diff('second', min(ts), max(ts))), 9) AS per_second, round(count(*) FILTER (WHERE value < 90) / count(*), 6) AS success_rate FROM events GROUP BY event_type
+""")
+def latency_summary(spark, d):
+    t = table(spark, d, "events").withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
+    span = F.greatest(F.lit(1), F.max("at") - F.min("at"))
+    return t.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.count("*") / span, 9).alias("per_second"), F.round(F.count_if(F.col("value") < 90) / F.count("*"), 6).alias("success_rate"))
+
+
+@query("""
+SELECT count(*) AS groups, count(*) FILTER (WHERE n > 1) AS repeated, max(n)::BIGINT AS largest, round(sum(n - 1) / sum(n), 6) AS match_rate, round(sum(n * c) FILTER (WHERE n > 1) / greatest(1, sum(n * c)), 6) AS match_share
+FROM (SELECT sha256(text) AS h, count(*) AS n, max(length(text)) AS c FROM documents WHERE text IS NOT NULL GROUP BY 1)
+""")
+def duplicate_sizes(spark, d):
+    """Sizes of the index of texts and how many rows, and characters, met one that was there."""
+    g = table(spark, d, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("n"), F.max(F.length("text")).alias("c"))
+    chars = F.col("n") * F.col("c")
+    return g.agg(
+        F.count("*").alias("groups"), F.count_if(F.col("n") > 1).alias("repeated"), F.max("n").alias("largest"), F.round(F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("match_rate"),
+        F.round(F.coalesce(F.sum(F.when(F.col("n") > 1, chars)), F.lit(0)) / F.greatest(F.lit(1), F.sum(chars)), 6).alias("match_share"),
+    )
+
+
+KIND = "CASE WHEN value >= 95 THEN 'timeout' WHEN value >= 92 THEN 'blocked' ELSE 'slow' END"
+
+
+@query(f"""
+WITH e AS (SELECT *, {KIND} AS kind FROM events WHERE value >= 90), c AS (SELECT event_type, kind, count(*) AS n FROM e GROUP BY event_type, kind)
+SELECT l.event_type, l.last_error, l.last_kind, m.kinds FROM (SELECT event_type, max_by(event_id, epoch_us(ts) * 1000000 + event_id % 1000000) AS last_error, max_by(kind, epoch_us(ts) * 1000000 + event_id % 1000000) AS last_kind FROM (SELECT event_type, event_id, ts, kind FROM e) GROUP BY event_type) l
+JOIN (SELECT event_type, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM c GROUP BY event_type) m ON m.event_type = l.event_type
+""".replace("epoch_us(ts) * 1000000 + event_id % 1000000", "CAST(epoch_us(ts) AS HUGEINT) * 1000000 + event_id % 1000000"))
+def engine_last_errors(spark, d):
+    e = table(spark, d, "events").where("value >= 90").withColumn("kind", F.expr(KIND))
+    counts = e.groupBy("event_type", "kind").agg(F.count("*").alias("n")).groupBy("event_type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("kinds"))
+    last = e.groupBy("event_type").agg(F.max(F.struct("ts", "event_id", "kind")).alias("last"))
+    shown = F.array_join(F.transform(F.map_entries("kinds"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    return last.join(counts, "event_type").select("event_type", F.col("last.event_id").alias("last_error"), F.col("last.kind").alias("last_kind"), shown.alias("kinds"))
+
+
+@query("""
+SELECT domain, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM (
+  SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS domain, CASE WHEN contains(url, 'page=') THEN 'list' WHEN regexp_matches(url, '[.]html$') THEN 'static' ELSE 'page' END AS kind, count(*) AS n FROM pages GROUP BY 1, 2) GROUP BY domain
+""")
+def page_kinds_by_domain(spark, d):
+    kind = F.when(F.contains("url", F.lit("page=")), "list").when(F.rlike("url", F.lit("[.]html$")), "static").otherwise("page")
+    g = table(spark, d, "pages").groupBy(urls.domain(F.col("url")).alias("domain"), kind.alias("kind")).agg(F.count("*").alias("n"))
+    return g.groupBy("domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "n"))), lambda x: F.concat_ws("=", x["kind"], x["n"].cast("string"))), ",").alias("kinds"))
