@@ -202,15 +202,15 @@ class Encoder:
         """Put pieces in the memo; words of letters alone go to the library together, and each ends with its one word end."""
         words, others = [], []
         for p in pieces:
-            (words if letters(p) else others).append(p)
+            (words if p.isalpha() and (p.isascii() or letters(p)) else others).append(p)
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         for group, got in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, np.uint32)
             ends = ((np.flatnonzero(self.word_end[ids]) + 1) * 4).tolist()
             if len(ends) == len(group):
                 raw = ids.tobytes()
-                for p, a, b in zip(group, [0, *ends], ends, strict=False):
-                    self.keep(p, raw[a:b])
+                self.memo.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+                self.held += ENTRY_BYTES * len(group) + sum(map(len, group)) + len(raw)
             else:
                 others += group
         for i in range(0, len(others), TOGETHER):
@@ -220,6 +220,8 @@ class Encoder:
 
     def known(self, pieces: Iterable[str]) -> list[str]:
         """Bring pieces of the older half to the memo; what is in neither is left."""
+        if not self.older:
+            return [p for p in pieces if p not in self.memo]
         left = []
         for p in pieces:
             if p not in self.memo:
@@ -240,16 +242,17 @@ class Encoder:
         pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         memo = self.memo
         ids = list(map(memo.get, pieces))
-        new = self.known([p for p, i in zip(pieces, ids, strict=True) if i is None])
+        gaps = [k for k, i in enumerate(ids) if i is None]
+        new = self.known([pieces[k] for k in gaps])
         # signs after a letter are a token run of their own, up to the piece's end
-        tails = {p: c for p in new if (c := p.rstrip(SIGNS)) != p and c and (c[-1].isalpha() if p.isascii() else letters(c))}
+        tails = {p: c for p in new if p[-1:] in SIGNS and (c := p.rstrip(SIGNS)) != p and c and (c[-1].isalpha() if p.isascii() else letters(c))}
         todo = {p for p in new if p not in tails}
-        for p, c in tails.items():
-            todo |= {c, p[len(c) :]}
+        todo.update(tails.values(), {p[len(c) :] for p, c in tails.items()})
         self.learn(self.known(todo))
         for p, c in tails.items():
             self.keep(p, memo[c] + memo[p[len(c) :]])
-        ids = [memo[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
+        for k in gaps:
+            ids[k] = memo[pieces[k]]
         every = pa.array(ids, pa.large_binary()).take(coded.indices)
         _, offsets, raw = every.buffers()
         ends = np.frombuffer(offsets, np.int64, len(every) + 1) >> 2
